@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.merge import last_wins, merge_upsert
+from tidemark.operators.ordered import last_per_key
+from tidemark.operators.series import change_events
 
 
 def event_time(c: str) -> Column:
@@ -76,58 +76,36 @@ def deduplicated_window(stream: DataFrame, ts: str, keys: Sequence[str], latenes
     )
 
 
-CHANGE_SCHEMA = "series string, ts timestamp, event_type string, prior_value double, value double, change_pct double"
-CHANGE_STATE = "last_ts timestamp, last_value double"
-
-
-def emit_changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Change events of one series; remembers only its last value and instant."""
-    series = key[0]
-    if state.exists:
-        last_ts, last_value = state.get
-        last_ts = pd.Timestamp(last_ts)
-    else:
-        last_ts, last_value = None, None
-    # One trigger's arrivals are ordered before comparison; older rows than the state are late.
-    arrived = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-    arrived = arrived[arrived["value"].notna()]
-    if last_ts is not None:
-        arrived = arrived[arrived["ts"] >= last_ts]
-    if arrived.empty:
-        return
-    values = arrived["value"].astype("float64")
-    prior = values.shift(1)
-    if last_value is not None:
-        prior.iloc[0] = last_value
-    changed = prior.isna() | (values != prior)
-    out = pd.DataFrame(
-        {
-            "series": series,
-            "ts": arrived["ts"],
-            "event_type": ["initial_observation" if p else "value_change" for p in prior.isna()],
-            "prior_value": prior,
-            "value": values,
-            "change_pct": (values / prior.where(prior != 0) - 1) * 100,
-        }
-    )
-    state.update((arrived["ts"].iloc[-1].to_pydatetime(), float(values.iloc[-1])))
-    yield out[changed.to_numpy()]
+def stream_change_events(
+    stream: DataFrame, out: str, state: str, checkpoint: str, keys: Sequence[str], t: str, seq: str, value: str
+) -> StreamingQuery:
+    """First observations and true value changes per key as they arrive.
 
+    The state is one last row per key, kept as a table per batch in the shared folder ``state``. A
+    batch prepends its keys' last rows and runs the batch operator, which splits busy keys over tasks;
+    batch ``n`` reads only state ``n - 1`` and overwrites its own outputs, so a replay repeats itself.
+    """
+    columns = [*keys, t, seq, value]
 
-def stream_change_events(stream: DataFrame, series: str, ts: str, seq: str, value: str) -> DataFrame:
-    """First observations and true value changes per series as they arrive.
+    def apply(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*columns).where(F.col(value).isNotNull())
+        previous = spark.read.schema(rows.schema).parquet(f"{state}/epoch={epoch - 1}") if epoch > 0 else rows.limit(0)
+        bounds = previous.select(*keys, F.col(t).alias("_t"), F.col(seq).alias("_s"))
+        late = F.col("_t").isNotNull() & (F.struct(t, seq) <= F.struct("_t", "_s"))
+        fresh = rows.join(bounds, list(keys), "left").where(~late).select(*columns)
+        active = previous.join(fresh.select(*keys).distinct(), list(keys), "left_semi")
+        events = change_events(active.unionByName(fresh), keys, t, seq, value)
+        known = active.select(*keys, t, seq)
+        events.join(known, [*keys, t, seq], "left_anti").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        last = last_per_key(previous.unionByName(fresh), keys, [t, seq])
+        last.select(*columns).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
 
-    A trigger's repeats of one (series, day) are reduced to runs by the state function; bound a
-    trigger with ``maxFilesPerTrigger`` so a busy series stays small per call.
-    """
-    rows = stream.select(
-        F.col(series).cast("string").alias("series"),
-        event_time(ts).alias("ts"),
-        F.col(seq).cast("long").alias("seq"),
-        F.col(value).cast("double").alias("value"),
-    )
-    return rows.groupBy("series").applyInPandasWithState(
-        emit_changes, CHANGE_SCHEMA, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout
+    return (
+        stream.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
