@@ -22,7 +22,8 @@ def day(text: str) -> Column:
 
 
 def cents(c: str) -> Column:
-    return F.round(F.col(c) * 100)
+    """Whole cents of a dollar amount; stays inside generated code, unlike decimal rounding."""
+    return F.floor(F.col(c) * 100 + 0.5)
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("series"),
         F.col("l_suppkey").alias("provider"),
         F.col("l_linestatus").alias("kind"),
-        cents("l_extendedprice").alias("value"),
+        cents("l_extendedprice").cast("double").alias("value"),
         F.col("l_linenumber").alias("gpus"),
         F.col("l_partkey").alias("model"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
@@ -41,7 +42,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OFFERS = """offers AS (
   SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS series, l_suppkey AS provider,
-         l_linestatus AS kind, round(l_extendedprice * 100) AS value, l_linenumber AS gpus,
+         l_linestatus AS kind, floor(l_extendedprice * 100 + 0.5) AS value, l_linenumber AS gpus,
          l_partkey AS model, l_orderkey * 8 + l_linenumber AS seq
   FROM lineitem)"""
 
@@ -120,7 +121,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _order_models(spark, sf_dir)
         .groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("date"), "model")
-        .agg(F.sum(cents("o_totalprice").cast("long")).alias("tokens"))
+        .agg(F.sum(cents("o_totalprice")).alias("tokens"))
     )
 
 
@@ -134,7 +135,7 @@ USAGE = (
     + """,
 usage AS (
   SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS date, model,
-         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS tokens
+         CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS tokens
   FROM order_models GROUP BY ALL)"""
 )
 
@@ -185,14 +186,14 @@ def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("n_name").alias("entity"), F.year(d).alias("fy"), F.quarter(d).alias("q"),
             F.trunc(d, "quarter").alias("date"),
         )
-        .agg(F.sum(cents("o_totalprice").cast("long")).alias("value"))
+        .agg(F.sum(cents("o_totalprice")).alias("value"))
     )
 
 
 QUARTERLY = """quarterly AS (
   SELECT n_name AS entity, CAST(year(o_orderdate) AS INTEGER) AS fy, CAST(quarter(o_orderdate) AS INTEGER) AS q,
          CAST(date_trunc('quarter', o_orderdate) AS DATE) AS date,
-         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value
+         CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS value
   FROM order_models GROUP BY ALL)"""
 
 
@@ -215,14 +216,14 @@ def snapshots(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
         table(spark, sf_dir, "orders")
         .where(F.col("o_orderstatus") == status)
         .groupBy(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("source"))
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum(cents("o_totalprice").cast("long")).alias("cents"))
+        .agg(F.count(F.lit(1)).alias("orders"), F.sum(cents("o_totalprice")).alias("cents"))
     )
 
 
 def _snapshot_sql(name: str, status: str) -> str:
     return f"""{name} AS (
   SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS source, count(*) AS orders,
-         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
+         CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS cents
   FROM orders WHERE o_orderstatus = '{status}' GROUP BY ALL)"""
 
 
@@ -237,11 +238,11 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("ts").cast("date").alias("date"),
         "event_type",
-        cents("value").cast("long").alias("value"),
+        cents("value").alias("value"),
         F.col("event_id").alias("seq"),
     )
 
 
 ACTIVITY = """activity AS (
   SELECT user_id, ts, CAST(ts AS DATE) AS date, event_type,
-         CAST(round(value * 100) AS BIGINT) AS value, event_id AS seq FROM events)"""
+         CAST(floor(value * 100 + 0.5) AS BIGINT) AS value, event_id AS seq FROM events)"""

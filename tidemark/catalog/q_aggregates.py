@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.catalog.adapters import (
     ACTIVITY, DAILY, DEPTH, DEPTH_DAYS, OFFERS, PRICED, QUARTERLY, ORDER_MODELS, USAGE, USAGE_LEDGER,
-    activity, daily_prices, day, depth, ledger, offers, priced_usage, quarterly, table, usage,
+    activity, cents, daily_prices, day, depth, ledger, offers, priced_usage, quarterly, table, usage,
 )
 from tidemark.catalog.registry import query, with_
 from tidemark.operators import aggregates as A
@@ -128,19 +128,19 @@ def coverage_counts(spark, sf):
 
 def _stock(spark, sf):
     """Availability cells: open cents of the day by priority against all of them."""
-    open_cents = F.when(F.col("o_orderstatus") == "O", F.round(F.col("o_totalprice") * 100))
+    open_cents = F.when(F.col("o_orderstatus") == "O", cents("o_totalprice"))
     return table(spark, sf, "orders").select(
         F.col("o_orderdate").cast("date").alias("date"),
         F.col("o_orderpriority").alias("provider"),
         F.coalesce(open_cents, F.lit(0)).cast("long").alias("available"),
-        F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") * 100)).cast("long").alias("total"),
+        F.when(F.col("o_orderstatus") != "P", cents("o_totalprice")).cast("long").alias("total"),
     )
 
 
 STOCK = """stock AS (
   SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS provider,
-         CAST(CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice * 100) ELSE 0 END AS BIGINT) AS available,
-         CAST(CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice * 100) END AS BIGINT) AS total FROM orders)"""
+         CAST(CASE WHEN o_orderstatus = 'O' THEN floor(o_totalprice * 100 + 0.5) ELSE 0 END AS BIGINT) AS available,
+         CAST(CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice * 100 + 0.5) END AS BIGINT) AS total FROM orders)"""
 
 
 @query(
