@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.adapters import (
     DAILY, DEPTH, NEW, OFFERS, ORDER_MODELS, PREV, PRICED, QUARTERLY, USAGE, USAGE_LEDGER,
-    daily_prices, day, depth, offers, priced_usage, quarterly, snapshots, table, usage,
+    daily_prices, day, depth, offers, priced_usage, quarterly, snapshots, table, usage, weekly_panel,
 )
 from tidemark.catalog.q_scalars import NAMES_SQL, _names
 from tidemark.catalog.registry import query, with_
@@ -115,11 +115,9 @@ def ratio_to_base(spark, sf):
 
 @query("nearest_match", "C10, D26")
 def nearest_match(spark, sf):
-    prices = daily_prices(spark, sf).select("series", "date", "value")
-    volume = usage(spark, sf).where("model <> 'Others'").groupBy("date").agg(F.sum("tokens").alias("value"))
-    names = prices.select("series").distinct()
-    right = volume.join(names).select("series", "date", "value")
-    pairs = J.nearest_match(prices, right, "series", "date", "value")
+    spending = quarterly(spark, sf).select(F.col("entity").alias("pair"), "date", "value")
+    prices = weekly_panel(spark, sf).where("series = 'A'").select(F.col("member").alias("pair"), "date", "value")
+    pairs = J.nearest_match(spending, prices, "pair", "date", "value")
     return A.pearson(pairs, ["pair"], "left_value", "right_value").withColumn("r", F.round("r", 6))
 
 
