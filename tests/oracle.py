@@ -88,7 +88,8 @@ def main() -> int:
     sf_dir = sys.argv[1]
     wanted = sys.argv[2:]
     spark = build_session("oracle-check", "local[8]", spark__sql__shuffle__partitions="8",
-                          spark__ui__enabled="false", spark__driver__memory="12g")
+                          spark__ui__enabled="false", spark__driver__memory="12g",
+                          spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()

@@ -1,4 +1,4 @@
 """Imports every query module so the registry is complete."""
 
-from tidemark.catalog import q_aggregates, q_joins, q_scalars, q_series  # noqa: F401
+from tidemark.catalog import q_aggregates, q_joins, q_merge, q_quality, q_scalars, q_series  # noqa: F401
 from tidemark.catalog.registry import COVERS, ORACLES, QUERIES  # noqa: F401

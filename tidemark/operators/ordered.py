@@ -183,3 +183,22 @@ def group_quantiles(
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", stats=None) -> DataFrame:
     return group_quantiles(df, keys, value, {name: (0.5, "inclusive")}, stats)
+
+
+def rank_in_order(
+    df: DataFrame, keys: Sequence[str], value: str, tie: str, name: str = "rank", descending: bool = True
+) -> DataFrame:
+    """Full rank per key by ``value`` then ``tie``, without gathering a key's rows in one task.
+
+    Rows are counted per value band, bands are ranked against each other from those counts, and rows
+    are ordered only within their band.
+    """
+    keys = list(keys)
+    banded = df.withColumn("_band", value_band(F.col(value)))
+    order = F.desc if descending else F.asc
+    sizes = banded.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy(order("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_band", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_band").orderBy(order(value), F.asc(tie))
+    placed = null_safe_join(banded, offsets, [*keys, "_band"]).withColumn("_rn", F.row_number().over(inside))
+    return placed.withColumn(name, F.col("_before") + F.col("_rn")).select(*df.columns, name)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ColumnLike, as_column
-from tidemark.operators.ordered import lag_in_order, null_safe_join
+from tidemark.operators.ordered import lag_in_order, null_safe_join, rank_in_order
 
 
 def _ordered(keys: Sequence[str], t: str):
@@ -120,8 +120,10 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 def ranks_with_residual(df: DataFrame, t: str, item: str, tokens: str, residual: str = "Others") -> DataFrame:
     """Rank of every item in its period by volume, the residual always last."""
-    w = Window.partitionBy(t).orderBy((F.col(item) == residual).cast("int"), F.desc(tokens), item)
-    return df.withColumn("rank", F.row_number().over(w))
+    named = rank_in_order(df.where(F.col(item) != residual), [t], tokens, item)
+    counts = df.groupBy(t).agg(F.count_if(F.col(item) != residual).alias("_named"))
+    rest = df.where(F.col(item) == residual).join(counts, t)
+    return named.unionByName(rest.withColumn("rank", F.col("_named") + 1).drop("_named"))
 
 
 def largest_event_per_key(
