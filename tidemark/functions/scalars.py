@@ -219,6 +219,15 @@ def usd_billions(c: ColumnLike) -> Column:
     return F.abs(as_column(c)) / 1e9
 
 
+def array_median(c: ColumnLike) -> Column:
+    """Median of a row's own array; the mean of the middle two when even."""
+    ordered = F.array_sort(as_column(c))
+    n = F.size(ordered)
+    low = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
+    high = F.try_element_at(ordered, F.ceil((n + 1) / 2).cast("int"))
+    return F.when(n > 0, (low + high) / 2)
+
+
 def date_range_filter(df: DataFrame, t: str, start: Column, end: Column) -> DataFrame:
     """Rows whose day lies in the inclusive window."""
     return df.where(F.col(t).between(start, end))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from tidemark import config, schemas
 from tidemark.functions.scalars import (
+    array_median,
     classify_first_match,
+    lookup,
     parse_day,
     parse_weekday_date,
     per_million,
@@ -24,7 +26,7 @@ from tidemark.functions.scalars import (
 )
 from tidemark.operators.filings import fiscal_label
 from tidemark.operators.joins import asof_join
-from tidemark.operators.ordered import first_per_key, group_median, last_per_key
+from tidemark.operators.ordered import first_per_key, last_per_key
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -235,9 +237,10 @@ def alias_map(catalog: DataFrame) -> DataFrame:
 
 
 def provider_map_prices(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Median, range and count of the positive provider prices per (day, series)."""
-    from tidemark.functions.scalars import lookup
+    """Median, range and count of the positive provider prices of every landed point.
 
+    A point's prices sit in its own map, so the median is taken inside the row.
+    """
     points = (
         df.select(F.explode("data").alias("_name", "_pts"))
         .withColumn("series", lookup("_name", names))
@@ -246,12 +249,15 @@ def provider_map_prices(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
         .withColumn("_prices", F.map_filter("provider_prices", lambda _, v: v > 0))
         .where((F.coalesce("date", F.lit("")) != "") & F.col("avg_price").isNotNull() & (F.size("_prices") > 0))
     )
-    votes = points.select("date", "series", F.explode("_prices").alias("provider", "_v"))
-    medians = group_median(votes, ["date", "series"], "_v", "value", {"provider_count": "count"})
-    listed = points.select(
-        "date", "series", F.col("avg_price").alias("average"), F.col("min_price").alias("low"), F.col("max_price").alias("high")
+    return points.select(
+        "date",
+        "series",
+        array_median(F.map_values("_prices")).alias("value"),
+        F.col("avg_price").alias("average"),
+        F.col("min_price").alias("low"),
+        F.col("max_price").alias("high"),
+        F.size("_prices").alias("provider_count"),
     )
-    return listed.join(medians, ["date", "series"])
 
 
 def availability_cells(df: DataFrame) -> DataFrame:
