@@ -382,7 +382,8 @@ def pearson(pairs: DataFrame, keys: Sequence[str], x: str, y: str, min_pairs: in
     """Correlation per key: null below ``min_pairs``, zero when either side does not vary."""
     n = F.count(F.lit(1))
     flat = (F.stddev_pop(x) == 0) | (F.stddev_pop(y) == 0)
-    r = F.when(n < min_pairs, F.lit(None)).when(flat, F.lit(0.0)).otherwise(F.corr(x, y))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    r = F.when(n < min_pairs, F.lit(None)).when(flat, F.lit(0.0)).otherwise(F.try_divide(F.covar_pop(x, y), spread))
     return pairs.groupBy(*keys).agg(n.alias("pairs"), r.alias("r"))
 
 

@@ -96,7 +96,7 @@ def ma_index(df: DataFrame, keys: Sequence[str], t: str, value: str, n: int = 4)
     """Full-window trailing mean, then 100 at its first value per key."""
     means = trailing_mean_full(df, keys, t, {value: "average"}, n)
     base = F.first("average").over(_ordered(keys, t).rowsBetween(Window.unboundedPreceding, 0))
-    return means.withColumn("index_value", F.col("average") / base * 100)
+    return means.withColumn("index_value", F.try_divide(F.col("average"), base) * 100)
 
 
 def lag_change_latest(df: DataFrame, keys: Sequence[str], t: str, value: str, n: int = 4) -> DataFrame:
@@ -256,7 +256,7 @@ def rebase_common_start(
         *group,
         series,
         t,
-        F.when(single, F.col(value)).otherwise(F.lit(100) * F.col(value) / F.col("_base")).alias("value"),
+        F.when(single, F.col(value)).otherwise(F.try_divide(F.lit(100) * F.col(value), F.col("_base"))).alias("value"),
         F.when(~single, F.col("common_start")).alias("common_start"),
     )
 
@@ -506,7 +506,7 @@ def matched_panel_index(
         .agg(F.avg(value).alias("mean_value"), F.max("_size").alias("members"))
     )
     base = F.first("mean_value").over(_ordered([panel], t).rowsBetween(Window.unboundedPreceding, 0))
-    return means.withColumn("index_value", F.lit(100) * (F.col("mean_value") / base))
+    return means.withColumn("index_value", F.lit(100) * F.try_divide(F.col("mean_value"), base))
 
 
 def jump_attribution(
@@ -526,7 +526,7 @@ def jump_attribution(
     )
     daily = moved.groupBy(panel, t).agg(F.avg(value).alias("_mean"), mover.alias("_m"))
     before = F.lag("_mean").over(_ordered([panel], t))
-    jump = daily.withColumn("_before", before).withColumn("_jump", F.col("_mean") / F.col("_before") - 1)
+    jump = daily.withColumn("_before", before).withColumn("_jump", F.try_divide(F.col("_mean"), F.col("_before")) - 1)
     return jump.where((F.col("_before") > 0) & (F.abs("_jump") > threshold) & F.col("_m").isNotNull()).select(
         panel,
         t,
@@ -553,9 +553,9 @@ def persistent_steps(
         .withColumn("_head", F.collect_list(value).over(w.rowsBetween(-before, -1)))
         .withColumn("_tail", F.collect_list(value).over(w.rowsBetween(1, after)))
     )
-    change = F.col(value) / F.col("_prior") - 1
-    calm_head = F.forall("_head", lambda x: F.abs(x / F.col("_prior") - 1) <= steady)
-    calm_tail = F.forall("_tail", lambda x: F.abs(x / F.col(value) - 1) <= steady)
+    change = F.try_divide(F.col(value), F.col("_prior")) - 1
+    calm_head = F.forall("_head", lambda x: F.abs(F.try_divide(x, F.col("_prior")) - 1) <= steady)
+    calm_tail = F.forall("_tail", lambda x: F.abs(F.try_divide(x, F.col(value)) - 1) <= steady)
     steps = (
         placed.where(F.col("_prior") > 0)
         .withColumn("_change", change)

@@ -355,7 +355,7 @@ def one_way_depth(df: DataFrame, entity: str, t: str, value: str) -> DataFrame:
             F.max_by("_offers", t).alias("_last"),
         )
     )
-    grew = (F.col("_days") >= 20) & (F.col("_first") > 0) & ((F.col("_last") / F.col("_first") - 1) * 100 >= 25)
+    grew = (F.col("_days") >= 20) & (F.col("_first") > 0) & ((F.try_divide(F.col("_last"), F.col("_first")) - 1) * 100 >= 25)
     breadth = by_entity.agg(F.count_if(grew).alias("expanding_breadth"))
     return beside(ends.withColumn("depth_growth_pct", growth), breadth)
 

@@ -415,7 +415,7 @@ def official_events(df: DataFrame) -> DataFrame:
 
 def daily_archive(spark: SparkSession, path: str) -> DataFrame:
     """One map document per day, the day taken from the file name."""
-    docs = spark.read.option("wholetext", True).text(path)
+    docs = spark.read.text(path, wholetext=True)
     day = F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})\.json", 1)
     return docs.select(
         parse_day(day).alias("date"), F.explode(F.from_json("value", "map<string,double>")).alias("model", "tokens")

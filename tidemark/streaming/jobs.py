@@ -59,7 +59,7 @@ def complete_week_totals(
     stream: DataFrame, ts: str, value: str, by: Sequence[str] = (), lateness: str = "1 day"
 ) -> DataFrame:
     """Weekly totals from Mondays, emitted once the watermark has passed the week's end."""
-    weeks = F.window(event_time(ts), "7 days", startTime="4 days")
+    weeks = F.window(ts, "7 days", startTime="4 days")
     return (
         stream.withColumn(ts, event_time(ts))
         .withWatermark(ts, lateness)
@@ -112,15 +112,23 @@ def stream_change_events(
 def gap_sessions(
     df: DataFrame, ts: str, keys: Sequence[str], value: str, gap: str, lateness: str | None = None
 ) -> DataFrame:
-    """Sessions split by a gap; the same call serves batch and stream."""
+    """Sessions split by a gap; the same call serves batch and stream.
+
+    Bounds come from the session's own events: a filter on the grouping window would be pushed below
+    the merge of sessions and cut them.
+    """
     timed = df.withColumn(ts, event_time(ts))
     if lateness is not None:
         timed = timed.withWatermark(ts, lateness)
-    session = F.session_window(ts, gap)
     return (
-        timed.groupBy(*keys, session.alias("_s"))
-        .agg(F.count(F.lit(1)).alias("events"), F.sum(value).alias("total"))
-        .select(*keys, F.col("_s.start").alias("session_start"), F.col("_s.end").alias("session_end"), "events", "total")
+        timed.groupBy(*keys, F.session_window(ts, gap).alias("_s"))
+        .agg(
+            F.min(ts).alias("session_start"),
+            (F.max(ts) + F.expr(f"INTERVAL {gap}")).alias("session_end"),
+            F.count(F.lit(1)).alias("events"),
+            F.sum(value).alias("total"),
+        )
+        .drop("_s")
     )
 
 
