@@ -8,39 +8,43 @@ summary row per chunk across, so only summaries meet in a single task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
 BANDS_PER_E_FOLD = 4096
 
 
+def quoted(names: Sequence[str], prefix: str = "") -> list[str]:
+    return [f"{prefix}`{n}`" for n in names]
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join keeping null keys equal; the right side's key columns are dropped."""
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-    condition = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+    on = " AND ".join(f"_l.`{k}` <=> _r.`{k}`" for k in keys) or "true"
+    rest = [c for c in right.columns if c not in keys]
+    return left.alias("_l").join(right.alias("_r"), F.expr(on), how).select(
+        "_l.*", *quoted(rest, "_r.")
+    )
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], chooser, cols: Sequence[str] | None) -> DataFrame:
+def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], chooser: str, cols: Sequence[str] | None) -> DataFrame:
     cols = list(cols) if cols is not None else [c for c in df.columns if c not in keys]
-    chosen = chooser(F.struct(*cols), F.struct(*order)).alias("_row")
-    out = df.groupBy(*keys).agg(chosen).select(*keys, "_row.*")
-    return out.select(*[c for c in df.columns if c in set(keys) | set(cols)])
+    row, by = f"struct({', '.join(quoted(cols))})", f"struct({', '.join(quoted(order))})"
+    out = df.groupBy(*keys).agg(F.expr(f"{chooser}({row}, {by}) AS _row"))
+    kept = [c for c in df.columns if c in set(keys) | set(cols)]
+    return out.selectExpr(*[f"`{c}`" if c in keys else f"_row.`{c}`" for c in kept])
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols=None) -> DataFrame:
     """The row with the greatest order per key, combined map-side instead of ranked in one task."""
-    return _pick(df, keys, order, F.max_by, cols)
+    return _pick(df, keys, order, "max_by", cols)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols=None) -> DataFrame:
     """The row with the least order per key, combined map-side instead of ranked in one task."""
-    return _pick(df, keys, order, F.min_by, cols)
+    return _pick(df, keys, order, "min_by", cols)
 
 
 def lag_in_order(
@@ -57,39 +61,39 @@ def lag_in_order(
     A task sees at most ``chunk_rows`` rows: one day of one key, cut again on ``seq``. Each chunk's
     last row is carried to the next non-empty chunk of the key.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(seq) / chunk_rows))
     chunk_keys = [*keys, t, "_chunk"]
-    inside = Window.partitionBy(*chunk_keys).orderBy(seq)
-    row = F.struct(*cols)
-    lagged = chunked.withColumn("_inside", F.lag(row).over(inside)).withColumn(
-        "_head", F.row_number().over(inside) == 1
+    by, row = ", ".join(quoted(chunk_keys)), f"struct({', '.join(quoted(cols))})"
+    chunked = df.selectExpr("*", f"floor(`{seq}` / {chunk_rows}) AS _chunk")
+    lagged = chunked.selectExpr(
+        "*",
+        f"lag({row}) OVER (PARTITION BY {by} ORDER BY `{seq}`) AS _inside",
+        f"row_number() OVER (PARTITION BY {by} ORDER BY `{seq}`) = 1 AS _head",
     )
-    tails = chunked.groupBy(*chunk_keys).agg(F.max_by(row, F.col(seq)).alias("_tail"))
-    across = Window.partitionBy(*keys).orderBy(t, "_chunk")
-    carried = tails.select(*chunk_keys, F.lag("_tail").over(across).alias("_carried"))
+    tails = chunked.groupBy(*chunk_keys).agg(F.expr(f"max_by({row}, `{seq}`) AS _tail"))
+    across = f"PARTITION BY {', '.join(quoted(keys))} " if keys else ""
+    carried = tails.selectExpr(*quoted(chunk_keys), f"lag(_tail) OVER ({across}ORDER BY `{t}`, _chunk) AS _carried")
     joined = null_safe_join(lagged, carried, chunk_keys, "left")
-    previous = F.when(F.col("_head"), F.col("_carried")).otherwise(F.col("_inside"))
-    return joined.select(*df.columns, *[previous[c].alias(prefix + c) for c in cols])
+    before = [f"CASE WHEN _head THEN _carried.`{c}` ELSE _inside.`{c}` END AS `{prefix}{c}`" for c in cols]
+    return joined.selectExpr(*quoted(df.columns), *before)
 
 
-def value_band(value: Column, per_e_fold: int = BANDS_PER_E_FOLD) -> Column:
-    """An integer that never decreases as the value grows: logarithmic bands around zero."""
-    offset = 800 * per_e_fold
-    size = F.floor(F.ln(F.abs(value)) * per_e_fold) + offset
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+def value_band(value: str, per_e_fold: int = BANDS_PER_E_FOLD) -> str:
+    """SQL of an integer that never decreases as the value grows: logarithmic bands around zero."""
+    size = f"CAST(floor(ln(abs({value})) * {per_e_fold}) + {800 * per_e_fold} AS BIGINT)"
+    return f"CASE WHEN {value} > 0 THEN {size} WHEN {value} < 0 THEN -{size} ELSE 0 END"
 
 
-def _ranks(n: Column, p: float, method: str) -> tuple[Column, Column, Column]:
-    """One-based lower rank, upper rank and weight of the upper one."""
+def _ranks(p: float, method: str) -> tuple[str, str, str]:
+    """SQL of the one-based lower rank, upper rank and weight of the upper one among ``_n`` values."""
     if method == "inclusive":
-        h = (n - 1) * F.lit(p) + 1
-        low = F.floor(h)
+        h = f"((_n - 1) * {p}D + 1)"
+        low = f"floor({h})"
     elif method == "exclusive":
-        h = (n + 1) * F.lit(p)
-        low = F.greatest(F.lit(1), F.least(F.floor(h), n - 1))
+        h = f"((_n + 1) * {p}D)"
+        low = f"greatest(1, least(floor({h}), _n - 1))"
     else:
         raise ValueError(f"unknown quantile method {method}")
-    return low, F.least(low + 1, n), h - low
+    return low, f"least({low} + 1, _n)", f"({h} - {low})"
 
 
 def group_quantiles(
@@ -107,78 +111,55 @@ def group_quantiles(
     key, the bands holding a wanted rank are located from those totals, and only their values are
     ordered, each band on its own.
     """
-    keys = list(keys)
-    v = F.col(value)
+    by = quoted(keys)
+    whole = f"PARTITION BY {', '.join(by)} " if keys else ""
+    in_band = f"PARTITION BY {', '.join([*by, '_band'])} ORDER BY _v"
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     counted = (
-        df.where(v.isNotNull())
-        .groupBy(*keys, v.cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_band", value_band(F.col("_v")))
+        df.selectExpr(*by, f"CAST(`{value}` AS DOUBLE) AS _v")
+        .where("_v IS NOT NULL")
+        .groupBy(*keys, "_v")
+        .count()
+        .selectExpr(*by, "_v", "count AS _c", f"{value_band('_v')} AS _band")
     )
+    source = {"count": "_n", "min": "_low", "max": "_high", "sum": "_sum", "avg": "_sum / _n"}
+    kinds = set((stats or {}).values())
+    spread = {
+        "_low": ("min(_v)", "min"),
+        "_high": ("max(_v)", "max"),
+        "_sum": ("sum(_v * _c)", "sum"),
+    }
+    used = {c: f for c, f in spread.items() if any(c in source[k] for k in kinds)}
     bands = counted.groupBy(*keys, "_band").agg(
-        F.sum("_c").alias("_size"),
-        F.min("_v").alias("_low"),
-        F.max("_v").alias("_high"),
-        F.sum(F.col("_v") * F.col("_c")).alias("_sum"),
+        F.expr("sum(_c) AS _size"), *[F.expr(f"{inner} AS {c}") for c, (inner, _) in used.items()]
     )
-    whole = Window.partitionBy(*keys)
-    below = whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    located = bands.select(
-        *keys,
+    located = bands.selectExpr(
+        *by,
         "_band",
         "_size",
-        F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_before"),
-        F.sum("_size").over(whole).alias("_n"),
-        F.min("_low").over(whole).alias("_low"),
-        F.max("_high").over(whole).alias("_high"),
-        F.sum("_sum").over(whole).alias("_sum"),
+        f"coalesce(sum(_size) OVER ({whole}ORDER BY _band {earlier}), 0) AS _before",
+        f"sum(_size) OVER ({whole}) AS _n",
+        *[f"{outer}({c}) OVER ({whole}) AS {c}" for c, (_, outer) in used.items()],
     )
-    n = F.col("_n")
-    edges = {name: _ranks(n, p, method) for name, (p, method) in wanted.items()}
-    needed = reduce(
-        lambda a, b: a | b,
-        [
-            (r > F.col("_before")) & (r <= F.col("_before") + F.col("_size"))
-            for low, high, _ in edges.values()
-            for r in (low, high)
-        ],
+    edges = {name: _ranks(p, method) for name, (p, method) in wanted.items()}
+    needed = " OR ".join(
+        f"({r} > _before AND {r} <= _before + _size)" for low, high, _ in edges.values() for r in (low, high)
     )
     picked = located.where(needed).drop("_size")
-    in_band = Window.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = null_safe_join(counted, picked, [*keys, "_band"]).withColumn(
-        "_from", F.col("_before") + F.coalesce(F.sum("_c").over(in_band), F.lit(0))
+    ranked = null_safe_join(counted, picked, [*keys, "_band"]).selectExpr(
+        *by, "_v", "_c", "_n", *used, f"_before + coalesce(sum(_c) OVER ({in_band} {earlier}), 0) AS _from"
     )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank > F.col("_from")) & (rank <= F.col("_from") + F.col("_c")), F.col("_v")))
-
-    aggregated = []
-    for name, (low, high, weight) in edges.items():
-        aggregated += [
-            at(low).alias(f"_{name}_low"),
-            at(high).alias(f"_{name}_high"),
-            F.max(weight).alias(f"_{name}_w"),
-        ]
-    for c in ("_n", "_low", "_high", "_sum"):
-        aggregated.append(F.max(c).alias(c))
-    grouped = ranked.groupBy(*keys).agg(*aggregated)
-    out = [
-        (
-            F.when(F.col(f"_{name}_w") == 0, F.col(f"_{name}_low")).otherwise(
-                F.col(f"_{name}_low") * (1 - F.col(f"_{name}_w")) + F.col(f"_{name}_high") * F.col(f"_{name}_w")
-            )
-        ).alias(name)
-        for name in wanted
+    at = lambda rank: f"max(CASE WHEN {rank} > _from AND {rank} <= _from + _c THEN _v END)"
+    ends = []
+    for i, (low, high, weight) in enumerate(edges.values()):
+        ends += [f"{at(low)} AS _a{i}", f"{at(high)} AS _b{i}", f"max({weight}) AS _w{i}"]
+    carried = [f"max({c}) AS {c}" for c in ("_n", *used)]
+    grouped = ranked.groupBy(*keys).agg(*[F.expr(e) for e in [*ends, *carried]])
+    between = [
+        f"CASE WHEN _w{i} = 0 THEN _a{i} ELSE _a{i} * (1 - _w{i}) + _b{i} * _w{i} END AS `{name}`"
+        for i, name in enumerate(wanted)
     ]
-    source = {
-        "count": F.col("_n"),
-        "min": F.col("_low"),
-        "max": F.col("_high"),
-        "sum": F.col("_sum"),
-        "avg": F.col("_sum") / F.col("_n"),
-    }
-    out += [source[kind].alias(name) for name, kind in (stats or {}).items()]
-    return grouped.select(*keys, *out)
+    return grouped.selectExpr(*by, *between, *[f"{source[k]} AS `{name}`" for name, k in (stats or {}).items()])
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", stats=None) -> DataFrame:
@@ -194,7 +175,7 @@ def rank_in_order(
     are ordered only within their band.
     """
     keys = list(keys)
-    banded = df.withColumn("_band", value_band(F.col(value)))
+    banded = df.selectExpr("*", f"{value_band(f'CAST(`{value}` AS DOUBLE)')} AS _band")
     order = F.desc if descending else F.asc
     sizes = banded.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy(order("_band")).rowsBetween(Window.unboundedPreceding, -1)

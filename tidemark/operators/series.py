@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ColumnLike, as_column
 from tidemark.operators.ordered import lag_in_order, null_safe_join, rank_in_order
+from tidemark.session import cut_lineage
 
 
 def _ordered(keys: Sequence[str], t: str):
@@ -412,56 +413,53 @@ def gap_range(df: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
 
 
 def panel_windows(
-    df: DataFrame, panel: str, member: str, t: str,
-    coverage: float = 0.9, min_members: int = 3, min_days: int = 10,
+    spells: DataFrame, panel: str, min_members: int = 3, min_days: int = 10
 ) -> DataFrame:
-    """Longest day suffix of each panel that enough members cover: (panel, suffix_days, start).
+    """Longest day suffix of each panel that enough members cover: (panel, suffix_days).
 
-    A member's count inside a suffix changes only at its own days, so each quote contributes one
-    interval of suffix lengths in which the member qualifies. A running sum of interval edges per
-    panel gives the number of qualifying members at every length without a day x member grid.
+    ``spells`` comes from :func:`qualifying_spells`. A running sum over interval edges gives the number
+    of qualifying members at every suffix length without a day x member grid.
     """
-    spells = _qualifying_spells(df, panel, member, t, coverage)
-    edges = spells.select(panel, F.col("_from").alias("_len"), F.lit(1).alias("_step")).unionByName(
-        spells.select(panel, (F.col("_to") + 1).alias("_len"), F.lit(-1).alias("_step"))
-    )
+    edges = spells.selectExpr(f"`{panel}`", "inline(array(struct(CAST(_from AS BIGINT) AS _len, 1 AS _step), struct(_to + 1 AS _len, -1 AS _step)))")
     steps = edges.groupBy(panel, "_len").agg(F.sum("_step").alias("_step"))
-    w = _ordered([panel], "_len")
-    levels = steps.withColumn(
-        "_members", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_last_len", F.coalesce(F.lead("_len").over(w) - 1, F.col("_len")))
-    best = (
-        levels.where((F.col("_members") >= min_members) & (F.col("_last_len") >= min_days))
-        .groupBy(panel)
-        .agg(F.max("_last_len").alias("suffix_days"))
+    levels = steps.selectExpr(
+        f"`{panel}`",
+        f"sum(_step) OVER (PARTITION BY `{panel}` ORDER BY _len) AS _members",
+        f"coalesce(lead(_len) OVER (PARTITION BY `{panel}` ORDER BY _len) - 1, _len) AS _last_len",
     )
-    return best
+    enough = levels.where(f"_members >= {min_members} AND _last_len >= {min_days}")
+    return enough.groupBy(panel).agg(F.max("_last_len").alias("suffix_days"))
 
 
-def _panel_days(df: DataFrame, panel: str, t: str) -> DataFrame:
+def panel_days(df: DataFrame, panel: str, t: str) -> DataFrame:
+    """Days of each panel numbered from the latest back, which is the length of the suffix they start."""
     days = df.select(panel, t).distinct()
-    return days.withColumn("_len", F.row_number().over(Window.partitionBy(panel).orderBy(F.desc(t))))
+    return days.selectExpr(f"`{panel}`", f"`{t}`", f"row_number() OVER (PARTITION BY `{panel}` ORDER BY `{t}` DESC) AS _len")
 
 
-def _qualifying_spells(df: DataFrame, panel: str, member: str, t: str, coverage: float) -> DataFrame:
-    quotes = df.select(panel, member, t).distinct()
-    placed = quotes.join(_panel_days(df, panel, t), [panel, t])
-    w = Window.partitionBy(panel, member).orderBy("_len")
-    total = F.max("_len").over(Window.partitionBy(panel))
-    counted = (
-        placed.withColumn("_count", F.row_number().over(w))
-        .withColumn("_next", F.lead("_len").over(w))
-        .withColumn("_total", total)
-    )
-    c = F.col("_count")
-    guess = F.floor(c / F.lit(coverage)) + 1
+def qualifying_spells(df: DataFrame, panel: str, member: str, t: str, coverage: float = 0.9) -> DataFrame:
+    """Ranges of suffix lengths in which a member covers its share: (panel, member, _from, _to).
+
+    A member's count inside a suffix changes only at its own days, so each quote contributes one range:
+    up to the length its count can cover, or to just before its next earlier quote.
+    """
+    placed = df.select(panel, member, t).distinct().join(panel_days(df, panel, t), [panel, t])
+    of_member = f"PARTITION BY `{panel}`, `{member}` ORDER BY _len"
+    counted = placed.selectExpr(
+        f"`{panel}`",
+        f"`{member}`",
+        "_len AS _from",
+        f"row_number() OVER ({of_member}) AS _count",
+        f"lead(_len) OVER ({of_member}) - 1 AS _before_next",
+        f"max(_len) OVER (PARTITION BY `{panel}`) AS _total",
+    ).withColumn("_guess", F.floor(F.col("_count") / F.lit(coverage)) + 1)
     longest = (
-        F.when(c >= F.lit(coverage) * guess, guess)
-        .when(c >= F.lit(coverage) * (guess - 1), guess - 1)
-        .otherwise(guess - 2)
+        f"CASE WHEN _count >= {coverage}D * _guess THEN _guess "
+        f"WHEN _count >= {coverage}D * (_guess - 1) THEN _guess - 1 ELSE _guess - 2 END"
     )
-    until = F.least(longest, F.coalesce(F.col("_next") - 1, F.col("_total")))
-    return counted.select(panel, member, F.col("_len").alias("_from"), until.alias("_to")).where("_to >= _from")
+    return counted.selectExpr(
+        f"`{panel}`", f"`{member}`", "_from", f"least({longest}, coalesce(_before_next, _total)) AS _to"
+    ).where("_to >= _from")
 
 
 def panel_members(
@@ -469,10 +467,10 @@ def panel_members(
     coverage: float = 0.9, min_members: int = 3, min_days: int = 10,
 ) -> DataFrame:
     """Members of each panel's chosen suffix, with the suffix length."""
-    best = panel_windows(df, panel, member, t, coverage, min_members, min_days)
-    spells = _qualifying_spells(df, panel, member, t, coverage)
-    hit = F.col("suffix_days").between(F.col("_from"), F.col("_to"))
-    return spells.join(best, panel).where(hit).select(panel, member, "suffix_days").distinct()
+    spells = cut_lineage(qualifying_spells(df, panel, member, t, coverage))
+    best = panel_windows(spells, panel, min_members, min_days)
+    chosen = spells.join(best, panel).where("suffix_days BETWEEN _from AND _to")
+    return chosen.select(panel, member, "suffix_days").distinct()
 
 
 def matched_panel_rows(
@@ -481,17 +479,20 @@ def matched_panel_rows(
 ) -> DataFrame:
     """Member rows of the final window: from the first day all members quote; still ``min_days`` long.
 
-    Adds ``_quoting`` (members quoting that day) and ``_size`` (members of the panel).
+    Adds ``_quoting`` (members quoting that day) and ``_size`` (members of the panel). The panel is read
+    several times, so it is written to the checkpoint folder once rather than rebuilt from its source.
     """
-    members = panel_members(df, panel, member, t, coverage, min_members, min_days)
+    rows = cut_lineage(df.select(panel, member, t, value))
+    members = panel_members(rows, panel, member, t, coverage, min_members, min_days)
+    days = panel_days(rows, panel, t)
     sizes = members.groupBy(panel).agg(F.count(F.lit(1)).alias("_size"))
-    days = _panel_days(df, panel, t)
-    rows = df.join(members, [panel, member]).join(days, [panel, t]).where(F.col("_len") <= F.col("suffix_days"))
-    quoting = rows.groupBy(panel, t, "_len").agg(F.count(F.lit(1)).alias("_quoting")).join(sizes, panel)
-    full = quoting.where(F.col("_quoting") == F.col("_size"))
-    start = full.groupBy(panel).agg(F.max("_len").alias("_window")).where(F.col("_window") >= min_days)
-    inside = quoting.join(start, panel).where(F.col("_len") <= F.col("_window")).drop("_len")
-    return rows.select(panel, member, t, value).join(inside, [panel, t])
+    inside = cut_lineage(
+        rows.join(members, [panel, member]).join(days, [panel, t]).where("_len <= suffix_days").drop("suffix_days")
+    )
+    quoting = inside.groupBy(panel, t, "_len").agg(F.count(F.lit(1)).alias("_quoting")).join(sizes, panel)
+    start = quoting.where("_quoting = _size").groupBy(panel).agg(F.max("_len").alias("_window"))
+    kept = quoting.join(start, panel).where(f"_window >= {min_days} AND _len <= _window")
+    return inside.drop("_len").join(kept.select(panel, t, "_quoting", "_size"), [panel, t])
 
 
 def matched_panel_index(
