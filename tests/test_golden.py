@@ -487,3 +487,9 @@ def test_guidance_year_choice(spark):
 def test_revision_counts_dates(spark):
     df = spark.createDataFrame([("s", "initial_observation", None, dt.date(2026, 1, 1)), ("s", "value_change", 5.0, dt.date(2026, 2, 1))], "s string, e string, c double, t date")
     assert tuple(one(A.revision_counts(df, "s", "e", "c", "t"))) == (1, 1, 0, dt.date(2026, 2, 1))
+
+
+def test_rebase_without_groups(spark):
+    df = spark.createDataFrame([("a", d("2026-01-01"), 2.0), ("a", d("2026-01-02"), 4.0), ("b", d("2026-01-02"), 5.0)], SERIES)
+    out = S.rebase_common_start(df, [], "s", "t", "v")
+    assert rows(out, "s", "t", "value") == [("a", d("2026-01-02"), 100.0), ("b", d("2026-01-02"), 100.0)]

@@ -244,11 +244,14 @@ def rebase_common_start(
 
     Groups with fewer than ``min_series`` series pass unchanged; a zero base drops the series.
     """
+    if not group:
+        whole = df.withColumn("_all", F.lit(1))
+        return rebase_common_start(whole, ["_all"], series, t, value, min_series).drop("_all")
     spans = df.groupBy(*group, series).agg(F.min(t).alias("_start"))
     common = spans.groupBy(*group).agg(
         F.max("_start").alias("common_start"), F.count(F.lit(1)).alias("_series_count")
     )
-    marked = null_safe_join(df, common, group) if group else df.join(common)
+    marked = null_safe_join(df, common, group)
     after = marked.where((F.col(t) >= F.col("common_start")) | (F.col("_series_count") < min_series))
     base = F.first(value).over(_ordered([*group, series], t).rowsBetween(Window.unboundedPreceding, 0))
     rebased = after.withColumn("_base", base)

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_fact(df: DataFrame, path: str, by: str = "date", files_per_partition: int | None = None) -> None:
     """Replaces exactly the partitions present in ``df``; the commit makes them visible at once.
 
-    ``files_per_partition`` salts the partition value so one large day is written by several tasks.
+    ``files_per_partition`` salts the partition value so one large day is written by several tasks;
+    the salt is a hash of the row, so a retried task places its rows as before.
     """
-    from pyspark.sql import functions as F
-
     out = df
     if files_per_partition:
-        out = df.repartition(by, F.floor(F.rand(seed=7) * files_per_partition))
+        plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+        out = df.repartition(by, F.pmod(F.xxhash64(*plain), F.lit(files_per_partition)))
     (
         out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
