@@ -61,7 +61,7 @@ m AS (SELECT date, total, named, avg(total) OVER f AS average, avg(named) OVER f
           "SELECT date, total, named, average, named_average FROM m WHERE rn >= 4"),
 )
 def trailing_mean_full(spark, sf):
-    named = F.sum(F.when(F.col("model") != "Others", F.col("tokens"))).cast("double")
+    named = F.coalesce(F.sum(F.when(F.col("model") != "Others", F.col("tokens"))), F.lit(0)).cast("double")
     weeks = usage(spark, sf).groupBy("date").agg(F.sum("tokens").cast("double").alias("total"), named.alias("named"))
     return S.trailing_mean_full(weeks, [], "date", {"total": "average", "named": "named_average"})
 
