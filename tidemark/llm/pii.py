@@ -36,6 +36,7 @@ DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 DIGIT = re.compile(r"[0-9]")
+GROUP = re.compile(r"[0-9]+")
 
 TRAIN_DOCS = 30_000  # bound of the sample the examples come from
 EXAMPLES_PER_DOC = 6  # bound of a document's examples of each sort
@@ -119,6 +120,31 @@ PROPOSALS = {
 }
 
 
+def inside_dropped(text: str) -> Iterator[Span]:
+    """Parts of fixed-format matches that failed their digit test, as when two numbers stand side by side."""
+    for run in DIGITS.finditer(text):
+        groups = [(m.start() + run.start(), m.end() + run.start()) for m in GROUP.finditer(run.group())]
+        if len(groups) > 1 and not next(cards(run.group()), None):
+            for i, (a, _) in enumerate(groups):
+                size = 0
+                for x, b in groups[i:]:
+                    size += b - x
+                    if size > 19:
+                        break
+                    if size >= 13:
+                        yield "card", a, b
+    for run in PLUS.finditer(text) if "+" in text else ():
+        size = 0
+        groups = [(m.start() + run.start(), m.end() + run.start()) for m in GROUP.finditer(run.group())]
+        if sum(b - a for a, b in groups) > 15:
+            for a, b in groups:
+                size += b - a
+                if size > 15:
+                    break
+                if size >= 9:
+                    yield "phone", run.start(), b
+
+
 def proposals(text: str, taken: list[Span]) -> list[Span]:
     """High-recall spans that meet no span of ``taken``; they may meet each other."""
     found: list[Span] = []
@@ -135,6 +161,7 @@ def proposals(text: str, taken: list[Span]) -> list[Span]:
         for kind, patterns in PROPOSALS.items():
             for pattern in patterns:
                 found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if kind != "phone" or 7 <= len(NOT_DIGIT.sub("", m.group())) <= 15]
+        found += inside_dropped(text)
     edges = sorted((a, b) for _, a, b in taken)
     starts, ends = np.array([a for a, _ in edges]), np.maximum.accumulate([b for _, b in edges]) if edges else np.array([])
     free = []
@@ -152,7 +179,6 @@ CUES = {
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "payment"),
     "phone": ("tel", "phone", "call", "fax", "mobile", "contact", "whatsapp"),
 }
-GROUP = re.compile(r"[0-9]+")
 SEPARATORS = " .-/():,[_ –"
 FEATURES = len(KINDS) * 2 + len(SEPARATORS) + 16
 
@@ -235,22 +261,41 @@ def everyday(kind: str, rng: random.Random) -> str:
     )
 
 
+def side_by_side(kind: str, body: str, rng: random.Random) -> tuple[str, list[Span]]:
+    """A fixed-format phone and card with only a blank between them, so that both fail their digit tests."""
+    number = "".join(str(rng.randint(0, 9)) for _ in range(15))
+    card = next(number + c for c in "0123456789" if luhn(number + c))
+    card = rng.choice([card, card, " ".join(card[i : i + 4] for i in range(0, 16, 4)), "-".join(card[i : i + 4] for i in range(0, 16, 4))])
+    phone = f"+{rng.choice([1, 1, 33, 44, 49])} ({rng.randint(200, 999)}) 555-{rng.randint(0, 9999):04}"
+    phone, card = (body, card) if kind == "phone" else (phone, body)
+    return f"{phone} {card}", [("phone", 0, len(phone)), ("card", len(phone) + 1, len(phone) + 1 + len(card))]
+
+
 def examples(text: str) -> Iterator[tuple[int, list[float]]]:
     """Positive and negative feature rows of one text of the sample."""
     taken = base_spans(text)
     for kind, a, b in taken[:EXAMPLES_PER_DOC]:
         rng = random.Random(text[max(0, a - 8) : b])
-        for label, make, cue in ((1, lambda: rewritten(kind, text[a:b], rng), CUES[kind]), (0, lambda: everyday(kind, rng), ("on", "no.", "order", "version", "total", "page"))):
-            for _ in range(2):
-                lead = f"{rng.choice(cue)}{rng.choice([':', ''])} " if rng.random() < 0.4 else ""
-                body = make()
-                left = text[max(0, a - WINDOW) : a] + lead
-                whole = f"{left if not left or left[-1].isspace() else left + ' '}{body}{rng.choice([' ', '. ', ', ', chr(10)])}{text[b : b + WINDOW].lstrip()}"
-                start = whole.index(body, max(0, len(left) - 1))
-                hits = [s for s in proposals(whole, []) if s[1] < start + len(body) and s[2] > start]
-                yield from ((label if s[1] == start and s[2] >= start + len(body) else 0, features(whole, s)) for s in hits)
+        made = [("new", rewritten(kind, text[a:b], rng), None), ("new", rewritten(kind, text[a:b], rng), None), ("not", everyday(kind, rng), []), ("not", everyday(kind, rng), [])]
+        if kind in ("card", "phone"):
+            made += [("two", *side_by_side(kind, text[a:b], rng)) for _ in range(2)]
+        for sort, body, true in made:
+            cues = ("on", "no.", "order", "version", "total", "page") if sort == "not" else CUES[kind]
+            lead = f"{rng.choice(cues)}{rng.choice([':', ''])} " if rng.random() < 0.4 else ""
+            left = text[max(0, a - WINDOW) : a] + lead
+            left = left if not left or left[-1].isspace() else left + " "
+            whole = f"{left}{body}{rng.choice([' ', '. ', ', ', chr(10)])}{text[b : b + WINDOW].lstrip()}"
+            start, end = len(left), len(left) + len(body)
+            exact = None if true is None else {(k, x + start, y + start) for k, x, y in true}
+            for span in proposals(whole, []):
+                if span[1] < end and span[2] > start:
+                    right = span in exact if exact is not None else span[1] == start and span[2] >= end and span[0] == kind
+                    yield int(right), features(whole, span)
+    # Proposals of the text itself count as negative, unless they lie in a dropped match and may be data.
+    unsure = list(inside_dropped(text))
     for span in proposals(text, taken)[:EXAMPLES_PER_DOC]:
-        yield 0, features(text, span)
+        if not any(span[1] < b and span[2] > a for _, a, b in unsure):
+            yield 0, features(text, span)
 
 
 @dataclass

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, mixing, quality_rules
+from tidemark.llm import language, mixing, near_join, packing, pii, quality_knn, quality_rules, token_counts
 from tidemark.llm.common import documents, fold
 
 
@@ -15,15 +16,51 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.fit(docs), keep=["doc_id"])
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
+    return quality_knn.classify(docs, quality_knn.fit(docs, labels), keep=["doc_id", "held_out"])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.apply(docs, rules, keep=["doc_id"])
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.link(documents(spark, sf_dir)).selectExpr("id AS doc_id", "class_id", "n_links")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_quality_rules, op9_source_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_personal_data,
+        op3_token_counts,
+        op4_quality_classifier,
+        op5_quality_rules,
+        op6_packing,
+        op7_near_join,
+        op9_source_mix,
+    )
+}
 ORACLES = {"op9_source_mix": mixing.MIX_SQL}
