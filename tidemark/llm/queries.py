@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, mixing, near_join, packing, pii, quality_knn, quality_rules, token_counts
+from tidemark.llm import edit_prints, html_text, language, mixing, near_join, packing, pii, quality_knn, quality_rules, token_counts
 from tidemark.llm.common import documents, fold
 
 
@@ -46,10 +46,18 @@ def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.link(documents(spark, sf_dir)).selectExpr("id AS doc_id", "class_id", "n_links")
 
 
+def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_prints.fingerprints(documents(spark, sf_dir))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -60,7 +68,9 @@ QUERIES = {
         op5_quality_rules,
         op6_packing,
         op7_near_join,
+        op8_edit_fingerprints,
         op9_source_mix,
+        op10_main_text,
     )
 }
 ORACLES = {"op9_source_mix": mixing.MIX_SQL}
