@@ -33,8 +33,9 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """``source, source_size, target`` from one row per source; shares by weight, capped, the excess reshared by weight.
 
-    Sources are capped in order of cap over weight; the level of the rest follows from running sums, so
-    no rounds are needed. Sees one row per source.
+    Sources are capped in order of cap over weight. Were the first k capped, the rest would share what is
+    left at a level that rises with k while the next source is below it and falls after that, so the highest
+    level is the right one and no rounds are needed. Sees one row per source.
     """
     picks = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(cycle))
     return (
@@ -47,7 +48,7 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats
             "sum(_w) OVER (ORDER BY _cap / _w, _place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS _left",
         )
         .selectExpr("*", "(_total - _capped) / _left AS _level")
-        .selectExpr("*", "min(CASE WHEN _cap / _w >= _level THEN _level END) OVER () AS _water")
+        .selectExpr("*", "max(_level) OVER () AS _water")
         .selectExpr("source", "source_size", "least(CAST(_cap AS DOUBLE), CAST(_w * _water AS DOUBLE)) AS target")
     )
 
@@ -143,7 +144,7 @@ levels AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
 targets AS (
-  SELECT source, source_size, least(cap::DOUBLE, (w * (SELECT min(level) FROM levels WHERE cap / w >= level))::DOUBLE) AS target FROM levels),
+  SELECT source, source_size, least(cap::DOUBLE, (w * (SELECT max(level) FROM levels))::DOUBLE) AS target FROM levels),
 queue AS (
   SELECT s.doc_id, s.source, s.size, s.h, t.source_size, t.target,
     sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
