@@ -89,6 +89,68 @@ def test_rank_in_order(spark):
     assert [r.m for r in sorted(out.collect(), key=lambda r: r["rank"])] == expected
 
 
+@pytest.mark.parametrize(
+    "values",
+    [
+        lambda r: r.gauss(0, 5),
+        lambda r: float(r.randint(-3, 3)),
+        lambda r: 1.75e9 + r.random(),
+        lambda r: r.choice([0.0, 1e-9, 1e9, -1e9, 3.5]),
+    ],
+)
+def test_split_keys_give_the_same_quantiles(spark, values):
+    data = _groups(4, {"hot": 2000, None: 700, "b": 4, "e": 1}, values)
+    df = spark.createDataFrame(data, "k string, v double")
+    ask = {"m": (0.5, "inclusive"), "q1": (0.25, "exclusive"), "q3": (0.75, "exclusive")}
+    stats = {"n": "count", "lo": "min", "hi": "max"}
+    assert rows(O.group_quantiles(df, ["k"], "v", ask, stats, small=3)) == rows(O.group_quantiles(df, ["k"], "v", ask, stats))
+    assert rows(O.group_quantiles(df, [], "v", ask, stats, small=3)) == rows(O.group_quantiles(df, [], "v", ask, stats))
+
+
+def test_quantiles_leave_out_nan_and_infinity(spark):
+    df = spark.createDataFrame([(x,) for x in (0.5, float("nan"), 2.0, 3.0, 4.0, float("inf"), float("-inf"))], "v double")
+    for small in (1, 100):
+        got = O.group_quantiles(df, [], "v", {"m": (0.5, "inclusive")}, {"n": "count", "hi": "max"}, small=small)
+        assert rows(got) == [(2.5, 4, 4.0)]
+    assert rows(O.group_median(df.where("v > 10"), [], "v")) == []
+
+
+@pytest.mark.parametrize("values", ["1.75e9D + id / 1000D", "100D + id / 1e8D", "IF(id % 3 = 0, 0D, id * 1D)"])
+def test_clustered_values_are_narrowed_to_few(spark, values):
+    df = spark.range(1_000_000).selectExpr("'hot' AS k", f"{values} AS v")
+    counted = df.groupBy("k", "v").agg(F.count("*").alias("_c")).withColumnRenamed("v", "_v")
+    edges = {"m": O._ranks(0.5, "inclusive"), "q": O._ranks(0.25, "exclusive")}
+    near = O._narrowed(counted, ["k"], edges, {})
+    assert near.count() <= 64  # of a million values, all that a window orders
+    got = O.group_quantiles(df, ["k"], "v", {"m": (0.5, "inclusive"), "q": (0.25, "exclusive")}).first()
+    want = df.selectExpr("median(v)").first()[0]
+    assert got.m == want
+
+
+def test_sparse_numbers_make_few_chunks(spark):
+    df = spark.range(200_000).selectExpr("'hot' AS k", "date'2026-01-01' AS day", "id * 1000003 + 9007199254740993 AS seq", "id * 1D AS v")
+    out = O.lag_in_order(df, ["k"], "day", "seq", ["v"], chunk_rows=10_000)
+    assert out.where("coalesce(prev_v, -1) <> v - 1").count() == 0
+    spans = df.selectExpr("min(seq) AS a", "max(seq) AS b", "count(*) AS n").first()
+    width = (spans.b - spans.a) // (spans.n // 10_000) + 1
+    sizes = df.selectExpr(f"(seq - {spans.a}) div {width} AS c").groupBy("c").count().agg(F.count("*"), F.max("count")).first()
+    assert sizes[0] <= 21 and sizes[1] <= 10_001
+
+
+@pytest.mark.parametrize("tie", ["string", "long"])
+@pytest.mark.parametrize("descending", [True, False])
+def test_split_keys_give_the_same_ranks(spark, tie, descending):
+    rnd = random.Random(11)
+    data = [(k, f"model-{i:05d}" if tie == "string" else i, rnd.choice([0.0, 0.0, 0.0, 5.0, rnd.gauss(0, 3), 1.75e9 + rnd.random()])) for k, n in (("hot", 3000), ("b", 3)) for i in range(n)]
+    data.append(("hot", "nan" if tie == "string" else -1, float("nan")))
+    rnd.shuffle(data)
+    df = spark.createDataFrame(data, f"w string, m {tie}, v double")
+    split = O.rank_in_order(df, ["w"], "v", "m", descending=descending, small=2)
+    assert rows(split) == rows(O.rank_in_order(df, ["w"], "v", "m", descending=descending))
+    expected = [m for w, m, v in sorted((x for x in data if x[0] == "hot" and x[2] == x[2]), key=lambda x: (-x[2] if descending else x[2], x[1]))]
+    assert [r.m for r in sorted(split.where("w = 'hot'").collect(), key=lambda r: r["rank"])] == expected
+
+
 def test_first_and_last_per_key(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("b", 5, "y")], "k string, seq int, v string")
     assert rows(O.first_per_key(df, ["k"], ["seq"])) == rows(spark.createDataFrame([("a", 1, None), ("b", 5, "y")], df.schema))

@@ -1,8 +1,11 @@
 """Order-dependent primitives that stay correct and spread out when one key holds most rows.
 
-Windows partitioned by a business key put that key in one task. The helpers here split the
-key's ordered rows into bounded chunks, solve each chunk in its own task and carry one
-summary row per chunk across, so only summaries meet in a single task.
+A window partitioned by a business key puts that key in one task, which is fine up to a bounded number of
+rows. Keys beyond it are split into pieces of their order: each piece is solved in its own task, and only
+one summary row per piece meets the others. Which keys those are follows from counts; results do not
+depend on the route.
+
+Numbers that are null, NaN or infinite are no observations: quantiles and ranks leave them out.
 """
 
 from __future__ import annotations
@@ -14,6 +17,11 @@ from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
 BANDS_PER_E_FOLD = 4096
+SUB_BANDS = 1 << 16
+#: A key with more rows (for quantiles: different values) than this is split.
+SMALL_GROUP = 200_000
+#: Keys that may be split, the largest first; bounds what is broadcast.
+MOST_SPLIT = 100_000
 
 
 def quoted(names: Sequence[str], prefix: str = "") -> list[str]:
@@ -58,31 +66,61 @@ def lag_in_order(
 ) -> DataFrame:
     """Previous row's ``cols`` per key in ``(t, seq)`` order, where ``seq`` is a unique integer per (key, t).
 
-    A task sees at most ``chunk_rows`` rows: one day of one key, cut again on ``seq``. Each chunk's
-    last row is carried to the next non-empty chunk of the key.
+    One day of one key is cut into chunks of about ``chunk_rows`` rows: its range of ``seq`` is divided by
+    as many chunks as its count asks for, so numbers far apart make no more chunks than rows need. Each
+    chunk's last row is carried to the day's next chunk, and each day's last row to the key's next day.
     """
-    chunk_keys = [*keys, t, "_chunk"]
-    by, row = ", ".join(quoted(chunk_keys)), f"struct({', '.join(quoted(cols))})"
-    chunked = df.selectExpr("*", f"floor(`{seq}` / {chunk_rows}) AS _chunk")
+    day = [*keys, t]
+    chunk = [*day, "_chunk"]
+    per_day, per_chunk, row = ", ".join(quoted(day)), ", ".join(quoted(chunk)), f"struct({', '.join(quoted(cols))})"
+    spans = df.groupBy(*day).agg(
+        F.expr(f"min(`{seq}`) AS _low"),
+        F.expr(f"(max(`{seq}`) - min(`{seq}`)) div greatest(1, count(*) div {chunk_rows}) + 1 AS _width"),
+    )
+    chunked = null_safe_join(df, spans, day).selectExpr(*quoted(df.columns), f"(`{seq}` - _low) div _width AS _chunk")
     lagged = chunked.selectExpr(
         "*",
-        f"lag({row}) OVER (PARTITION BY {by} ORDER BY `{seq}`) AS _inside",
-        f"row_number() OVER (PARTITION BY {by} ORDER BY `{seq}`) = 1 AS _head",
+        f"lag({row}) OVER (PARTITION BY {per_chunk} ORDER BY `{seq}`) AS _inside",
+        f"row_number() OVER (PARTITION BY {per_chunk} ORDER BY `{seq}`) = 1 AS _head",
+    )
+    tails = chunked.groupBy(*chunk).agg(F.expr(f"max_by({row}, `{seq}`) AS _tail"))
+    within = tails.selectExpr(
+        *quoted(chunk),
+        "_tail",
+        f"lag(_tail) OVER (PARTITION BY {per_day} ORDER BY _chunk) AS _earlier",
+        f"row_number() OVER (PARTITION BY {per_day} ORDER BY _chunk) = 1 AS _opens",
     )
-    tails = chunked.groupBy(*chunk_keys).agg(F.expr(f"max_by({row}, `{seq}`) AS _tail"))
     across = f"PARTITION BY {', '.join(quoted(keys))} " if keys else ""
-    carried = tails.selectExpr(*quoted(chunk_keys), f"lag(_tail) OVER ({across}ORDER BY `{t}`, _chunk) AS _carried")
-    joined = null_safe_join(lagged, carried, chunk_keys, "left")
+    ends = tails.groupBy(*day).agg(F.max_by("_tail", "_chunk").alias("_last"))
+    ends = ends.selectExpr(*quoted(day), f"lag(_last) OVER ({across}ORDER BY `{t}`) AS _yesterday")
+    carried = null_safe_join(within, ends, day).selectExpr(*quoted(chunk), "IF(_opens, _yesterday, _earlier) AS _carried")
+    joined = null_safe_join(lagged, carried, chunk, "left")
     before = [f"CASE WHEN _head THEN _carried.`{c}` ELSE _inside.`{c}` END AS `{prefix}{c}`" for c in cols]
     return joined.selectExpr(*quoted(df.columns), *before)
 
 
+def finite(value: str) -> str:
+    """SQL that holds for numbers that are neither null, NaN nor infinite."""
+    return f"({value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < double('Infinity'))"
+
+
 def value_band(value: str, per_e_fold: int = BANDS_PER_E_FOLD) -> str:
-    """SQL of an integer that never decreases as the value grows: logarithmic bands around zero."""
+    """SQL of an integer that never decreases as the finite value grows: logarithmic bands around zero."""
     size = f"CAST(floor(ln(abs({value})) * {per_e_fold}) + {800 * per_e_fold} AS BIGINT)"
     return f"CASE WHEN {value} > 0 THEN {size} WHEN {value} < 0 THEN -{size} ELSE 0 END"
 
 
+def sub_band(value: str, low: str, high: str, parts: int = SUB_BANDS) -> str:
+    """SQL of the part of ``[low, high]`` that holds the value; never decreases as the value grows."""
+    return f"IF({high} > {low}, CAST(floor(({value} - {low}) / ({high} - {low}) * {parts}) AS INT), 0)"
+
+
+def split_keys(sizes: DataFrame, keys: Sequence[str], size: str, small: int) -> DataFrame:
+    """The keys to split, the largest first, few enough to broadcast; all others take the plain route."""
+    large = sizes.where(F.col(size) > small).orderBy(F.desc(size), *[F.asc(k) for k in keys])
+    return F.broadcast(large.select(*keys).limit(MOST_SPLIT))
+
+
 def _ranks(p: float, method: str) -> tuple[str, str, str]:
     """SQL of the one-based lower rank, upper rank and weight of the upper one among ``_n`` values."""
     if method == "inclusive":
@@ -96,70 +134,100 @@ def _ranks(p: float, method: str) -> tuple[str, str, str]:
     return low, f"least({low} + 1, _n)", f"({h} - {low})"
 
 
+EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+SPREAD = {"_low": ("min(_v)", "min"), "_high": ("max(_v)", "max"), "_sum": ("sum(_v * _c)", "sum")}
+STATS = {"count": "_n", "min": "_low", "max": "_high", "sum": "_sum", "avg": "_sum / _n"}
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     wanted: Mapping[str, tuple[float, str]],
     stats: Mapping[str, str] | None = None,
+    small: int = SMALL_GROUP,
 ) -> DataFrame:
-    """Exact quantiles per key without gathering a key's values in one task.
+    """Exact quantiles per key without gathering an unbounded key's values in one task.
 
-    ``wanted`` maps an output column to ``(probability, "inclusive" | "exclusive")``;
-    ``stats`` maps output columns to ``count``, ``min``, ``max``, ``sum`` or ``avg`` of the same
-    non-null values. Equal values are counted map-side first; value bands are then totalled per
-    key, the bands holding a wanted rank are located from those totals, and only their values are
-    ordered, each band on its own.
+    ``wanted`` maps an output column to ``(probability, "inclusive" | "exclusive")``; ``stats`` maps output
+    columns to ``count``, ``min``, ``max``, ``sum`` or ``avg`` of the same finite values. The source is
+    scanned once: equal values are counted map-side, keys with up to ``small`` different values are ordered
+    whole, and a larger key is narrowed down to the few values around each wanted rank.
     """
+    if not keys:
+        every = group_quantiles(df.selectExpr(f"`{value}`", "1 AS _every"), ["_every"], value, wanted, stats, small)
+        return every.drop("_every")
     by = quoted(keys)
-    whole = f"PARTITION BY {', '.join(by)} " if keys else ""
-    in_band = f"PARTITION BY {', '.join([*by, '_band'])} ORDER BY _v"
-    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     counted = (
-        df.selectExpr(*by, f"CAST(`{value}` AS DOUBLE) AS _v")
-        .where("_v IS NOT NULL")
-        .groupBy(*keys, "_v")
-        .count()
-        .selectExpr(*by, "_v", "count AS _c", f"{value_band('_v')} AS _band")
-    )
-    source = {"count": "_n", "min": "_low", "max": "_high", "sum": "_sum", "avg": "_sum / _n"}
-    kinds = set((stats or {}).values())
-    spread = {
-        "_low": ("min(_v)", "min"),
-        "_high": ("max(_v)", "max"),
-        "_sum": ("sum(_v * _c)", "sum"),
-    }
-    used = {c: f for c, f in spread.items() if any(c in source[k] for k in kinds)}
-    bands = counted.groupBy(*keys, "_band").agg(
-        F.expr("sum(_c) AS _size"), *[F.expr(f"{inner} AS {c}") for c, (inner, _) in used.items()]
-    )
-    located = bands.selectExpr(
-        *by,
-        "_band",
-        "_size",
-        f"coalesce(sum(_size) OVER ({whole}ORDER BY _band {earlier}), 0) AS _before",
-        f"sum(_size) OVER ({whole}) AS _n",
-        *[f"{outer}({c}) OVER ({whole}) AS {c}" for c, (_, outer) in used.items()],
+        df.selectExpr(*by, f"CAST(`{value}` AS DOUBLE) AS _v").where(finite("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     )
+    large = split_keys(counted.groupBy(*keys).agg(F.count("*").alias("_size")), keys, "_size", small)
+    on = F.expr(" AND ".join(f"_l.`{k}` <=> _r.`{k}`" for k in keys))
+    plain = counted.alias("_l").join(large.alias("_r"), on, "left_anti")
+    split = counted.alias("_l").join(large.alias("_r"), on, "left_semi")
+    used = {c: SPREAD[c] for c in SPREAD if any(c in STATS[k] for k in (stats or {}).values())}
     edges = {name: _ranks(p, method) for name, (p, method) in wanted.items()}
-    needed = " OR ".join(
-        f"({r} > _before AND {r} <= _before + _size)" for low, high, _ in edges.values() for r in (low, high)
-    )
-    picked = located.where(needed).drop("_size")
-    ranked = null_safe_join(counted, picked, [*keys, "_band"]).selectExpr(
-        *by, "_v", "_c", "_n", *used, f"_before + coalesce(sum(_c) OVER ({in_band} {earlier}), 0) AS _from"
+    whole = ", ".join(by)
+    ranked = plain.selectExpr(
+        *by,
+        "_v",
+        "_c",
+        f"sum(_c) OVER (PARTITION BY {whole}) AS _n",
+        f"coalesce(sum(_c) OVER (PARTITION BY {whole} ORDER BY _v {EARLIER}), 0) AS _from",
     )
-    at = lambda rank: f"max(CASE WHEN {rank} > _from AND {rank} <= _from + _c THEN _v END)"
-    ends = []
-    for i, (low, high, weight) in enumerate(edges.values()):
-        ends += [f"{at(low)} AS _a{i}", f"{at(high)} AS _b{i}", f"max({weight}) AS _w{i}"]
-    carried = [f"max({c}) AS {c}" for c in ("_n", *used)]
-    grouped = ranked.groupBy(*keys).agg(*[F.expr(e) for e in [*ends, *carried]])
+    ends = _ends(edges)
+    small_groups = ranked.groupBy(*keys).agg(*[F.expr(e) for e in [*ends, "max(_n) AS _n", *(f"{inner} AS {c}" for c, (inner, _) in used.items())]])
+    large_groups = _narrowed(split, keys, edges, used).groupBy(*keys).agg(*[F.expr(e) for e in [*ends, *(f"max({c}) AS {c}" for c in ("_n", *used))]])
     between = [
         f"CASE WHEN _w{i} = 0 THEN _a{i} ELSE _a{i} * (1 - _w{i}) + _b{i} * _w{i} END AS `{name}`"
         for i, name in enumerate(wanted)
     ]
-    return grouped.selectExpr(*by, *between, *[f"{source[k]} AS `{name}`" for name, k in (stats or {}).items()])
+    return small_groups.unionByName(large_groups).selectExpr(*by, *between, *[f"{STATS[k]} AS `{name}`" for name, k in (stats or {}).items()])
+
+
+def _ends(edges: Mapping[str, tuple[str, str, str]]) -> list[str]:
+    at = lambda rank: f"max(CASE WHEN {rank} > _from AND {rank} <= _from + _c THEN _v END)"
+    return [e for i, (low, high, weight) in enumerate(edges.values()) for e in (f"{at(low)} AS _a{i}", f"{at(high)} AS _b{i}", f"max({weight}) AS _w{i}")]
+
+
+def _narrowed(counted: DataFrame, keys: Sequence[str], edges: Mapping[str, tuple[str, str, str]], used: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Values around the wanted ranks of large keys, with the number of rows before each.
+
+    Logarithmic bands, then twice the linear parts between a picked band's least and greatest value: a band
+    holds at most 2^40 doubles, which two rounds of 2^16 parts narrow to a few hundred, however clustered.
+    What is picked, a few bands per wanted rank and split key, is broadcast.
+    """
+    needed = " OR ".join(f"({r} > _before AND {r} <= _before + _size)" for low, high, _ in edges.values() for r in (low, high))
+    by, path = quoted(keys), ["_b0"]
+    rows = counted.selectExpr(*by, "_v", "_c", f"{value_band('_v')} AS _b0")
+    whole = f"PARTITION BY {', '.join(by)}"
+    totals = rows.groupBy(*keys, "_b0").agg(*[F.expr(e) for e in ("sum(_c) AS _size", "min(_v) AS _from_v", "max(_v) AS _to_v", *(f"{inner} AS {c}" for c, (inner, _) in used.items()))])
+    picked = totals.selectExpr(
+        *by,
+        "_b0",
+        "_size",
+        "_from_v",
+        "_to_v",
+        f"coalesce(sum(_size) OVER ({whole} ORDER BY _b0 {EARLIER}), 0) AS _before",
+        f"sum(_size) OVER ({whole}) AS _n",
+        *[f"{outer}({c}) OVER ({whole}) AS {c}" for c, (_, outer) in used.items()],
+    ).where(needed).drop("_size")
+    carried = ["_n", *used]
+    for level in (1, 2):
+        inside = null_safe_join(rows, F.broadcast(picked), [*keys, *path])
+        inside = inside.selectExpr(*by, *path, *carried, "_before", "_v", "_c", f"{sub_band('_v', '_from_v', '_to_v')} AS _b{level}")
+        piece = f"PARTITION BY {', '.join([*by, *path])}"
+        path = [*path, f"_b{level}"]
+        totals = inside.groupBy(*keys, *path).agg(
+            *[F.expr(e) for e in ("sum(_c) AS _size", "min(_v) AS _from_v", "max(_v) AS _to_v", "max(_before) AS _base", *(f"max({c}) AS {c}" for c in carried))]
+        )
+        picked = totals.selectExpr(
+            *by, *path, *carried, "_size", "_from_v", "_to_v", f"_base + coalesce(sum(_size) OVER ({piece} ORDER BY _b{level} {EARLIER}), 0) AS _before"
+        ).where(needed).drop("_size")
+        rows = inside.selectExpr(*by, *path, "_v", "_c")
+    near = null_safe_join(rows, F.broadcast(picked), [*keys, *path])
+    in_piece = f"PARTITION BY {', '.join([*by, *path])} ORDER BY _v"
+    return near.selectExpr(*by, "_v", "_c", *carried, f"_before + coalesce(sum(_c) OVER ({in_piece} {EARLIER}), 0) AS _from")
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", stats=None) -> DataFrame:
@@ -167,19 +235,48 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
 
 
 def rank_in_order(
-    df: DataFrame, keys: Sequence[str], value: str, tie: str, name: str = "rank", descending: bool = True
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    tie: str,
+    name: str = "rank",
+    descending: bool = True,
+    small: int = SMALL_GROUP,
 ) -> DataFrame:
-    """Full rank per key by ``value`` then ``tie``, without gathering a key's rows in one task.
+    """Full rank per key by finite ``value``, then ``tie`` ascending, without an unbounded key in one task.
 
-    Rows are counted per value band, bands are ranked against each other from those counts, and rows
-    are ordered only within their band.
+    Keys with more than ``small`` rows are ordered piece by piece: bands of the value and linear parts of
+    each band; a part that holds a single value is cut on by what its ties differ in first.
     """
-    keys = list(keys)
-    banded = df.selectExpr("*", f"{value_band(f'CAST(`{value}` AS DOUBLE)')} AS _band")
-    order = F.desc if descending else F.asc
-    sizes = banded.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy(order("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_band", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_band").orderBy(order(value), F.asc(tie))
-    placed = null_safe_join(banded, offsets, [*keys, "_band"]).withColumn("_rn", F.row_number().over(inside))
-    return placed.withColumn(name, F.col("_before") + F.col("_rn")).select(*df.columns, name)
+    keys, by = list(keys), quoted(keys)
+    rows = df.where(finite(f"CAST(`{value}` AS DOUBLE)"))
+    large = split_keys(rows.groupBy(*keys).agg(F.count("*").alias("_rows")), keys, "_rows", small)
+    on = F.expr(" AND ".join(f"_l.`{k}` <=> _r.`{k}`" for k in keys))
+    way = "DESC" if descending else "ASC"
+    whole = f"PARTITION BY {', '.join(by)} ORDER BY `{value}` {way}, `{tie}`"
+    plain = rows.alias("_l").join(large.alias("_r"), on, "left_anti").selectExpr("*", f"row_number() OVER ({whole}) AS `{name}`")
+    split = rows.alias("_l").join(large.alias("_r"), on, "left_semi").selectExpr("*", f"CAST(`{value}` AS DOUBLE) AS _v", f"CAST(`{tie}` AS STRING) AS _t")
+    banded = split.selectExpr("*", f"{value_band('_v')} AS _band")
+    edges = banded.groupBy(*keys, "_band").agg(F.min("_v").alias("_from_v"), F.max("_v").alias("_to_v"))
+    parted = null_safe_join(banded, edges, [*keys, "_band"]).withColumn("_part", F.expr(sub_band("_v", "_from_v", "_to_v"))).drop("_from_v", "_to_v")
+    texts = dict(df.dtypes)[tie] == "string"
+    first, last = (("_t", "_t") if texts else (f"`{tie}`", f"`{tie}`"))
+    inner = parted.groupBy(*keys, "_band", "_part").agg(
+        F.expr("min(_v) = max(_v) AS _single"), F.expr(f"min({first}) AS _first_tie"), F.expr(f"max({last}) AS _last_tie")
+    )
+    if texts:
+        # The three bytes after what all ties of the part begin with, in byte order.
+        inner = inner.withColumn(
+            "_common", F.expr("size(filter(sequence(0, least(length(_first_tie), length(_last_tie))), i -> i > 0 AND left(_first_tie, i) = left(_last_tie, i)))")
+        ).drop("_first_tie", "_last_tie")
+        cut = "IF(_single, rpad(left(hex(substring(_t, _common + 1)), 6), 6, '0'), '')"
+    else:
+        cut = "IF(_single, lpad(CAST(" + sub_band("CAST(`" + tie + "` AS DOUBLE)", "CAST(_first_tie AS DOUBLE)", "CAST(_last_tie AS DOUBLE)") + " AS STRING), 6, '0'), '')"
+    pieces = null_safe_join(parted, inner, [*keys, "_band", "_part"]).withColumn("_cut", F.expr(f"coalesce({cut}, '')"))
+    piece = [*keys, "_band", "_part", "_cut"]
+    sizes = pieces.groupBy(*piece).agg(F.count("*").alias("_size"))
+    order = f"_band {way}, _part {way}, _cut"
+    offsets = sizes.selectExpr(*quoted(piece), f"coalesce(sum(_size) OVER (PARTITION BY {', '.join(by)} ORDER BY {order} {EARLIER}), 0) AS _before")
+    inside = f"PARTITION BY {', '.join(quoted(piece))} ORDER BY `{value}` {way}, `{tie}`"
+    placed = null_safe_join(pieces, offsets, piece).selectExpr(*quoted(df.columns), f"_before + row_number() OVER ({inside}) AS `{name}`")
+    return plain.selectExpr(*quoted(df.columns), f"CAST(`{name}` AS BIGINT) AS `{name}`").unionByName(placed)
