@@ -28,14 +28,14 @@ from tidemark.llm.tokens import UNCOMMON, WORD_PATTERN, load, special_splitter
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_RANGE = 50_000
-CACHE = 500_000  # words, about 100 MB in a task
+CACHE = 1_500_000  # words and runs, about 300 MB in a task
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of pre-tokens as little-endian bytes; new ones are encoded in batches, and the cache is bounded."""
 
     def __init__(self, tokenizer):
-        super().__init__()
+        self.ids: dict[str, bytes] = {}
         self.tokenizer = tokenizer
         suffix = tokenizer.model.end_of_word_suffix
         # With a word-end suffix many words can be encoded as one text and told apart by their last ids.
@@ -43,14 +43,21 @@ class WordIds(dict):
         if suffix:
             self.ends[[i for piece, i in tokenizer.get_vocab(False).items() if piece.endswith(suffix)]] = True
 
-    def learn(self, words: set[str]) -> None:
-        new = sorted(words.difference(self))
-        if len(self) + len(new) > CACHE:
-            kept = {w: self[w] for w in words.intersection(self)}
-            self.clear()
-            self.update(kept)
-        for i in range(0, len(new), 20_000):
-            self.update(self._encode(new[i : i + 20_000]))
+    def learn(self, runs: set[str]) -> None:
+        """Makes the ids of runs without blanks known; a run is one pre-token or several side by side."""
+        known = self.ids
+        new = runs.difference(known)
+        if len(known) + 2 * len(new) > CACHE:
+            kept = {w: known[w] for w in runs if w in known}
+            known.clear()
+            known.update(kept)
+        parts = {run: WORD_PATTERN.findall(run) for run in new}
+        words = sorted({w for found in parts.values() for w in found}.difference(known))
+        for i in range(0, len(words), 20_000):
+            known.update(self._encode(words[i : i + 20_000]))
+        for run, found in parts.items():
+            if len(found) != 1:
+                known[run] = b"".join(map(known.__getitem__, found))
 
     def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         if self.ends is not None:
@@ -71,17 +78,11 @@ def encoder(path: str):
     known = WordIds(tokenizer)
 
     def encode(texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        words: set[str] = set()
-        for t in texts:
-            if UNCOMMON.search(t) or len(cut(t)) > 1:
-                split.append(None)
-            else:
-                split.append(WORD_PATTERN.findall(t.lower()))
-                words.update(split[-1])
-        known.learn(words)
+        # Blanks end every pre-token and have no ids themselves.
+        split = [None if UNCOMMON.search(t) or len(cut(t)) > 1 else t.lower().split() for t in texts]
+        known.learn(set().union(*(s for s in split if s is not None)))
         whole = iter(tokenizer.encode_batch([t for t, s in zip(texts, split, strict=True) if s is None], add_special_tokens=False))
-        return [np.array(next(whole).ids, "<u4").tobytes() if s is None else b"".join(map(known.__getitem__, s)) for s in split]
+        return [np.array(next(whole).ids, "<u4").tobytes() if s is None else b"".join(map(known.ids.__getitem__, s)) for s in split]
 
     return encode
 
