@@ -22,6 +22,7 @@ from tidemark.llm.common import SPACE, stored
 
 MAX_REPEATS = 3
 ROWS_PER_RANGE = 50_000
+FINISH_RANGES = 1 << 16  # of finish times, for each pass over the sources
 CYCLE = (1, 2, 3)
 
 
@@ -86,8 +87,7 @@ def mix(
     # A document's entries: one for each pass over its source, at a finish time of passes plus its place.
     times = [f"CASE WHEN _size > 0 THEN ({e} * _ssize + _before + _within) / _target END" for e in range(max_repeats)]
     entries = joined.selectExpr("*", f"array({', '.join(times)}) AS _finish")
-    spread = 4 * 16**digits
-    slot = f"CAST(floor(least(x, {float(max_repeats)}D) * {spread}) AS BIGINT)"
+    slot = f"CAST(floor(least(x, {float(max_repeats)}D) * {FINISH_RANGES}) AS BIGINT)"
     by_slot = (
         entries.where("_size > 0")
         .selectExpr("_size", "_ssize", "explode(_finish) AS x")
