@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.functions.scalars import price_tier
 from tidemark.operators.ordered import group_median, group_quantiles, null_safe_join
 
@@ -45,6 +46,15 @@ def entity_map(votes: DataFrame, keys: Sequence[str], entity: str, value: str, n
     return votes.groupBy(*keys).agg(F.map_from_entries(F.array_sort(pairs)).alias(name))
 
 
+def comparable_offers(
+    df: DataFrame, family: str, kind: str, price: str,
+    families: Sequence[str] = config.FRONTIER, kinds: Sequence[str] = config.RENTAL_KINDS,
+) -> DataFrame:
+    """Offers that may enter a pooled price: a frontier family, rented without interruption, priced above zero."""
+    rented = F.lower(F.coalesce(F.col(kind), F.lit(""))).isin([k.lower() for k in kinds])
+    return df.where(F.col(family).isin(list(families)) & rented & (F.col(price) > 0))
+
+
 def pooled_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "value") -> DataFrame:
     """One median over all offers of a key, however unevenly entities quote."""
     return group_median(df, keys, value, name)
@@ -253,18 +263,15 @@ def tier_share(df: DataFrame, t: str, weight: str, price: str, tiers: Sequence[s
 def conditional_medians(
     df: DataFrame, keys: Sequence[str], metric: str, value: str, metrics: Mapping[str, Sequence[str]]
 ) -> DataFrame:
-    """One median column per output name over the rows whose metric is in its list."""
-    name = reduce(
-        lambda acc, kv: acc.when(F.col(metric).isin(list(kv[1])), kv[0]) if acc is not None
-        else F.when(F.col(metric).isin(list(kv[1])), kv[0]),
-        metrics.items(),
-        None,
-    )
-    tagged = df.withColumn("_out", name).where("_out IS NOT NULL")
-    medians = group_median(tagged, [*keys, "_out"], value, "_m")
-    wide = medians.groupBy(*keys).pivot("_out", list(metrics)).agg(F.first("_m"))
-    everyone = df.select(*keys).distinct()
-    return null_safe_join(everyone, wide, keys, "left")
+    """One median column per output name over the rows whose metric is in its list.
+
+    A row goes to every output that lists its metric, and once to none, which keeps keys without any.
+    """
+    outputs = F.array(F.lit(""), *[F.when(F.col(metric).isin(list(names)), F.lit(out)) for out, names in metrics.items()])
+    tagged = df.select(*keys, F.col(value).cast("double").alias("_x"), F.explode(F.array_compact(outputs)).alias("_out"))
+    held = tagged.withColumn("_x", F.when(F.col("_out") == "", 0.0).otherwise(F.col("_x")))
+    medians = group_median(held, [*keys, "_out"], "_x", "_m")
+    return medians.groupBy(*keys).agg(*[F.max(F.when(F.col("_out") == out, F.col("_m"))).alias(out) for out in metrics])
 
 
 def conditional_extremes(
@@ -326,12 +333,13 @@ def having_distinct(df: DataFrame, keys: Sequence[str], c: str, at_least: int, l
 
 def coverage_top(df: DataFrame, item: str, t: str, value: str, n: int = 8) -> DataFrame:
     """Items present on nearly every day, ranked by days, total and latest value."""
-    last_day = df.agg(F.max(t)).scalar()
-    stats = df.groupBy(item).agg(
-        F.count(F.lit(1)).alias("days"),
-        F.sum(value).alias("total"),
-        F.coalesce(F.sum(F.when(F.col(t) == last_day, F.col(value))), F.lit(0)).alias("latest"),
+    by_day = df.groupBy(item, t).agg(F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum"))
+    ends = by_day.groupBy(item).agg(
+        F.sum("_rows").alias("days"), F.sum("_sum").alias("total"), F.max(t).alias("_last"), F.max_by("_sum", t).alias("_sum")
     )
+    last_day = ends.agg(F.max("_last")).scalar()
+    latest = F.coalesce(F.when(F.col("_last") == last_day, F.col("_sum")), F.lit(0)).alias("latest")
+    stats = ends.select(item, "days", "total", latest)
     floor = F.greatest(F.lit(2), stats.agg(F.max("days")).scalar() - 1)
     order = [F.desc("days"), F.desc("total"), F.desc("latest"), F.asc(item)]
     return stats.where(F.col("days") >= floor).orderBy(*order).limit(n)
@@ -345,11 +353,12 @@ def cumulative_head(
 
     The first item always stays. Only the top ``n`` meet in the running sum.
     """
-    recent = df.select(t).distinct().orderBy(F.desc(t)).limit(last_periods)
-    rows = df.join(recent, t, "left_semi")
-    sums = rows.where(F.col(item) != residual).groupBy(item).agg(F.sum(tokens).alias("tokens"))
+    by_period = df.groupBy(t, item).agg(F.sum(tokens).alias("_sum"))
+    recent = by_period.select(t).distinct().orderBy(F.desc(t)).limit(last_periods)
+    every = by_period.join(recent, t, "left_semi").groupBy(item).agg(F.sum("_sum").alias("tokens"))
+    sums = every.where(F.col(item) != residual)
     named_total = sums.agg(F.sum("tokens")).scalar()
-    grand_total = rows.agg(F.sum(tokens)).scalar()
+    grand_total = every.agg(F.sum("tokens")).scalar()
     top = sums.orderBy(F.desc("tokens"), item).limit(n).select(
         item, "tokens", named_total.alias("_named"), grand_total.alias("_all")
     )
@@ -372,10 +381,8 @@ def change_point_counts(df: DataFrame, item: str, t: str, as_of: Column, days: i
 
 def concentration_hhi(shares: DataFrame, t: str, share: str) -> DataFrame:
     """Herfindahl index of the latest period, residual included."""
-    latest = shares.agg(F.max(t)).scalar()
-    return shares.where(F.col(t) == latest).agg(
-        (F.sum(F.pow(F.col(share) / 100, F.lit(2))) * 10000).alias("hhi")
-    )
+    by_period = shares.groupBy(t).agg((F.sum(F.pow(F.col(share) / 100, F.lit(2))) * 10000).alias("_hhi"))
+    return by_period.agg(F.max_by("_hhi", t).alias("hhi"))
 
 
 def pearson(pairs: DataFrame, keys: Sequence[str], x: str, y: str, min_pairs: int = 5) -> DataFrame:
@@ -420,11 +427,6 @@ def source_divergence(df: DataFrame, series: str, t: str, value: str, by: Sequen
 
 def unmatched_share(tiers: DataFrame, t: str, tier: str, share: str, unmatched: str = "unmatched") -> DataFrame:
     """Unmatched share of the latest period's visible total."""
-    latest = tiers.agg(F.max(t)).scalar()
-    day = tiers.where(F.col(t) == latest)
-    return day.agg(
-        F.max(t).alias("date"),
-        (F.sum(F.when(F.col(tier) == unmatched, F.col(share))) / F.nullif(F.sum(share), F.lit(0.0)) * 100).alias(
-            "unmatched_pct"
-        ),
-    )
+    part = F.sum(F.when(F.col(tier) == unmatched, F.col(share))) / F.nullif(F.sum(share), F.lit(0.0)) * 100
+    by_period = tiers.groupBy(t).agg(part.alias("_pct"))
+    return by_period.agg(F.max(t).alias("date"), F.max_by("_pct", t).alias("unmatched_pct"))

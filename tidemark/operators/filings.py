@@ -53,7 +53,7 @@ def capex_observation(facts: DataFrame, companies: DataFrame, run_id: Column, fe
     ``companies`` is the small configured universe (ticker, company, cik, xbrl_tag).
     """
     source = F.concat(F.lit("sec-companyfacts-CIK"), F.col("cik"), F.lit("-"), F.col("xbrl_tag"))
-    return facts.join(F.broadcast(companies), "cik").select(
+    return facts.join(companies, "cik").select(
         "ticker",
         "company",
         "period_start",

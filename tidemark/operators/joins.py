@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,11 +133,14 @@ def restrict_to(df: DataFrame, selected: DataFrame, keys: Sequence[str]) -> Data
 
 
 def ratio_to_base(df: DataFrame, series: str, t: str, value: str, base: str) -> DataFrame:
-    """Other series over the base series on days both have a value and the base is not zero."""
-    floor = df.where((F.col(series) == base) & (F.col(value) != 0)).select(t, F.col(value).alias("_base"))
+    """Other series over the base series on days both have a value and the base is not zero.
+
+    One pass: a day's rows, one per series, see the day's base in a window.
+    """
+    floor = F.max(F.when((F.col(series) == base) & (F.col(value) != 0), F.col(value))).over(Window.partitionBy(t))
     return (
-        df.where((F.col(series) != base) & F.col(value).isNotNull())
-        .join(floor, t)
+        df.withColumn("_base", floor)
+        .where((F.col(series) != base) & F.col(value).isNotNull() & F.col("_base").isNotNull())
         .select(t, series, (F.col(value) / F.col("_base")).alias("ratio"))
     )
 
@@ -155,42 +157,48 @@ def with_candidate(df: DataFrame, c: Column | str, out: str) -> DataFrame:
     return df.withColumn(out, name_candidates(as_column(c)))
 
 
-PAIR_SCHEMA = "pair string, left_date date, right_date date, left_value double, right_value double"
-
-
 def nearest_match(
     left: DataFrame, right: DataFrame, pair: str, t: str, value: str, within_days: int = 7
 ) -> DataFrame:
     """One-to-one nearest-day pairs per series pair: the shorter side drives, each day is used once.
 
-    The rule is sequential inside a pair, so a pair is one group; both sides must hold one row per
-    day, which bounds a group by the calendar. Pairs run in parallel.
+    A day with several values keeps its least. Days of both sides more than ``within_days`` apart cannot
+    compete, so a pair's merged calendar is cut there, and each stretch is folded on its own: the driving
+    days in order, each taking the nearest day still free, the earlier one on a tie.
     """
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = ["pair", "left_date", "right_date", "left_value", "right_value"]
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=columns)
-        a, b = a.sort_values(t), b.sort_values(t)
-        swapped = len(a) > len(b)
-        driver, other = (b, a) if swapped else (a, b)
-        other_days = pd.to_datetime(other[t]).to_numpy().astype("datetime64[D]").astype("int64")
-        driver_days = pd.to_datetime(driver[t]).to_numpy().astype("datetime64[D]").astype("int64")
-        free = set(range(len(other_days)))
-        rows = []
-        for i, day in enumerate(driver_days):
-            lo = other_days.searchsorted(day - within_days, "left")
-            hi = other_days.searchsorted(day + within_days, "right")
-            open_slots = [j for j in range(lo, hi) if j in free]
-            if not open_slots:
-                continue
-            j = min(open_slots, key=lambda s: (abs(int(other_days[s]) - int(day)), s))
-            free.discard(j)
-            d, o = driver.iloc[i], other.iloc[j]
-            x, y = (o, d) if swapped else (d, o)
-            rows.append((x[pair], x[t], y[t], float(x[value]), float(y[value])))
-        return pd.DataFrame(rows, columns=columns)
-
-    a = left.select(F.col(pair).cast("string"), t, F.col(value).cast("double"))
-    b = right.select(F.col(pair).cast("string"), t, F.col(value).cast("double"))
-    return a.groupBy(pair).cogroup(b.groupBy(pair)).applyInPandas(match, PAIR_SCHEMA)
+    sides = [
+        df.groupBy(F.col(pair).cast("string").alias("pair"), F.col(t).alias("_t")).agg(F.min(F.col(value).cast("double")).alias("_v")).withColumn("_left", F.lit(is_left))
+        for df, is_left in ((left, True), (right, False))
+    ]
+    days = sides[0].unionByName(sides[1])
+    order = Window.partitionBy("pair").orderBy("_t", "_left")
+    opens = F.coalesce(F.date_diff("_t", F.lag("_t").over(order)) > within_days, F.lit(True)).cast("int")
+    whole = Window.partitionBy("pair")
+    placed = (
+        days.withColumn("_open", opens)
+        .withColumn("_stretch", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_left_drives", F.count_if("_left").over(whole) <= F.count_if(~F.col("_left")).over(whole))
+    )
+    drives = F.col("_left") == F.col("_left_drives")
+    side = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.struct("_t", "_v"))))
+    stretches = placed.groupBy("pair", "_left_drives", "_stretch").agg(side(drives).alias("_driver"), side(~drives).alias("_other"))
+    folded = F.expr(
+        f"""aggregate(_driver,
+          struct(_other AS free, CAST(array() AS ARRAY<STRUCT<d: STRUCT<_t: DATE, _v: DOUBLE>, o: STRUCT<_t: DATE, _v: DOUBLE>>>) AS found),
+          (acc, d) -> transform(array(try_element_at(array_sort(transform(
+              filter(acc.free, o -> abs(datediff(o._t, d._t)) <= {within_days}),
+              o -> struct(abs(datediff(o._t, d._t)) AS gap, o._t AS _t, o._v AS _v))), 1)),
+            best -> IF(best IS NULL, acc, struct(
+              filter(acc.free, o -> o._t <> best._t) AS free,
+              concat(acc.found, array(struct(d AS d, struct(best._t AS _t, best._v AS _v) AS o))) AS found)))[0],
+          acc -> acc.found)"""
+    )
+    pairs = stretches.where("size(_driver) > 0 AND size(_other) > 0").select("pair", "_left_drives", F.explode(folded).alias("_p"))
+    pick = lambda field, is_left: F.when(F.col("_left_drives") == F.lit(is_left), F.col(f"_p.d.{field}")).otherwise(F.col(f"_p.o.{field}"))
+    return pairs.select(
+        "pair",
+        pick("_t", True).alias("left_date"),
+        pick("_t", False).alias("right_date"),
+        pick("_v", True).alias("left_value"),
+        pick("_v", False).alias("right_value"),
+    )

@@ -19,10 +19,13 @@ def merge_replace_day(prev: DataFrame, new: DataFrame, t: str, day: Column) -> D
 
 
 def merge_upsert(prev: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New rows win on their key, all other rows stay."""
-    return prev.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(
-        new, allowMissingColumns=True
-    )
+    """New rows win on their key, all other rows stay; a null in a key equals a null."""
+    return _without(prev, new, keys).unionByName(new, allowMissingColumns=True)
+
+
+def _without(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    on = F.expr(" AND ".join(f"_l.`{k}` <=> _r.`{k}`" for k in keys))
+    return rows.alias("_l").join(other.select(*keys).distinct().alias("_r"), on, "left_anti")
 
 
 def upsert_by_name(prev: DataFrame, new: DataFrame, table: str) -> DataFrame:
@@ -79,8 +82,9 @@ def merge_retain_complete(
 
 def merge_group_replace(prev: DataFrame, new: DataFrame, group: str, retained: DataFrame) -> DataFrame:
     """Whole groups of prev give way where new has the group; only retained groups stay."""
-    kept = prev.join(new.select(group).distinct(), group, "left_anti")
-    return kept.unionByName(new).join(retained.select(group).distinct(), group, "left_semi")
+    kept = _without(prev, new, [group])
+    both = kept.unionByName(new).alias("_l")
+    return both.join(retained.select(group).distinct().alias("_r"), F.expr(f"_l.`{group}` <=> _r.`{group}`"), "left_semi")
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:

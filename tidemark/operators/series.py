@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ColumnLike, as_column
-from tidemark.operators.ordered import lag_in_order, null_safe_join, rank_in_order
-from tidemark.session import cut_lineage
+from tidemark.operators.ordered import finite, lag_in_order, null_safe_join, rank_in_order
 
 
 def _ordered(keys: Sequence[str], t: str):
@@ -266,10 +265,15 @@ def rebase_common_start(
 
 
 def recent_cuts(
-    df: DataFrame, keys: Sequence[str], t: str, seq: str, value: str, as_of: Column, days: int = 90
+    df: DataFrame, keys: Sequence[str], t: str, seq: str, value: str, as_of: Column, days: int = 90, beside: str | None = None
 ) -> DataFrame:
-    """Keys with a drop between consecutive points inside the window; older prices are not a base."""
+    """Keys with a drop between consecutive points inside the window; older prices are not a base.
+
+    A point counts only if ``value``, and ``beside`` if it is named, are numbers: a ledger point states both prices.
+    """
     window = df.where((F.col(t) >= F.date_sub(as_of, days)) & F.col(value).isNotNull())
+    if beside is not None:
+        window = window.where(F.col(beside).isNotNull())
     steps = lag_in_order(window, keys, t, seq, [value], prefix="prev_")
     return steps.where(F.col(value) < F.col(f"prev_{value}")).select(*keys).distinct()
 
@@ -378,25 +382,22 @@ def top_series_history(
     df: DataFrame, item: str, t: str, value: str, n: int = 5, residual: str = "Others"
 ) -> DataFrame:
     """All rows of the latest period's largest items."""
-    latest = df.agg(F.max(t)).scalar()
-    leaders = (
-        df.where((F.col(t) == latest) & (F.col(item) != residual))
-        .orderBy(F.desc(value), item)
-        .limit(n)
-        .select(item)
-    )
+    # Each item's last period and value; the largest of those in the very last period lead.
+    last = df.groupBy(item).agg(F.max(t).alias("_t"), F.max_by(value, t).alias("_v"))
+    newest = last.agg(F.max("_t")).scalar()
+    leaders = last.where((F.col("_t") == newest) & (F.col(item) != residual)).orderBy(F.desc("_v"), item).limit(n).select(item)
     return df.join(leaders, item, "left_semi")
 
 
 def indicator_accumulation(df: DataFrame, series: str, t: str, value: str, target: int = 10) -> DataFrame:
     """Collected days, progress to ``target`` and the latest day's value per series."""
-    latest = df.agg(F.max(t)).scalar()
-    days = df.agg(F.count_distinct(F.col(t))).scalar()
-    return df.where(F.col(t) == latest).select(
+    by_day = df.groupBy(t).agg(F.collect_list(F.struct(series, value)).alias("_rows"))  # one row per series and day
+    last = by_day.agg(F.count(F.lit(1)).alias("days"), F.max_by("_rows", t).alias("_rows"))
+    return last.select("days", F.inline("_rows")).select(
         series,
         F.col(value).alias("latest_value"),
-        days.alias("days"),
-        F.least(F.lit(1.0), days / F.lit(target)).alias("progress"),
+        "days",
+        F.least(F.lit(1.0), F.col("days") / F.lit(target)).alias("progress"),
     )
 
 
@@ -470,7 +471,7 @@ def panel_members(
     coverage: float = 0.9, min_members: int = 3, min_days: int = 10,
 ) -> DataFrame:
     """Members of each panel's chosen suffix, with the suffix length."""
-    spells = cut_lineage(qualifying_spells(df, panel, member, t, coverage))
+    spells = qualifying_spells(df, panel, member, t, coverage)
     best = panel_windows(spells, panel, min_members, min_days)
     chosen = spells.join(best, panel).where("suffix_days BETWEEN _from AND _to")
     return chosen.select(panel, member, "suffix_days").distinct()
@@ -482,16 +483,14 @@ def matched_panel_rows(
 ) -> DataFrame:
     """Member rows of the final window: from the first day all members quote; still ``min_days`` long.
 
-    Adds ``_quoting`` (members quoting that day) and ``_size`` (members of the panel). The panel is read
-    several times, so it is written to the checkpoint folder once rather than rebuilt from its source.
+    Only positive finite quotes count. Adds ``_quoting`` (members quoting that day) and ``_size`` (members of
+    the panel). Nothing runs before the action; what is read again are reduced exchanges.
     """
-    rows = cut_lineage(df.select(panel, member, t, value))
+    rows = df.select(panel, member, t, value).where(f"`{value}` > 0 AND {finite(f'CAST(`{value}` AS DOUBLE)')}")
     members = panel_members(rows, panel, member, t, coverage, min_members, min_days)
     days = panel_days(rows, panel, t)
     sizes = members.groupBy(panel).agg(F.count(F.lit(1)).alias("_size"))
-    inside = cut_lineage(
-        rows.join(members, [panel, member]).join(days, [panel, t]).where("_len <= suffix_days").drop("suffix_days")
-    )
+    inside = rows.join(members, [panel, member]).join(days, [panel, t]).where("_len <= suffix_days").drop("suffix_days")
     quoting = inside.groupBy(panel, t, "_len").agg(F.count(F.lit(1)).alias("_quoting")).join(sizes, panel)
     start = quoting.where("_quoting = _size").groupBy(panel).agg(F.max("_len").alias("_window"))
     kept = quoting.join(start, panel).where(f"_window >= {min_days} AND _len <= _window")

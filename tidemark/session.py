@@ -1,10 +1,8 @@
-"""Session factory and the durable scratch location used to cut lineage."""
+"""Session factory and the shared scratch location."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,18 +33,18 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only if none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master may go without: its folder lies in the warehouse. A cluster without one is an error,
+    since a folder of one machine would be lost with it.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialize to the shared checkpoint folder so lost executors do not replay the plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    return spark.sparkContext.getCheckpointDir() or named

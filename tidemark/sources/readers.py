@@ -104,26 +104,23 @@ def offers_tiered(df: DataFrame, focus: Sequence[str]) -> DataFrame:
     )
 
 
-def provider_offers(df: DataFrame) -> DataFrame:
-    """Cleaned provider listings: positive prices at 6 decimals, graded venues, exact repeats dropped."""
+def provider_offers(df: DataFrame, default_url: str | None = None) -> DataFrame:
+    """Cleaned provider listings: positive prices at 6 decimals, graded venues; of exact repeats the first listed stays."""
     o = F.col("_o")
     clean = lambda c, default: F.lower(F.trim(F.coalesce(F.nullif(c, F.lit("")), F.lit(default))))
-    rows = df.select(F.substring("date", 1, 10).alias("date"), F.explode("offers").alias("_o")).select(
+    rows = df.select(F.substring("date", 1, 10).alias("date"), F.posexplode("offers").alias("_place", "_o")).select(
         "date",
         clean(o["provider"], "unknown").alias("provider"),
-        F.coalesce(classify_first_match(o["gpu"], config.FAMILY_RULES_PROVIDER), F.lit("unknown")).alias("series"),
+        F.coalesce(classify_first_match(F.nullif(F.trim(o["gpu"]), F.lit("")), config.FAMILY_RULES_PROVIDER), F.lit("unknown")).alias("series"),
         o["vram_gb"].alias("vram_gb"),
         clean(o["kind"], "unknown").alias("kind"),
         F.round(positive(o["usd_hr"]), 6).alias("usd_per_gpu_hour"),
-        o["source_url"].alias("source_url"),
+        F.coalesce(F.nullif(o["source_url"], F.lit("")), F.lit(default_url)).alias("source_url"),
+        "_place",
     )
     keys = ["date", "provider", "series", "vram_gb", "kind", "usd_per_gpu_hour"]
-    return (
-        rows.where("usd_per_gpu_hour IS NOT NULL")
-        .groupBy(*keys)
-        .agg(F.min("source_url").alias("source_url"))
-        .withColumn("venue_grade", venue_grade("provider"))
-    )
+    listed = first_per_key(rows.where("usd_per_gpu_hour IS NOT NULL"), keys, ["_place"], ["source_url"])
+    return listed.withColumn("venue_grade", venue_grade("provider"))
 
 
 def index_history(df: DataFrame) -> DataFrame:
@@ -350,36 +347,31 @@ def macro_series_csv(spark: SparkSession, path: str, keep_from: str) -> DataFram
     ).select("date", F.col("value").try_cast("double").alias("value"))
 
 
-# The field patterns of a published fixing entry.
-FIXING_PATTERN = (
-    r"(?s)\{\s*id:\s*'([^']+)'.*?tenor:\s*'([^']+)'.*?price:\s*([\d.]+).*?obs:\s*(\d+),"
-    r"\s*venueCount:\s*'([^']+)'(?:(?:(?!\{\s*id:).)*?delta30d:\s*(-?[\d.]+))?"
-)
-CHIP_PATTERN = r"(?s)id:\s*'([^']+)'.*?chipName:\s*'([^']+)'"
+def text_field(block: Column, name: str, number: bool = False) -> Column:
+    """Value of the first ``name: value`` of a block, quoted text or a number; null if it has none."""
+    value = r"(-?[0-9.]+)" if number else r"'([^']+)'"
+    return F.nullif(F.regexp_extract(block, rf"\b{name}:\s*{value}", 1), F.lit(""))
 
 
 def fixings_from_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Published fixings found in source text, with the chip name joined by id."""
-    blocks = df.select("date", F.explode(F.regexp_extract_all(text, F.lit(FIXING_PATTERN), F.lit(0))).alias("_b"))
-    part = lambda i: F.regexp_extract("_b", FIXING_PATTERN, i)
-    rows = blocks.select(
+    # A block runs from one opening brace with an id to the next.
+    parts = df.select("date", F.posexplode(F.split(text, r"(?=\{\s*id:\s*')")).alias("_pos", "_b"))
+    b = F.col("_b")
+    fields = parts.select(
         "date",
-        part(1).alias("series_id"),
-        part(2).alias("tenor"),
-        part(3).try_cast("double").alias("price"),
-        part(4).try_cast("long").alias("obs_count"),
-        part(5).alias("venue_count"),
-        F.nullif(part(6), F.lit("")).try_cast("double").alias("delta_30d_pct"),
-    )
-    named = df.select("date", F.posexplode(F.regexp_extract_all(text, F.lit(CHIP_PATTERN), F.lit(0))).alias("_pos", "_n"))
-    chips = last_per_key(
-        named.select(
-            "date", "_pos", F.regexp_extract("_n", CHIP_PATTERN, 1).alias("series_id"), F.regexp_extract("_n", CHIP_PATTERN, 2).alias("chip")
-        ),
-        ["date", "series_id"],
-        ["_pos"],
-        ["chip"],
-    )
+        "_pos",
+        text_field(b, "id").alias("series_id"),
+        text_field(b, "tenor").alias("tenor"),
+        text_field(b, "price", True).try_cast("double").alias("price"),
+        text_field(b, "obs", True).try_cast("long").alias("obs_count"),
+        text_field(b, "venueCount").alias("venue_count"),
+        text_field(b, "delta30d", True).try_cast("double").alias("delta_30d_pct"),
+        text_field(b, "chipName").alias("chip"),
+    ).where("series_id IS NOT NULL")
+    priced = F.col("tenor").isNotNull() & F.col("price").isNotNull() & F.col("obs_count").isNotNull() & F.col("venue_count").isNotNull()
+    rows = fields.where(priced).drop("_pos", "chip")
+    chips = last_per_key(fields.where("chip IS NOT NULL"), ["date", "series_id"], ["_pos"], ["chip"])
     return rows.join(chips, ["date", "series_id"], "left").withColumn("chip", F.coalesce("chip", F.lit("")))
 
 

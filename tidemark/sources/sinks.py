@@ -26,8 +26,14 @@ def write_fact(df: DataFrame, path: str, by: str = "date", files_per_partition:
 
 
 def write_state(clocks: DataFrame, path: str) -> None:
-    """State report per day under ``history/as_of=...`` and the newest one under ``latest``."""
-    clocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of").json(
-        f"{path}/history"
-    )
-    clocks.write.mode("overwrite").option("partitionOverwriteMode", "static").json(f"{path}/latest")
+    """State report per day under ``history/as_of=...`` and the newest one under ``latest``.
+
+    The report is computed once, into the history, and ``latest`` is a copy of its newest day. The copy is one
+    partition, replaced as a whole when its job commits, so a reader never finds the folder empty.
+    """
+    spark = clocks.sparkSession
+    clocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of").json(f"{path}/history")
+    history = spark.read.schema(clocks.schema).json(f"{path}/history")
+    newest = history.agg(F.max("as_of")).scalar()
+    copy = history.where(F.col("as_of") == newest).withColumn("slot", F.lit("newest"))
+    copy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").json(f"{path}/latest")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.operators.merge import last_wins, merge_upsert
-from tidemark.operators.ordered import last_per_key
+from tidemark.operators.merge import last_wins
+from tidemark.operators.ordered import last_per_key, null_safe_join
 from tidemark.operators.series import change_events
 
 
@@ -21,26 +24,25 @@ def event_time(c: str) -> Column:
 def stream_upsert(
     stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], partition: str, seq: str
 ) -> StreamingQuery:
-    """Keyed upsert of arriving snapshots into a partitioned table.
+    """Keyed upsert of arriving snapshots into a partitioned table; per key the greatest ``seq`` stays.
 
-    Each batch rewrites only the partitions it touches: their stored rows are merged with the batch's
-    last row per key and replaced by one dynamic overwrite, so replaying a batch changes nothing.
+    A batch reads and replaces only the partitions it touches, named as literals so that no other folder is
+    listed: their stored rows and the batch's are reduced to the last row per key by ``seq``, which lets an
+    older row that comes late lose. One dynamic overwrite commits them, so replaying a batch changes nothing.
     """
-    from tidemark.session import cut_lineage
 
     def apply(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = last_wins(batch, [*keys, partition], seq)
-        touched = fresh.select(partition).distinct()
+        touched = [r[0] for r in batch.select(partition).distinct().collect()]  # partitions of one batch
         try:
-            stored = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi")
-            merged = merge_upsert(stored.select(*batch.columns), fresh, [*keys, partition])
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
+            merged = last_wins(touched_rows(spark, path, batch.schema, partition, touched).unionByName(fresh), [*keys, partition], seq)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             merged = fresh
         (
-            cut_lineage(merged)
+            merged.select(*batch.columns)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(partition)
@@ -55,10 +57,26 @@ def stream_upsert(
     )
 
 
+def touched_rows(spark: SparkSession, path: str, schema: StructType, partition: str, touched: Sequence) -> DataFrame:
+    """Stored rows of the named partitions; the filter is on literals and prunes folders when planned."""
+    stored = spark.read.schema(schema).parquet(path)
+    known = [x for x in touched if x is not None]
+    wanted = F.col(partition).isin(known)
+    return stored.where(wanted | F.col(partition).isNull() if len(known) < len(touched) else wanted)
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came later than the watermark allows and so are in no result of this run of the query."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def complete_week_totals(
     stream: DataFrame, ts: str, value: str, by: Sequence[str] = (), lateness: str = "1 day"
 ) -> DataFrame:
-    """Weekly totals from Mondays, emitted once the watermark has passed the week's end."""
+    """Weekly totals from Mondays, emitted once the watermark has passed the week's end.
+
+    Later rows are dropped; :func:`dropped_rows` counts them.
+    """
     weeks = F.window(ts, "7 days", startTime="4 days")
     return (
         stream.withColumn(ts, event_time(ts))
@@ -70,36 +88,71 @@ def complete_week_totals(
 
 
 def deduplicated_window(stream: DataFrame, ts: str, keys: Sequence[str], lateness: str = "8 days") -> DataFrame:
-    """Each key once although the source repeats a rolling seven-day window in every snapshot."""
+    """Each key once although the source repeats a rolling seven-day window in every snapshot.
+
+    Rows beyond the watermark are dropped; :func:`dropped_rows` counts them.
+    """
     return (
         stream.withColumn(ts, event_time(ts)).withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(keys))
     )
 
 
+STATE_BUCKETS = 64
+
+
 def stream_change_events(
-    stream: DataFrame, out: str, state: str, checkpoint: str, keys: Sequence[str], t: str, seq: str, value: str
+    stream: DataFrame, out: str, state: str, checkpoint: str, keys: Sequence[str], t: str, seq: str, value: str,
+    late: str | None = None, buckets: int = STATE_BUCKETS,
 ) -> StreamingQuery:
     """First observations and true value changes per key as they arrive.
 
-    The state is one last row per key, kept as a table per batch in the shared folder ``state``. A
-    batch prepends its keys' last rows and runs the batch operator, which splits busy keys over tasks;
-    batch ``n`` reads only state ``n - 1`` and overwrites its own outputs, so a replay repeats itself.
+    The state, one last row per key, lies in hash buckets under the shared folder ``state``. A batch reads and
+    writes only the buckets of its keys, runs the batch operator, which splits busy keys over tasks, and leaves
+    per bucket its own version and the one before, so a replayed batch starts from what it started from. Rows
+    older than their key's state go to ``late``, a folder per batch, if it is given.
     """
     columns = [*keys, t, seq, value]
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*columns).where(F.col(value).isNotNull())
-        previous = spark.read.schema(rows.schema).parquet(f"{state}/epoch={epoch - 1}") if epoch > 0 else rows.limit(0)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        rows = batch.select(*columns).where(F.col(value).isNotNull()).withColumn("_bucket", bucket)
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        schema = StructType([*rows.schema.fields, StructField("_epoch", LongType())])
+        try:
+            stored = touched_rows(spark, state, schema, "_bucket", touched).where(F.col("_epoch") < epoch)
+            versions = stored.groupBy("_bucket").agg(F.max("_epoch").alias("_epoch")).collect()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored, versions = None, []
+        if versions:
+            current = [(F.col("_bucket") == v["_bucket"]) & (F.col("_epoch") == v["_epoch"]) for v in versions]
+            previous = stored.where(reduce(lambda a, b: a | b, current)).select(*columns)
+        else:
+            previous = rows.limit(0).select(*columns)
         bounds = previous.select(*keys, F.col(t).alias("_t"), F.col(seq).alias("_s"))
-        late = F.col("_t").isNotNull() & (F.struct(t, seq) <= F.struct("_t", "_s"))
-        fresh = rows.join(bounds, list(keys), "left").where(~late).select(*columns)
+        is_late = F.col("_t").isNotNull() & (F.struct(t, seq) <= F.struct("_t", "_s"))
+        placed = null_safe_join(rows.select(*columns), bounds, keys, "left")
+        fresh = placed.where(~is_late).select(*columns)
+        if late is not None:
+            placed.where(is_late).select(*columns).write.mode("overwrite").parquet(f"{late}/epoch={epoch}")
         active = previous.join(fresh.select(*keys).distinct(), list(keys), "left_semi")
         events = change_events(active.unionByName(fresh), keys, t, seq, value)
         known = active.select(*keys, t, seq)
         events.join(known, [*keys, t, seq], "left_anti").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        last = last_per_key(previous.unionByName(fresh), keys, [t, seq])
-        last.select(*columns).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        last = last_per_key(previous.unionByName(fresh), keys, [t, seq]).select(*columns)
+        last = last.withColumn("_bucket", bucket).withColumn("_epoch", F.lit(epoch).cast("long"))
+        (
+            last.repartition("_bucket")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("_bucket", "_epoch")
+            .parquet(state)
+        )
+        _drop_versions(spark, state, touched, {v["_bucket"]: v["_epoch"] for v in versions})
 
     return (
         stream.writeStream.foreachBatch(apply)
@@ -109,6 +162,18 @@ def stream_change_events(
     )
 
 
+def _drop_versions(spark: SparkSession, state: str, touched: Sequence[int], kept: dict[int, int]) -> None:
+    """Removes versions of the touched buckets that are older than the one the batch started from."""
+    jvm = spark.sparkContext._jvm
+    for bucket in touched:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{state}/_bucket={bucket}")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(folder) if fs.exists(folder) else ():
+            name = status.getPath().getName()
+            if name.startswith("_epoch=") and int(name.removeprefix("_epoch=")) < kept.get(bucket, -1):
+                fs.delete(status.getPath(), True)
+
+
 def gap_sessions(
     df: DataFrame, ts: str, keys: Sequence[str], value: str, gap: str, lateness: str | None = None
 ) -> DataFrame:
