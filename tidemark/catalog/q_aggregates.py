@@ -254,11 +254,17 @@ def unmatched_share(spark, sf):
        median(CASE WHEN kind IN ('F', 'O') THEN value END) AS any_price FROM offers GROUP BY date, series"""),
 )
 def conditional_medians(spark, sf):
-    rows = offers(spark, sf)
-    keys = ["date", "series"]
-    first = A.conditional_medians(rows, keys, "kind", "value", {"open_price": ["O"]})
-    both = A.conditional_medians(rows, keys, "kind", "value", {"any_price": ["F", "O"]})
-    return first.join(both, keys)
+    outputs = {"open_price": ["O"], "any_price": ["F", "O"]}
+    return A.conditional_medians(offers(spark, sf), ["date", "series"], "kind", "value", outputs)
+
+
+@query(
+    "comparable_pooled_median", "D2, B22",
+    with_(OFFERS, "SELECT date, series, median(value) AS value FROM offers WHERE series IN ('A', 'N') AND kind = 'O' AND value > 0 GROUP BY date, series"),
+)
+def comparable_pooled_median(spark, sf):
+    rows = A.comparable_offers(offers(spark, sf), "series", "kind", "value", ["A", "N"], ["o"])
+    return A.pooled_median(rows, ["date", "series"], "value")
 
 
 @query(

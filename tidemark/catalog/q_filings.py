@@ -5,25 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import config, schemas
-from tidemark.catalog.adapters import ORDER_MODELS, QUARTERLY, quarterly
+from tidemark.catalog.adapters import ORDER_MODELS, QUARTERLY, quarterly, table
 from tidemark.catalog.registry import query, with_
 from tidemark.operators import filings as G
 from tidemark.sources import readers as S
 
-# Five companies take the first nations' quarters; every nation files facts.
-COMPANY_SQL = """companies AS (SELECT * FROM (VALUES ('NATION_0', 'Meta'), ('NATION_1', 'Alphabet'), ('NATION_2', 'Amazon'), ('NATION_3', 'Microsoft'), ('NATION_4', 'Oracle')) AS c(entity, company)),
-rows_q AS (SELECT company, fy, q, date, 100000 - (fy * 4 + q) AS seq, value::DOUBLE AS value FROM quarterly JOIN companies USING (entity))"""
-COMPANY_BY_NATION = {"NATION_0": "Meta", "NATION_1": "Alphabet", "NATION_2": "Amazon", "NATION_3": "Microsoft", "NATION_4": "Oracle"}
+# Every nation's quarters go to one of the configured companies, in turn; of a company's nations the first is landed first.
+NAMES = sorted(config.TICKER_TO_COMPANY.values())
+COMPANY_SQL = f"""companies AS (SELECT n_name AS entity, n_nationkey AS place, list_extract([{', '.join(f"'{n}'" for n in NAMES)}], CAST(n_nationkey % {len(NAMES)} AS INTEGER) + 1) AS company FROM nation),
+rows_q AS (SELECT company, fy, q, date, (100000 - (fy * 4 + q)) * 100 + place AS seq, value::DOUBLE AS value FROM quarterly JOIN companies USING (entity))"""
 
 
 def _company_quarters(spark, sf):
-    from tidemark.functions.scalars import lookup
-
+    name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), F.pmod("n_nationkey", F.lit(len(NAMES))).cast("int") + 1)
+    companies = table(spark, sf, "nation").select(F.col("n_name").alias("entity"), F.col("n_nationkey").alias("place"), name.alias("company"))
     return (
         quarterly(spark, sf)
-        .withColumn("company", lookup("entity", COMPANY_BY_NATION))
-        .where("company IS NOT NULL")
-        .withColumn("seq", 100000 - (F.col("fy") * 4 + F.col("q")))
+        .join(companies, "entity")
+        .withColumn("seq", (100000 - (F.col("fy") * 4 + F.col("q"))) * 100 + F.col("place"))
         .withColumn("value", F.col("value").cast("double"))
         .select("company", "fy", "q", "date", "seq", "value")
     )
@@ -36,7 +35,7 @@ def _capex_rows(spark, sf):
     label = F.concat(F.lit("FY"), fy, F.lit(" Q"), F.col("q").cast("string"))
     single = rows.select("company", "date", "seq", F.lit("capex actual").alias("metric"), label.alias("period"), "value")
     cumulative = rows.where("q = 2").select(
-        "company", "date", (F.col("seq") - 1).alias("seq"), F.lit("capex actual").alias("metric"),
+        "company", "date", (F.col("seq") - 50).alias("seq"), F.lit("capex actual").alias("metric"),
         F.concat(label, F.lit(config.CUMULATIVE_SUFFIX % 6)).alias("period"), (F.col("value") * 2).alias("value"),
     )
     return single.unionByName(cumulative)
@@ -175,12 +174,13 @@ def sequential_quarters(spark, sf):
 
 @query(
     "capex_observation", "I4, B21",
-    with_(ORDER_MODELS, QUARTERLY, FACTS, """SELECT CASE cik WHEN 'NATION_0' THEN 'META' ELSE 'ORCL' END AS ticker, period_start, period_end, fiscal_period, abs(raw_value) / 1e9 AS capex_value,
-  'USD_B' AS unit, 'sec-companyfacts-CIK' || cik || '-PaymentsToAcquirePropertyPlantAndEquipment' AS source_id, filed_at || 'T00:00:00Z' AS observed_at FROM facts WHERE cik IN ('NATION_0', 'NATION_4')"""),
+    with_(ORDER_MODELS, QUARTERLY, FACTS, """SELECT 'T' || replace(cik, 'NATION_', '') AS ticker, period_start, period_end, fiscal_period, abs(raw_value) / 1e9 AS capex_value,
+  'USD_B' AS unit, 'sec-companyfacts-CIK' || cik || '-PaymentsToAcquirePropertyPlantAndEquipment' AS source_id, filed_at || 'T00:00:00Z' AS observed_at FROM facts"""),
 )
 def capex_observation(spark, sf):
-    companies = spark.createDataFrame(
-        [("META", "Meta", "NATION_0", TAG), ("ORCL", "Oracle", "NATION_4", TAG)], "ticker string, company string, cik string, xbrl_tag string"
+    nation = F.col("n_name")
+    companies = table(spark, sf, "nation").select(
+        F.concat(F.lit("T"), F.replace(nation, F.lit("NATION_"), F.lit(""))).alias("ticker"), nation.alias("company"), nation.alias("cik"), F.lit(TAG).alias("xbrl_tag")
     )
     facts = S.xbrl_facts(_filings(spark, sf), F.lit(TAG))
     out = G.capex_observation(facts, companies, F.lit("run1"), F.lit("2024-01-01T00:00:00Z"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.adapters import (
-    DAILY, DEPTH, NEW, OFFERS, ORDER_MODELS, PREV, PRICED, QUARTERLY, USAGE, USAGE_LEDGER,
+    DAILY, DEPTH, NEW, OFFERS, ORDER_MODELS, PANEL, PREV, PRICED, QUARTERLY, USAGE, USAGE_LEDGER,
     daily_prices, day, depth, offers, priced_usage, quarterly, snapshots, table, usage, weekly_panel,
 )
 from tidemark.catalog.q_scalars import NAMES_SQL, _names
@@ -21,15 +21,16 @@ def asof_price(spark, sf):
 
 @query(
     "resolve_alias", "C2",
-    """WITH aliases AS (SELECT p_brand AS alias, min(p_type) AS target FROM part WHERE p_size < 10 GROUP BY p_brand),
-history AS (SELECT DISTINCT p_brand FROM part WHERE p_size > 45)
+    """WITH aliases AS (SELECT p_brand AS alias, min(p_type) AS target FROM part GROUP BY p_brand HAVING count(*) % 2 = 0),
+history AS (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) % 3 = 0)
 SELECT p_partkey, coalesce(target, h.p_brand) AS base_id FROM part p LEFT JOIN aliases a ON p.p_brand = a.alias
 LEFT JOIN history h ON p.p_brand = h.p_brand""",
 )
 def resolve_alias(spark, sf):
     parts = table(spark, sf, "part")
-    aliases = parts.where("p_size < 10").groupBy(F.col("p_brand").alias("alias")).agg(F.min("p_type").alias("target"))
-    history = parts.where("p_size > 45").select(F.col("p_brand").alias("known"))
+    brands = parts.groupBy("p_brand").agg(F.min("p_type").alias("target"), F.count(F.lit(1)).alias("n"))
+    aliases = brands.where("n % 2 = 0").select(F.col("p_brand").alias("alias"), "target")
+    history = brands.where("n % 3 = 0").select(F.col("p_brand").alias("known"))
     out = J.resolve_alias(parts, "p_brand", aliases, history, "alias", "target", "known", "base_id")
     return out.select("p_partkey", "base_id")
 
@@ -95,12 +96,12 @@ def restrict_to_selected(spark, sf):
 @query(
     "depth_with_prices", "C8",
     with_(OFFERS, DEPTH, """days AS (SELECT date, CAST(sum(offers) AS BIGINT) AS offers FROM depth GROUP BY date),
-prices AS (SELECT date, quantile_cont(value, 0.25) AS p25, median(value) AS p50, quantile_cont(value, 0.75) AS p75 FROM offers WHERE series = 'A' GROUP BY date)""",
+prices AS (SELECT date, quantile_cont(value, 0.25) AS p25, median(value) AS p50, quantile_cont(value, 0.75) AS p75 FROM offers GROUP BY date)""",
           "SELECT * FROM days LEFT JOIN prices USING (date)"),
 )
 def depth_with_prices(spark, sf):
     days = depth(spark, sf).groupBy("date").agg(F.sum("offers").alias("offers"))
-    prices = A.quartiles_inclusive(offers(spark, sf).where("series = 'A'"), ["date"], "value")
+    prices = A.quartiles_inclusive(offers(spark, sf), ["date"], "value")
     return days.join(prices, ["date"], "left")
 
 
@@ -113,10 +114,32 @@ def ratio_to_base(spark, sf):
     return J.ratio_to_base(daily_prices(spark, sf), "series", "date", "value", "A")
 
 
-@query("nearest_match", "C10, D26")
+@query(
+    "nearest_match", "C10, D26",
+    # The walk takes one driving day at a time and remembers which other days are used.
+    with_("RECURSIVE " + OFFERS, PANEL, ORDER_MODELS, QUARTERLY, """sides AS (
+  SELECT s.series || '|' || entity AS pair, true AS is_left, date AS t, value::DOUBLE AS v FROM quarterly, (SELECT DISTINCT series FROM panel) s
+  UNION ALL SELECT series || '|' || member, false, date, value::DOUBLE FROM panel),
+lists AS (SELECT pair, list({'t': t, 'v': v} ORDER BY t) FILTER (WHERE is_left) AS l, list({'t': t, 'v': v} ORDER BY t) FILTER (WHERE NOT is_left) AS r FROM sides GROUP BY pair),
+tasks AS (SELECT pair, len(l) <= len(r) AS left_drives, CASE WHEN len(l) <= len(r) THEN l ELSE r END AS drv, CASE WHEN len(l) <= len(r) THEN r ELSE l END AS oth
+  FROM lists WHERE l IS NOT NULL AND r IS NOT NULL),
+walk AS (
+  SELECT pair, 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS best FROM tasks
+  UNION ALL
+  SELECT pair, i, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, best FROM (
+    SELECT w.pair, w.i + 1 AS i, w.used AS used, list_sort(list_filter(list_transform(range(1, len(t.oth) + 1),
+      lambda j: {'gap': abs(date_diff('day', t.drv[w.i + 1].t, t.oth[j].t)), 'j': j}), lambda x: x.gap <= 7 AND NOT list_contains(w.used, x.j)))[1].j AS best
+    FROM walk w JOIN tasks t ON w.pair = t.pair WHERE w.i < len(t.drv))),
+found AS (SELECT w.pair, CASE WHEN left_drives THEN drv[i].v ELSE oth[best].v END AS x, CASE WHEN left_drives THEN oth[best].v ELSE drv[i].v END AS y
+  FROM walk w JOIN tasks t ON w.pair = t.pair WHERE best IS NOT NULL)""",
+          """SELECT pair, count(*) AS pairs, round(CASE WHEN count(*) < 5 THEN NULL WHEN stddev_pop(x) = 0 OR stddev_pop(y) = 0 THEN 0 ELSE covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END, 6) AS r
+FROM found GROUP BY pair"""),
+)
 def nearest_match(spark, sf):
-    spending = quarterly(spark, sf).select(F.col("entity").alias("pair"), "date", "value")
-    prices = weekly_panel(spark, sf).where("series = 'A'").select(F.col("member").alias("pair"), "date", "value")
+    every = F.explode(F.array(*[F.lit(s) for s in ("A", "N", "R")])).alias("series")
+    spending = quarterly(spark, sf).select(every, "entity", "date", "value")
+    spending = spending.select(F.concat_ws("|", "series", "entity").alias("pair"), "date", "value")
+    prices = weekly_panel(spark, sf).select(F.concat_ws("|", "series", "member").alias("pair"), "date", "value")
     pairs = J.nearest_match(spending, prices, "pair", "date", "value")
     return A.pearson(pairs, ["pair"], "left_value", "right_value").withColumn("r", F.round("r", 6))
 
@@ -140,10 +163,11 @@ def key_intersection(spark, sf):
 @query(
     "snapshot_on_or_before", "C12",
     with_(USAGE, DEPTH, """weeks AS (SELECT DISTINCT date AS week, least(date + 6, DATE '2001-07-15') AS due FROM usage),
-snaps AS (SELECT date, CAST(sum(offers) AS BIGINT) AS offers FROM depth WHERE source = '1-URGENT' GROUP BY date)""",
+snaps AS (SELECT date, CAST(sum(offers) AS BIGINT) AS offers FROM depth GROUP BY date)""",
           "SELECT week, due AS date, offers, s.date AS snapshot_date FROM weeks ASOF LEFT JOIN snaps s ON weeks.due >= s.date"),
 )
 def snapshot_on_or_before(spark, sf):
     weeks = usage(spark, sf).select(F.col("date").alias("week")).distinct()
-    snaps = depth(spark, sf).where("source = '1-URGENT'").select("date", "offers", F.col("date").alias("snapshot_date"))
+    days = depth(spark, sf).groupBy("date").agg(F.sum("offers").alias("offers"))
+    snaps = days.select("date", "offers", F.col("date").alias("snapshot_date"))
     return J.snapshot_on_or_before(weeks, snaps, "week", "date", ["offers", "snapshot_date"], day("2001-07-15"))

@@ -71,13 +71,11 @@ def merge_group_replace(spark, sf):
 
 @query(
     "first_wins", "F6",
-    with_(OFFERS, "SELECT model, provider, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY model, provider ORDER BY seq, date) AS rn FROM offers) WHERE rn = 1"),
+    with_(OFFERS, "SELECT model, provider, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY model, provider ORDER BY seq) AS rn FROM offers) WHERE rn = 1"),
 )
 def first_wins(spark, sf):
-    from tidemark.operators.ordered import first_per_key
-
-    rows = offers(spark, sf).select("model", "provider", "seq", "date", "value")
-    return first_per_key(rows, ["model", "provider"], ["seq", "date"]).select("model", "provider", "seq", "value")
+    rows = offers(spark, sf).select("model", "provider", "seq", "value")
+    return M.first_wins(rows, ["model", "provider"], "seq")
 
 
 @query(
@@ -112,17 +110,17 @@ def capex_key_dedupe(spark, sf):
 
 @query(
     "carry_forward", "F8",
-    with_(PREV, NEW, """SELECT source, orders, origin FROM (
-  SELECT source, CAST(sum(orders) AS BIGINT) AS orders, CASE WHEN source = '5-LOW' THEN 'first_run' ELSE 'prev_run' END AS origin FROM prev
-  WHERE source NOT IN (SELECT source FROM fresh WHERE orders > 4) GROUP BY source
-  UNION ALL SELECT source, CAST(sum(orders) AS BIGINT), NULL FROM fresh WHERE orders > 4 GROUP BY source)"""),
+    with_(PREV, NEW, """SELECT date, orders, origin FROM (
+  SELECT date, CAST(sum(orders) AS BIGINT) AS orders, CASE WHEN day(date) = 1 THEN 'first_run' ELSE 'prev_run' END AS origin FROM prev
+  WHERE date NOT IN (SELECT date FROM fresh) GROUP BY date
+  UNION ALL SELECT date, CAST(sum(orders) AS BIGINT), NULL FROM fresh GROUP BY date)"""),
 )
 def carry_forward(spark, sf):
-    prev = snapshots(spark, sf, "F").groupBy("source").agg(F.sum("orders").alias("orders"))
-    prev = prev.withColumn("origin", F.when(F.col("source") == "5-LOW", "first_run"))
-    fresh = snapshots(spark, sf, "O").where("orders > 4").groupBy("source").agg(F.sum("orders").alias("orders"))
+    prev = snapshots(spark, sf, "F").groupBy("date").agg(F.sum("orders").alias("orders"))
+    prev = prev.withColumn("origin", F.when(F.dayofmonth("date") == 1, "first_run"))
+    fresh = snapshots(spark, sf, "O").groupBy("date").agg(F.sum("orders").alias("orders"))
     fresh = fresh.withColumn("origin", F.lit(None).cast("string"))
-    return M.carry_forward(prev, fresh, "source", "origin", F.lit("prev_run"))
+    return M.carry_forward(prev, fresh, "date", "origin", F.lit("prev_run"))
 
 
 @query(
@@ -157,11 +155,10 @@ def analysis_view(spark, sf):
 
 @query(
     "latest_status", "F11",
-    with_(ACTIVITY, "SELECT user_id, event_type, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) AS rn FROM activity WHERE event_type = 'error') WHERE rn = 1"),
+    with_(ACTIVITY, "SELECT user_id, event_type, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) AS rn FROM activity) WHERE rn = 1"),
 )
 def latest_status(spark, sf):
-    failed = activity(spark, sf).where("event_type = 'error'")
-    return M.latest_status(failed, "user_id", ["ts", "seq"]).select("user_id", "event_type", "value", "seq")
+    return M.latest_status(activity(spark, sf), "user_id", ["ts", "seq"]).select("user_id", "event_type", "value", "seq")
 
 
 @query(

@@ -147,26 +147,82 @@ def overall_status(spark, sf):
     return Q.overall_status(rows, "o_orderpriority", "publishable", ["4-NOT SPECIFIED", "5-LOW"])
 
 
-def _sources(spark, sf):
-    """Source statuses read off the orders: one source per priority, named like the expected set."""
-    names = F.array(*[F.lit(n) for n in config.EXPECTED_SOURCES])
-    position = F.substring("o_orderpriority", 1, 1).cast("int")
-    status = F.when(F.max("o_totalprice") > 0, "stale_last_good")
-    return table(spark, sf, "orders").groupBy(F.element_at(names, position).alias("source")).agg(
-        status.alias("status"), F.lit(True).alias("publishable")
-    )
+def _sources(spark, sf, names):
+    """One status per named source, read off the customers dealt to it: every status occurs, some unpublishable."""
+    place = F.pmod("c_custkey", F.lit(len(names))).cast("int")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), place + 1)
+    rows = table(spark, sf, "customer").groupBy(name.alias("source")).agg(F.sum("c_nationkey").alias("n"))
+    status = F.element_at(F.array(*[F.lit(x) for x in STATUSES]), (F.pmod("n", F.lit(len(STATUSES))) + 1).cast("int"))
+    return rows.select("source", status.alias("status"), (F.pmod("n", F.lit(5)) != 0).alias("publishable"))
+
+
+STATUSES = ["fresh", "stale_last_good", "current_for_frequency", "odd"]
+#: A landed set in which an unlisted source stands for the last expected one.
+WRONG_SET = [*config.EXPECTED_SOURCES[:-1], "unlisted_source"]
+
+
+def _listed(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _sources_sql(names):
+    return f"""sources AS (SELECT source, list_extract([{_listed(STATUSES)}], CAST(n % {len(STATUSES)} AS INTEGER) + 1) AS status, n % 5 <> 0 AS publishable FROM (
+  SELECT list_extract([{_listed(names)}], CAST(c_custkey % {len(names)} AS INTEGER) + 1) AS source, CAST(sum(c_nationkey) AS BIGINT) AS n FROM customer GROUP BY 1))"""
 
 
 @query(
     "publish_violations", "H7",
-    """SELECT name AS source, 'missing_source' AS violation FROM (VALUES (6, 'reference_indices'), (7, 'neocloud_provider_prices'), (8, 'epoch_supply'),
-  (9, 'fred_cost_anchors'), (10, 'gpu_markets_fixings'), (11, 'throughput_benchmarks'), (12, 'gpufinder_market')) AS e(position, name)
-WHERE position NOT IN (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) FROM orders)""",
+    with_(_sources_sql(config.EXPECTED_SOURCES), f"""by_class AS (SELECT source, CASE
+  WHEN source IN ({_listed(config.INFORMATIONAL_SOURCES)}) THEN CASE WHEN status NOT IN ({_listed(config.INFORMATIONAL_STATUSES)}) THEN 'unknown_status' END
+  WHEN source = 'sec_capex' THEN CASE WHEN NOT (status IN ({_listed(config.CAPEX_READY_STATUSES)}) AND publishable) THEN 'capex_not_ready' END
+  WHEN NOT ((status = 'fresh' OR (status = 'stale_last_good' AND source IN ({_listed(config.STALE_TOLERANT_SOURCES)}))) AND publishable) THEN 'not_fresh' END AS violation FROM sources)""",
+          """SELECT * FROM by_class WHERE violation IS NOT NULL UNION ALL
+SELECT source, 'capex_cache_incomplete' FROM sources WHERE source = 'sec_capex' AND status = 'current_for_frequency' AND EXISTS (SELECT 1 FROM region WHERE r_regionkey % 2 = 1)"""),
 )
 def publish_violations(spark, sf):
+    expected = spark.createDataFrame([(n,) for n in config.EXPECTED_SOURCES], "source string")
+    coverage = table(spark, sf, "region").select(F.col("r_name").alias("entity"), (F.col("r_regionkey") % 2 == 0).alias("current"))
+    return Q.publish_violations(_sources(spark, sf, config.EXPECTED_SOURCES), expected, coverage)
+
+
+@query(
+    "publish_set_violations", "H7",
+    with_(_sources_sql(WRONG_SET), f"expected AS (SELECT unnest([{_listed(config.EXPECTED_SOURCES)}]) AS source)",
+          """SELECT source, 'missing_source' AS violation FROM expected WHERE source NOT IN (SELECT source FROM sources)
+UNION ALL SELECT source, 'unexpected_source' FROM sources WHERE source NOT IN (SELECT source FROM expected)"""),
+)
+def publish_set_violations(spark, sf):
     expected = spark.createDataFrame([(n,) for n in config.EXPECTED_SOURCES], "source string")
     coverage = table(spark, sf, "region").select(F.col("r_name").alias("entity"), F.lit(True).alias("current"))
-    return Q.publish_violations(_sources(spark, sf), expected, coverage)
+    return Q.publish_violations(_sources(spark, sf, WRONG_SET), expected, coverage)
+
+
+@query(
+    "stamp_violations", "H7",
+    """WITH s AS (SELECT CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day, o_orderpriority <> '1-URGENT' AND o_totalprice < 250000 AS ready FROM orders),
+v AS (SELECT CASE WHEN day IS NULL THEN 'invalid_generated_at' WHEN day <> DATE '2000-06-01' THEN 'wrong_generated_date' END AS violation FROM s
+  UNION ALL SELECT CASE WHEN NOT ready THEN 'not_ready' END FROM s)
+SELECT violation, count(*) AS n FROM v WHERE violation IS NOT NULL GROUP BY violation""",
+)
+def stamp_violations(spark, sf):
+    stamps = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderstatus") == "P", "no time").otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("generated_at"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "degraded").otherwise("ready").alias("status"),
+        (F.col("o_totalprice") < 250000).alias("publishable"),
+    )
+    return Q.stamp_violations(stamps, day("2000-06-01")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "local_only_violations", "H7, F9",
+    with_(USAGE, "weeks AS (SELECT DISTINCT date, CASE WHEN month(date) % 2 = 0 THEN 'h' ELSE '' END AS sha FROM usage), shares AS (SELECT DISTINCT date FROM usage WHERE tokens % 3 = 0)",
+          """SELECT date, 'missing_share_history' AS violation FROM weeks WHERE date NOT IN (SELECT date FROM shares)
+UNION ALL SELECT date, 'missing_source_hash' FROM weeks WHERE sha = ''"""),
+)
+def local_only_violations(spark, sf):
+    rows = usage(spark, sf)
+    weeks = rows.select("date", F.when(F.month("date") % 2 == 0, "h").otherwise("").alias("sha")).distinct()
+    return Q.local_only_violations(weeks, rows.where("tokens % 3 = 0"), "date", F.col("sha"))
 
 
 @query(
@@ -187,10 +243,13 @@ def required_fields(spark, sf):
 
 @query(
     "min_periods", "H9",
-    with_(USAGE, "SELECT count(DISTINCT date) AS periods, 5200 AS required, 'too_few_periods' AS violation FROM usage HAVING count(DISTINCT date) < 5200"),
+    with_(USAGE, "n AS (SELECT count(DISTINCT date) AS periods FROM usage)",
+          "SELECT periods, required, 'too_few_periods' AS violation FROM n, (VALUES (10), (52), (5200)) AS r(required) WHERE periods < required"),
 )
 def min_periods(spark, sf):
-    return Q.min_periods(usage(spark, sf), "date", 5200)
+    rows = usage(spark, sf)
+    checks = [Q.min_periods(rows, "date", n) for n in (10, 52, 5200)]
+    return checks[0].unionByName(checks[1]).unionByName(checks[2])
 
 
 @query(

@@ -307,10 +307,39 @@ def jump_attribution(spark, sf):
     return S.jump_attribution(rows, "series", "member", "date", "value")
 
 
-@query("persistent_steps", "E21")
+# A member's weekly quote is its quarter's median order, which stays level within a quarter and steps between them.
+def _levels(spark, sf):
+    from tidemark.catalog.adapters import _order_models, cents
+    from tidemark.operators.ordered import group_median
+
+    rows = _order_models(spark, sf).select(
+        F.col("n_name").alias("panel"), F.col("c_mktsegment").alias("member"), F.trunc("o_orderdate", "quarter").alias("quarter"),
+        F.date_trunc("week", "o_orderdate").cast("date").alias("date"), cents("o_totalprice").alias("value"),
+    )
+    keys = ["panel", "member", "quarter"]
+    medians = group_median(rows, keys, "value", "value")
+    weeks = rows.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("n"))
+    # A week on the edge of two quarters is quoted at the later one.
+    return weeks.join(medians, keys).groupBy("panel", "member", "date").agg(F.max_by("value", "quarter").alias("value"))
+
+
+@query(
+    "persistent_steps", "E21",
+    with_("RECURSIVE " + ORDER_MODELS, """o AS (SELECT n_name AS panel, c_mktsegment AS member, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter,
+  CAST(date_trunc('week', o_orderdate) AS DATE) AS date, floor(o_totalprice * 100 + 0.5) AS value FROM order_models JOIN customer ON o_custkey = c_custkey),
+cells AS (SELECT panel, member, quarter, median(value) AS value FROM o GROUP BY ALL),
+levels AS (SELECT panel, member, date, arg_max(c.value, quarter) AS value FROM (SELECT DISTINCT panel, member, quarter, date FROM o) JOIN cells c USING (panel, member, quarter) GROUP BY ALL),
+p AS (SELECT *, row_number() OVER w AS i, lag(value) OVER w AS prior, list(value) OVER (PARTITION BY panel, member ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS head,
+  list(value) OVER (PARTITION BY panel, member ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS tail FROM levels WINDOW w AS (PARTITION BY panel, member ORDER BY date)),
+c AS (SELECT panel, member, date, i, value / prior - 1 AS change FROM p WHERE prior > 0 AND abs(value / prior - 1) >= 0.2 AND len(head) = 3 AND len(tail) = 5
+  AND len(list_filter(head, lambda x: abs(x / prior - 1) > 0.1)) = 0 AND len(list_filter(tail, lambda x: abs(x / value - 1) > 0.1)) = 0),
+n AS (SELECT a.panel, a.member, a.i, min(b.i) AS next FROM c a LEFT JOIN c b ON a.panel = b.panel AND a.member = b.member AND b.i >= a.i + 6 GROUP BY ALL),
+walk AS (SELECT panel, member, min(i) AS i FROM c GROUP BY ALL UNION ALL
+  SELECT w.panel, w.member, n.next FROM walk w JOIN n ON w.panel = n.panel AND w.member = n.member AND w.i = n.i WHERE n.next IS NOT NULL)""",
+          "SELECT panel, member, date, change FROM c JOIN walk USING (panel, member, i)"),
+)
 def persistent_steps(spark, sf):
-    rows = S.matched_panel_rows(weekly_panel(spark, sf), "series", "member", "date", "value")
-    return S.persistent_steps(rows.select("series", "member", "date", "value"), "series", "member", "date", "value")
+    return S.persistent_steps(_levels(spark, sf), "panel", "member", "date", "value")
 
 
 CUTS = """win90 AS (SELECT model, value, lag(value) OVER (PARTITION BY model ORDER BY date, seq) AS prior

@@ -37,14 +37,14 @@ def weekly_event_totals(spark, sf):
 
 
 @query(
-    "deduplicated_activity", "K3",
+    "deduplicated_activity", "F6",
     with_(ACTIVITY, "SELECT DISTINCT user_id, event_type, date FROM activity"),
 )
 def deduplicated_activity(spark, sf):
     return activity(spark, sf).select("user_id", "event_type", "date").dropDuplicates()
 
 
-@query("activity_by_hour", "K6", with_(ACTIVITY, "SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM activity GROUP BY 1"))
+@query("activity_by_hour", "D21", with_(ACTIVITY, "SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM activity GROUP BY 1"))
 def activity_by_hour(spark, sf):
     hours = activity(spark, sf).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return hours.select(F.col("w.start").alias("hour"), "n")

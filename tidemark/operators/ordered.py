@@ -1,9 +1,8 @@
 """Order-dependent primitives that stay correct and spread out when one key holds most rows.
 
-A window partitioned by a business key puts that key in one task, which is fine up to a bounded number of
-rows. Keys beyond it are split into pieces of their order: each piece is solved in its own task, and only
-one summary row per piece meets the others. Which keys those are follows from counts; results do not
-depend on the route.
+A window partitioned by a business key puts that key in one task. The helpers here split a key's ordered
+rows into pieces, solve each piece in its own task and carry one summary row per piece across, so only
+summaries meet in a single task.
 
 Numbers that are null, NaN or infinite are no observations: quantiles and ranks leave them out.
 """
@@ -16,12 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
-BANDS_PER_E_FOLD = 4096
+BANDS_PER_E_FOLD = 1 << 20
 SUB_BANDS = 1 << 16
-#: A key with more rows (for quantiles: different values) than this is split.
+#: A key with more rows than this is ranked in pieces.
 SMALL_GROUP = 200_000
-#: Keys that may be split, the largest first; bounds what is broadcast.
-MOST_SPLIT = 100_000
 
 
 def quoted(names: Sequence[str], prefix: str = "") -> list[str]:
@@ -68,11 +65,11 @@ def lag_in_order(
 
     One day of one key is cut into chunks of about ``chunk_rows`` rows: its range of ``seq`` is divided by
     as many chunks as its count asks for, so numbers far apart make no more chunks than rows need. Each
-    chunk's last row is carried to the day's next chunk, and each day's last row to the key's next day.
+    chunk's last row is carried to the next; a key has one such row per day and ``chunk_rows`` rows.
     """
     day = [*keys, t]
     chunk = [*day, "_chunk"]
-    per_day, per_chunk, row = ", ".join(quoted(day)), ", ".join(quoted(chunk)), f"struct({', '.join(quoted(cols))})"
+    per_chunk, row = ", ".join(quoted(chunk)), f"struct({', '.join(quoted(cols))})"
     spans = df.groupBy(*day).agg(
         F.expr(f"min(`{seq}`) AS _low"),
         F.expr(f"(max(`{seq}`) - min(`{seq}`)) div greatest(1, count(*) div {chunk_rows}) + 1 AS _width"),
@@ -84,16 +81,8 @@ def lag_in_order(
         f"row_number() OVER (PARTITION BY {per_chunk} ORDER BY `{seq}`) = 1 AS _head",
     )
     tails = chunked.groupBy(*chunk).agg(F.expr(f"max_by({row}, `{seq}`) AS _tail"))
-    within = tails.selectExpr(
-        *quoted(chunk),
-        "_tail",
-        f"lag(_tail) OVER (PARTITION BY {per_day} ORDER BY _chunk) AS _earlier",
-        f"row_number() OVER (PARTITION BY {per_day} ORDER BY _chunk) = 1 AS _opens",
-    )
     across = f"PARTITION BY {', '.join(quoted(keys))} " if keys else ""
-    ends = tails.groupBy(*day).agg(F.max_by("_tail", "_chunk").alias("_last"))
-    ends = ends.selectExpr(*quoted(day), f"lag(_last) OVER ({across}ORDER BY `{t}`) AS _yesterday")
-    carried = null_safe_join(within, ends, day).selectExpr(*quoted(chunk), "IF(_opens, _yesterday, _earlier) AS _carried")
+    carried = tails.selectExpr(*quoted(chunk), f"lag(_tail) OVER ({across}ORDER BY `{t}`, _chunk) AS _carried")
     joined = null_safe_join(lagged, carried, chunk, "left")
     before = [f"CASE WHEN _head THEN _carried.`{c}` ELSE _inside.`{c}` END AS `{prefix}{c}`" for c in cols]
     return joined.selectExpr(*quoted(df.columns), *before)
@@ -115,12 +104,6 @@ def sub_band(value: str, low: str, high: str, parts: int = SUB_BANDS) -> str:
     return f"IF({high} > {low}, CAST(floor(({value} - {low}) / ({high} - {low}) * {parts}) AS INT), 0)"
 
 
-def split_keys(sizes: DataFrame, keys: Sequence[str], size: str, small: int) -> DataFrame:
-    """The keys to split, the largest first, few enough to broadcast; all others take the plain route."""
-    large = sizes.where(F.col(size) > small).orderBy(F.desc(size), *[F.asc(k) for k in keys])
-    return F.broadcast(large.select(*keys).limit(MOST_SPLIT))
-
-
 def _ranks(p: float, method: str) -> tuple[str, str, str]:
     """SQL of the one-based lower rank, upper rank and weight of the upper one among ``_n`` values."""
     if method == "inclusive":
@@ -145,89 +128,51 @@ def group_quantiles(
     value: str,
     wanted: Mapping[str, tuple[float, str]],
     stats: Mapping[str, str] | None = None,
-    small: int = SMALL_GROUP,
 ) -> DataFrame:
-    """Exact quantiles per key without gathering an unbounded key's values in one task.
+    """Exact quantiles per key without gathering a key's values in one task.
 
     ``wanted`` maps an output column to ``(probability, "inclusive" | "exclusive")``; ``stats`` maps output
-    columns to ``count``, ``min``, ``max``, ``sum`` or ``avg`` of the same finite values. The source is
-    scanned once: equal values are counted map-side, keys with up to ``small`` different values are ordered
-    whole, and a larger key is narrowed down to the few values around each wanted rank.
+    columns to ``count``, ``min``, ``max``, ``sum`` or ``avg`` of the same finite values. Equal values are
+    counted map-side first; values then fall into bands of a millionth of their size, the bands are totalled
+    per key, those that hold a wanted rank are located from the totals, and only their values are ordered,
+    each band on its own. One task orders a key's bands (a million for each factor of e that its values
+    span, at most) or the different values of one band.
     """
-    if not keys:
-        every = group_quantiles(df.selectExpr(f"`{value}`", "1 AS _every"), ["_every"], value, wanted, stats, small)
-        return every.drop("_every")
-    by = quoted(keys)
-    counted = (
-        df.selectExpr(*by, f"CAST(`{value}` AS DOUBLE) AS _v").where(finite("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    )
-    large = split_keys(counted.groupBy(*keys).agg(F.count("*").alias("_size")), keys, "_size", small)
-    on = F.expr(" AND ".join(f"_l.`{k}` <=> _r.`{k}`" for k in keys))
-    plain = counted.alias("_l").join(large.alias("_r"), on, "left_anti")
-    split = counted.alias("_l").join(large.alias("_r"), on, "left_semi")
+    by, whole = quoted(keys), f"PARTITION BY {', '.join(quoted(keys))} " if keys else ""
     used = {c: SPREAD[c] for c in SPREAD if any(c in STATS[k] for k in (stats or {}).values())}
     edges = {name: _ranks(p, method) for name, (p, method) in wanted.items()}
-    whole = ", ".join(by)
-    ranked = plain.selectExpr(
+    counted = (
+        df.selectExpr(*by, f"CAST(`{value}` AS DOUBLE) AS _v")
+        .where(finite("_v"))
+        .groupBy(*keys, "_v")
+        .count()
+        .selectExpr(*by, "_v", "count AS _c", f"{value_band('_v')} AS _band")
+    )
+    located = counted.groupBy(*keys, "_band").agg(
+        F.expr("sum(_c) AS _size"), *[F.expr(f"{inner} AS {c}") for c, (inner, _) in used.items()]
+    ).selectExpr(
         *by,
-        "_v",
-        "_c",
-        f"sum(_c) OVER (PARTITION BY {whole}) AS _n",
-        f"coalesce(sum(_c) OVER (PARTITION BY {whole} ORDER BY _v {EARLIER}), 0) AS _from",
+        "_band",
+        "_size",
+        f"coalesce(sum(_size) OVER ({whole}ORDER BY _band {EARLIER}), 0) AS _before",
+        f"sum(_size) OVER ({whole}) AS _n",
+        *[f"{outer}({c}) OVER ({whole}) AS {c}" for c, (_, outer) in used.items()],
+    )
+    needed = " OR ".join(f"({r} > _before AND {r} <= _before + _size)" for low, high, _ in edges.values() for r in (low, high))
+    in_band = f"PARTITION BY {', '.join([*by, '_band'])} ORDER BY _v {EARLIER}"
+    ranked = null_safe_join(counted, located.where(needed).drop("_size"), [*keys, "_band"]).selectExpr(
+        *by, "_v", "_c", "_n", *used, f"_before + coalesce(sum(_c) OVER ({in_band}), 0) AS _from"
     )
-    ends = _ends(edges)
-    small_groups = ranked.groupBy(*keys).agg(*[F.expr(e) for e in [*ends, "max(_n) AS _n", *(f"{inner} AS {c}" for c, (inner, _) in used.items())]])
-    large_groups = _narrowed(split, keys, edges, used).groupBy(*keys).agg(*[F.expr(e) for e in [*ends, *(f"max({c}) AS {c}" for c in ("_n", *used))]])
+    at = lambda rank: f"max(CASE WHEN {rank} > _from AND {rank} <= _from + _c THEN _v END)"
+    ends = []
+    for i, (low, high, weight) in enumerate(edges.values()):
+        ends += [f"{at(low)} AS _a{i}", f"{at(high)} AS _b{i}", f"max({weight}) AS _w{i}"]
+    grouped = ranked.groupBy(*keys).agg(*[F.expr(e) for e in [*ends, *(f"max({c}) AS {c}" for c in ("_n", *used))]])
     between = [
         f"CASE WHEN _w{i} = 0 THEN _a{i} ELSE _a{i} * (1 - _w{i}) + _b{i} * _w{i} END AS `{name}`"
         for i, name in enumerate(wanted)
     ]
-    return small_groups.unionByName(large_groups).selectExpr(*by, *between, *[f"{STATS[k]} AS `{name}`" for name, k in (stats or {}).items()])
-
-
-def _ends(edges: Mapping[str, tuple[str, str, str]]) -> list[str]:
-    at = lambda rank: f"max(CASE WHEN {rank} > _from AND {rank} <= _from + _c THEN _v END)"
-    return [e for i, (low, high, weight) in enumerate(edges.values()) for e in (f"{at(low)} AS _a{i}", f"{at(high)} AS _b{i}", f"max({weight}) AS _w{i}")]
-
-
-def _narrowed(counted: DataFrame, keys: Sequence[str], edges: Mapping[str, tuple[str, str, str]], used: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """Values around the wanted ranks of large keys, with the number of rows before each.
-
-    Logarithmic bands, then twice the linear parts between a picked band's least and greatest value: a band
-    holds at most 2^40 doubles, which two rounds of 2^16 parts narrow to a few hundred, however clustered.
-    What is picked, a few bands per wanted rank and split key, is broadcast.
-    """
-    needed = " OR ".join(f"({r} > _before AND {r} <= _before + _size)" for low, high, _ in edges.values() for r in (low, high))
-    by, path = quoted(keys), ["_b0"]
-    rows = counted.selectExpr(*by, "_v", "_c", f"{value_band('_v')} AS _b0")
-    whole = f"PARTITION BY {', '.join(by)}"
-    totals = rows.groupBy(*keys, "_b0").agg(*[F.expr(e) for e in ("sum(_c) AS _size", "min(_v) AS _from_v", "max(_v) AS _to_v", *(f"{inner} AS {c}" for c, (inner, _) in used.items()))])
-    picked = totals.selectExpr(
-        *by,
-        "_b0",
-        "_size",
-        "_from_v",
-        "_to_v",
-        f"coalesce(sum(_size) OVER ({whole} ORDER BY _b0 {EARLIER}), 0) AS _before",
-        f"sum(_size) OVER ({whole}) AS _n",
-        *[f"{outer}({c}) OVER ({whole}) AS {c}" for c, (_, outer) in used.items()],
-    ).where(needed).drop("_size")
-    carried = ["_n", *used]
-    for level in (1, 2):
-        inside = null_safe_join(rows, F.broadcast(picked), [*keys, *path])
-        inside = inside.selectExpr(*by, *path, *carried, "_before", "_v", "_c", f"{sub_band('_v', '_from_v', '_to_v')} AS _b{level}")
-        piece = f"PARTITION BY {', '.join([*by, *path])}"
-        path = [*path, f"_b{level}"]
-        totals = inside.groupBy(*keys, *path).agg(
-            *[F.expr(e) for e in ("sum(_c) AS _size", "min(_v) AS _from_v", "max(_v) AS _to_v", "max(_before) AS _base", *(f"max({c}) AS {c}" for c in carried))]
-        )
-        picked = totals.selectExpr(
-            *by, *path, *carried, "_size", "_from_v", "_to_v", f"_base + coalesce(sum(_size) OVER ({piece} ORDER BY _b{level} {EARLIER}), 0) AS _before"
-        ).where(needed).drop("_size")
-        rows = inside.selectExpr(*by, *path, "_v", "_c")
-    near = null_safe_join(rows, F.broadcast(picked), [*keys, *path])
-    in_piece = f"PARTITION BY {', '.join([*by, *path])} ORDER BY _v"
-    return near.selectExpr(*by, "_v", "_c", *carried, f"_before + coalesce(sum(_c) OVER ({in_piece} {EARLIER}), 0) AS _from")
+    return grouped.selectExpr(*by, *between, *[f"{STATS[k]} AS `{name}`" for name, k in (stats or {}).items()])
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", stats=None) -> DataFrame:
@@ -250,7 +195,7 @@ def rank_in_order(
     """
     keys, by = list(keys), quoted(keys)
     rows = df.where(finite(f"CAST(`{value}` AS DOUBLE)"))
-    large = split_keys(rows.groupBy(*keys).agg(F.count("*").alias("_rows")), keys, "_rows", small)
+    large = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(f"_rows > {small}").select(*keys))  # at most one per ``small`` rows
     on = F.expr(" AND ".join(f"_l.`{k}` <=> _r.`{k}`" for k in keys))
     way = "DESC" if descending else "ASC"
     whole = f"PARTITION BY {', '.join(by)} ORDER BY `{value}` {way}, `{tie}`"

@@ -416,25 +416,6 @@ def gap_range(df: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
     )
 
 
-def panel_windows(
-    spells: DataFrame, panel: str, min_members: int = 3, min_days: int = 10
-) -> DataFrame:
-    """Longest day suffix of each panel that enough members cover: (panel, suffix_days).
-
-    ``spells`` comes from :func:`qualifying_spells`. A running sum over interval edges gives the number
-    of qualifying members at every suffix length without a day x member grid.
-    """
-    edges = spells.selectExpr(f"`{panel}`", "inline(array(struct(CAST(_from AS BIGINT) AS _len, 1 AS _step), struct(_to + 1 AS _len, -1 AS _step)))")
-    steps = edges.groupBy(panel, "_len").agg(F.sum("_step").alias("_step"))
-    levels = steps.selectExpr(
-        f"`{panel}`",
-        f"sum(_step) OVER (PARTITION BY `{panel}` ORDER BY _len) AS _members",
-        f"coalesce(lead(_len) OVER (PARTITION BY `{panel}` ORDER BY _len) - 1, _len) AS _last_len",
-    )
-    enough = levels.where(f"_members >= {min_members} AND _last_len >= {min_days}")
-    return enough.groupBy(panel).agg(F.max("_last_len").alias("suffix_days"))
-
-
 def panel_days(df: DataFrame, panel: str, t: str) -> DataFrame:
     """Days of each panel numbered from the latest back, which is the length of the suffix they start."""
     days = df.select(panel, t).distinct()
@@ -442,28 +423,57 @@ def panel_days(df: DataFrame, panel: str, t: str) -> DataFrame:
 
 
 def qualifying_spells(df: DataFrame, panel: str, member: str, t: str, coverage: float = 0.9) -> DataFrame:
-    """Ranges of suffix lengths in which a member covers its share: (panel, member, _from, _to).
+    """Every quote with its day's number ``_len`` and the range of suffix lengths ``_from`` to ``_to`` it opens.
 
-    A member's count inside a suffix changes only at its own days, so each quote contributes one range:
-    up to the length its count can cover, or to just before its next earlier quote.
+    Within the range the member covers its share. A member's count inside a suffix changes only at its own
+    days, so each quote opens one range: up to the length its count can cover, or to just before its next
+    earlier quote; the range is empty if ``_to < _from``. ``df`` holds one row per (panel, member, day).
     """
-    placed = df.select(panel, member, t).distinct().join(panel_days(df, panel, t), [panel, t])
+    days = panel_days(df, panel, t)
+    totals = f"max(_len) OVER (PARTITION BY `{panel}`) AS _total"  # one row per day of the panel
+    placed = df.join(days.selectExpr("*", totals), [panel, t])
     of_member = f"PARTITION BY `{panel}`, `{member}` ORDER BY _len"
     counted = placed.selectExpr(
-        f"`{panel}`",
-        f"`{member}`",
-        "_len AS _from",
-        f"row_number() OVER ({of_member}) AS _count",
-        f"lead(_len) OVER ({of_member}) - 1 AS _before_next",
-        f"max(_len) OVER (PARTITION BY `{panel}`) AS _total",
+        "*", f"row_number() OVER ({of_member}) AS _count", f"lead(_len) OVER ({of_member}) - 1 AS _before_next"
     ).withColumn("_guess", F.floor(F.col("_count") / F.lit(coverage)) + 1)
     longest = (
         f"CASE WHEN _count >= {coverage}D * _guess THEN _guess "
         f"WHEN _count >= {coverage}D * (_guess - 1) THEN _guess - 1 ELSE _guess - 2 END"
     )
     return counted.selectExpr(
-        f"`{panel}`", f"`{member}`", "_from", f"least({longest}, coalesce(_before_next, _total)) AS _to"
-    ).where("_to >= _from")
+        *[f"`{c}`" for c in df.columns], "_len", "_len AS _from", f"least({longest}, coalesce(_before_next, _total)) AS _to"
+    )
+
+
+def panel_windows(
+    spells: DataFrame, panel: str, min_members: int = 3, min_days: int = 10
+) -> DataFrame:
+    """Longest day suffix of each panel that enough members cover, and how many do: (panel, suffix_days, _size).
+
+    ``spells`` comes from :func:`qualifying_spells`. A running sum over interval edges gives the number
+    of qualifying members at every suffix length without a day x member grid.
+    """
+    edges = spells.where("_to >= _from").selectExpr(
+        f"`{panel}`", "inline(array(struct(CAST(_from AS BIGINT) AS _len, 1 AS _step), struct(_to + 1 AS _len, -1 AS _step)))"
+    )
+    steps = edges.groupBy(panel, "_len").agg(F.sum("_step").alias("_step"))
+    levels = steps.selectExpr(
+        f"`{panel}`",
+        f"sum(_step) OVER (PARTITION BY `{panel}` ORDER BY _len) AS _members",
+        f"coalesce(lead(_len) OVER (PARTITION BY `{panel}` ORDER BY _len) - 1, _len) AS _last_len",
+    )
+    enough = levels.where(f"_members >= {min_members} AND _last_len >= {min_days}")
+    return enough.groupBy(panel).agg(F.max("_last_len").alias("suffix_days"), F.max_by("_members", "_last_len").alias("_size"))
+
+
+def _chosen(
+    df: DataFrame, panel: str, member: str, t: str, coverage: float, min_members: int, min_days: int
+) -> DataFrame:
+    """Quotes of the members of each panel's chosen suffix, with ``_len``, ``suffix_days`` and ``_size``."""
+    spells = qualifying_spells(df, panel, member, t, coverage)
+    joined = spells.join(panel_windows(spells, panel, min_members, min_days), panel)
+    covers = f"bool_or(_to >= _from AND suffix_days BETWEEN _from AND _to) OVER (PARTITION BY `{panel}`, `{member}`) AS _covers"
+    return joined.selectExpr("*", covers).where("_covers").drop("_from", "_to", "_covers")
 
 
 def panel_members(
@@ -471,10 +481,8 @@ def panel_members(
     coverage: float = 0.9, min_members: int = 3, min_days: int = 10,
 ) -> DataFrame:
     """Members of each panel's chosen suffix, with the suffix length."""
-    spells = qualifying_spells(df, panel, member, t, coverage)
-    best = panel_windows(spells, panel, min_members, min_days)
-    chosen = spells.join(best, panel).where("suffix_days BETWEEN _from AND _to")
-    return chosen.select(panel, member, "suffix_days").distinct()
+    quotes = df.select(panel, member, t).distinct()
+    return _chosen(quotes, panel, member, t, coverage, min_members, min_days).select(panel, member, "suffix_days").distinct()
 
 
 def matched_panel_rows(
@@ -483,18 +491,15 @@ def matched_panel_rows(
 ) -> DataFrame:
     """Member rows of the final window: from the first day all members quote; still ``min_days`` long.
 
-    Only positive finite quotes count. Adds ``_quoting`` (members quoting that day) and ``_size`` (members of
-    the panel). Nothing runs before the action; what is read again are reduced exchanges.
+    ``df`` holds one row per (panel, member, day); only positive finite quotes count. Adds ``_quoting``
+    (members quoting that day) and ``_size`` (members of the panel).
     """
     rows = df.select(panel, member, t, value).where(f"`{value}` > 0 AND {finite(f'CAST(`{value}` AS DOUBLE)')}")
-    members = panel_members(rows, panel, member, t, coverage, min_members, min_days)
-    days = panel_days(rows, panel, t)
-    sizes = members.groupBy(panel).agg(F.count(F.lit(1)).alias("_size"))
-    inside = rows.join(members, [panel, member]).join(days, [panel, t]).where("_len <= suffix_days").drop("suffix_days")
-    quoting = inside.groupBy(panel, t, "_len").agg(F.count(F.lit(1)).alias("_quoting")).join(sizes, panel)
-    start = quoting.where("_quoting = _size").groupBy(panel).agg(F.max("_len").alias("_window"))
-    kept = quoting.join(start, panel).where(f"_window >= {min_days} AND _len <= _window")
-    return inside.drop("_len").join(kept.select(panel, t, "_quoting", "_size"), [panel, t])
+    inside = _chosen(rows, panel, member, t, coverage, min_members, min_days).where("_len <= suffix_days")
+    quoted = inside.selectExpr("*", f"count(*) OVER (PARTITION BY `{panel}`, `{t}`) AS _quoting")
+    start = quoted.where("_quoting = _size").groupBy(panel).agg(F.max("_len").alias("_window"))
+    kept = quoted.join(start, panel).where(f"_window >= {min_days} AND _len <= _window")
+    return kept.select(panel, member, t, value, "_quoting", "_size")
 
 
 def matched_panel_index(
