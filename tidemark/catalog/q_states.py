@@ -324,7 +324,7 @@ CLOCKS = """clocks AS (SELECT clock_id, state, direction FROM supply UNION ALL S
   UNION ALL SELECT clock_id, state, direction FROM demand UNION ALL SELECT clock_id, state, direction FROM commitment)"""
 
 
-@query("evaluate_report", "J1, J2, J3, J4, A27", with_(*FOUR, CLOCKS, "SELECT *, DATE '2001-08-01' AS as_of FROM clocks"))
+@query("evaluate_report", "J1, J2, J3, J4", with_(*FOUR, CLOCKS, "SELECT *, DATE '2001-08-01' AS as_of FROM clocks"))
 def evaluate_report(spark, sf):
     return _all_clocks(spark, sf).select("clock_id", "state", "direction", "as_of")
 

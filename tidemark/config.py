@@ -35,6 +35,7 @@ FAMILY_RULES_PROVIDER = [
     ("a100", "A100"),
     ("l40s", "L40S"),
 ]
+# Families that may enter pooled prices, and the uninterrupted rental kinds.
 FRONTIER = ["H100", "H200", "B200"]
 RENTAL_KINDS = ["on-demand", "secure", "community"]
 
@@ -177,6 +178,3 @@ INFORMATIONAL_STATUSES = [
 ]
 CAPEX_READY_STATUSES = ["fresh", "current_for_frequency"]
 STALE_TOLERANT_SOURCES = ["foundry_signals", "neocloud_provider_prices"]
-
-# Hours after which a source class is stale.
-STALE_HOURS = {"core_daily": 36, "secondary_daily_short": 48, "secondary_daily": 72, "weekly": 216}

@@ -81,6 +81,7 @@ def short_name(c: ColumnLike, limit: int = 34) -> Column:
     text = F.substring_index(F.trim(F.coalesce(as_column(c).cast("string"), F.lit(""))), "/", -1)
     for suffix in ("-preview", "-instruct"):
         text = F.replace(text, F.lit(suffix), F.lit(""))
+    # The date suffixes of released names.
     text = F.regexp_replace(text, r"-20\d{6,8}$", "")
     text = F.regexp_replace(text, r"-\d{4}-\d{2}-\d{2}$", "")
     cut = F.concat(F.substring(text, 1, limit - 1), F.lit("..."))
@@ -91,6 +92,7 @@ def name_candidates(c: ColumnLike, prefix: str = "openrouter/") -> Column:
     """Ordered distinct lookup keys for a model name, from most to least specific."""
     raw = F.trim(as_column(c))
     base = F.substring_index(raw, ":", 1)
+    # Fixed value: the date suffix of a key.
     undated = F.regexp_replace(base, r"-20\d{6}$", "")
     tail = F.when(
         F.contains(undated, F.lit("/")), F.substring(undated, F.locate("/", undated) + 1, F.length(undated))
@@ -132,6 +134,7 @@ def guidance_metric(c: ColumnLike) -> Column:
     ``field`` is low, high, prev_low, prev_high or calendar.
     """
     text = as_column(c)
+    # The published label formats of guidance.
     fiscal = r"^fy(\d{4})\s+capex\s+guidance(?:\s+previous)?\s+(low|high)$"
     calendar = r"^calendar\s+(\d{4})\s+capex\s+guidance$"
     fiscal_year = F.regexp_extract(text, fiscal, 1)
@@ -150,6 +153,7 @@ def guidance_metric(c: ColumnLike) -> Column:
 def fiscal_quarter(c: ColumnLike) -> Column:
     """Struct (fy, q) of a single-quarter label; cumulative and annual labels are null."""
     text = as_column(c)
+    # Fixed value: the label format of a fiscal quarter.
     pattern = r"FY(\d{4})\s+Q(\d)"
     year = F.regexp_extract(text, pattern, 1)
     quarter = F.regexp_extract(text, pattern, 2)
