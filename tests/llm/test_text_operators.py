@@ -405,6 +405,25 @@ def test_mixing_follows_targets(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_targets_match_capping_round_by_round(spark):
+    rng = np.random.default_rng(13)
+    for _ in range(3):
+        sizes = {f"s{i:02}": int(rng.integers(0, 10 ** rng.integers(1, 5))) for i in range(9)}
+        weight = {s: 1 + i % 3 for i, s in enumerate(sorted(sizes))}
+        free, want, left = set(sizes), {}, sum(sizes.values())
+        while True:
+            level = left / max(sum(weight[s] for s in free), 1)
+            over = {s for s in free if weight[s] * level > 3 * sizes[s]}
+            if not over:
+                break
+            want |= {s: 3.0 * sizes[s] for s in over}
+            left -= sum(3 * sizes[s] for s in over)
+            free -= over
+        want |= {s: weight[s] * level for s in free}
+        got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        assert {r.source: r.target for r in got} == pytest.approx(want)
+
+
 def test_mixing_keeps_clashing_columns_apart(spark):
     table = docs(spark, ["a b", "c"], sources=["s", "t"]).withColumn("size", F.lit("x")).withColumn("_h", F.lit(1))
     got = mixing.mix(table)
