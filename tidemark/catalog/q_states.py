@@ -8,11 +8,13 @@ from tidemark.catalog.adapters import (
     ACTIVITY, DAILY, DEPTH, DEPTH_DAYS, OFFERS, ORDER_MODELS, PRICED, QUARTERLY, USAGE, USAGE_LEDGER,
     activity, daily_depth_totals, day, depth, ledger, offers, priced_usage, quarterly, table, usage,
 )
+from tidemark.catalog.q_filings import COMPANY_SQL, GUIDANCE, _guidance_rows
 from tidemark.catalog.q_quality import GRADED, _graded
 from tidemark.catalog.q_scalars import GUIDE_SQL
 from tidemark.catalog.q_series import CUTS, HALVES
 from tidemark.catalog.registry import query, with_
 from tidemark.operators import aggregates as A
+from tidemark.operators import filings as G
 from tidemark.operators import quality as Q
 from tidemark.operators import series as S
 from tidemark.plans import states as P
@@ -331,13 +333,17 @@ def evaluate_report(spark, sf):
 
 @query(
     "stance", "J11",
-    with_(*FOUR, CLOCKS, """p AS (SELECT max(state) FILTER (WHERE clock_id = 'supply_price') AS s, max(direction) FILTER (WHERE clock_id = 'supply_price') AS d,
+    with_(*FOUR, CLOCKS, COMPANY_SQL, GUIDANCE, """k AS (SELECT * FROM buckets WHERE low IS NOT NULL AND high IS NOT NULL AND prev_low IS NOT NULL AND prev_high IS NOT NULL),
+moved AS (SELECT count(*) FILTER (WHERE low > prev_low OR high > prev_high) AS ups, count(*) FILTER (WHERE low < prev_low OR high < prev_high) AS downs FROM k),
+p AS (SELECT max(state) FILTER (WHERE clock_id = 'supply_price') AS s, max(direction) FILTER (WHERE clock_id = 'supply_price') AS d,
   max(direction) FILTER (WHERE clock_id = 'commitment_monetization') AS c FROM clocks)""",
           """SELECT CASE WHEN s = 'Confirmed' AND d = 'intensifying' THEN 'intensifying' WHEN s = 'Confirmed' AND d = 'loosening' THEN 'loosening' WHEN s = 'Inflection Watch' THEN 'watch' ELSE 'neutral' END AS level,
-  CASE WHEN s = 'Confirmed' AND d = 'intensifying' THEN CASE WHEN c = 'intensifying' THEN 'guidance_partly_raised' ELSE 'guidance_not_confirming' END END AS guidance_note FROM p"""),
+  CASE WHEN s = 'Confirmed' AND d = 'intensifying' THEN CASE WHEN downs > 0 THEN 'guidance_mixed' WHEN c = 'intensifying' AND ups > 0 THEN 'guidance_partly_raised' ELSE 'guidance_not_confirming' END END AS guidance_note FROM p, moved"""),
 )
 def stance(spark, sf):
-    return P.stance(_all_clocks(spark, sf), F.lit(1), F.lit(0))
+    moves = G.guidance_moves(G.guidance_buckets(_guidance_rows(spark, sf)))
+    counted = lambda move: moves.where(F.col("move") == move).agg(F.count(F.lit(1))).scalar()
+    return P.stance(_all_clocks(spark, sf), counted("up"), counted("down"))
 
 
 # A state per source and month from how its depth compares with the month before.
