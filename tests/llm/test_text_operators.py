@@ -249,6 +249,18 @@ def test_neighbours_vote(spark, odd, empty):
     assert quality_knn.fit(empty, labels) is None and quality_knn.classify(empty, None).count() == 0
 
 
+def test_earlier_neighbours_win_ties():
+    near = np.array([[1, 2, 2, 2, 3], [5, 5, 5, 5, 5], [1, 2, 3, 4, 5]], np.float32)
+    assert [sorted(row) for row in quality_knn.nearest(near, 3).tolist()] == [[1, 2, 4], [0, 1, 2], [2, 3, 4]]
+
+
+def test_copies_of_voters_vote_in_order():
+    texts = [EN] * 40 + [DE] * 5
+    labels = np.array([1.0] * quality_knn.NEIGHBOURS + [0.0] * (45 - quality_knn.NEIGHBOURS))
+    voters = quality_knn.fit_vectors(quality_knn.vectorise(texts), labels)
+    assert quality_knn.vote(quality_knn.vectorise([EN, EN]), voters).tolist() == [1.0, 1.0]
+
+
 def test_blocked_votes_match_plain_cosines():
     rng = np.random.default_rng(6)
     x = quality_knn.vectorise([" ".join(rng.choice(EN.split(), 30)) for _ in range(60)])

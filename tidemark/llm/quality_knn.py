@@ -23,8 +23,8 @@ BUCKETS = 1024
 STATISTICS = 6
 WIDTH = 64
 LABELLED = 8192  # bound of the labelled vectors, 2 MB to every task
-NEIGHBOURS = 25
-SHARPNESS = 4
+NEIGHBOURS = 15
+SHARPNESS = 8
 BLOCK = 512
 THRESHOLD = 0.3
 UPPER = bytes(range(65, 91))
@@ -85,11 +85,9 @@ def fit_vectors(x: np.ndarray, labels: np.ndarray) -> Voters | None:
     if not len(x):
         return None
     centre = x.mean(axis=0)
-    spread = x - centre
-    scale = np.ones(x.shape[1], np.float32)
-    scale[BUCKETS:] = 0.5  # statistics lie between 0 and 1, as the length of the byte-pair part does
-    _, basis = np.linalg.eigh((spread * scale).T @ (spread * scale))
-    basis = basis[:, ::-1][:, :WIDTH] * scale[:, None]
+    spread = x - centre  # statistics lie between 0 and 1, as the length of the byte-pair part does
+    _, basis = np.linalg.eigh(spread.T @ spread)
+    basis = basis[:, ::-1][:, :WIDTH]
     return Voters(centre, basis.astype(np.float32), _unit(spread @ basis).astype(np.float32), labels.astype(np.float32))
 
 
@@ -97,6 +95,16 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-12)
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's ``k`` greatest values; of equal values the earlier places."""
+    top = np.argpartition(near, -k, axis=1)[:, -k:]
+    least = np.take_along_axis(near, top, axis=1).min(axis=1)
+    for i in np.flatnonzero((near >= least[:, None]).sum(axis=1) > k):  # ties at the edge
+        above, equal = np.flatnonzero(near[i] > least[i]), np.flatnonzero(near[i] == least[i])
+        top[i] = np.concatenate([above, equal[: k - len(above)]])
+    return top
+
+
 def vote(x: np.ndarray, voters: Voters | None) -> np.ndarray:
     """Similarity-weighted mean label of each row's nearest voters; 0 for a row without words."""
     score = np.zeros(len(x))
@@ -105,8 +113,9 @@ def vote(x: np.ndarray, voters: Voters | None) -> np.ndarray:
     k = min(NEIGHBOURS, len(voters.labels))
     for i in range(0, len(x), BLOCK):
         block = x[i : i + BLOCK]
-        near = _unit((block - voters.centre) @ voters.basis) @ voters.vectors.T
-        top = np.argpartition(near, -k, axis=1)[:, -k:]
+        # Rounded, so that copies of a voter tie in every block.
+        near = np.round(_unit((block - voters.centre) @ voters.basis) @ voters.vectors.T, 5)
+        top = nearest(near, k)
         weight = np.clip(np.take_along_axis(near, top, axis=1), 1e-6, 1).astype(float) ** SHARPNESS
         score[i : i + BLOCK] = (weight * voters.labels[top]).sum(axis=1) / weight.sum(axis=1)
     return np.where(x.any(axis=1), np.clip(score, 0, 1), 0.0)
