@@ -24,13 +24,15 @@ def _groups(seed, sizes, values):
         lambda r: r.choice([0.0, 1e-9, 1e9, -1e9, 3.5]),
     ],
 )
-def test_quantiles_match_brute_force(spark, values):
+@pytest.mark.parametrize("small", [0, 3, 10_000])
+def test_quantiles_match_brute_force(spark, values, small):
     data = _groups(3, {"hot": 900, "b": 4, "c": 3, "d": 2, "e": 1}, values)
     df = spark.createDataFrame(data, "k string, v double")
     out = O.group_quantiles(
         df, ["k"], "v",
         {"m": (0.5, "inclusive"), "q1": (0.25, "exclusive"), "q3": (0.75, "exclusive"), "i9": (0.9, "inclusive")},
         {"n": "count", "lo": "min", "hi": "max", "s": "sum", "a": "avg"},
+        small,
     )
     got = {r["k"]: r for r in out.collect()}
     for k in {x for x, _ in data}:
@@ -46,9 +48,11 @@ def test_quantiles_match_brute_force(spark, values):
             assert r["i9"] == pytest.approx(statistics.quantiles(v, n=10, method="inclusive")[8], rel=1e-9, abs=1e-9)
 
 
-def test_quantiles_skip_nulls_and_keep_null_keys(spark):
+@pytest.mark.parametrize("small", [0, 1, O.SMALL_GROUP])
+def test_quantiles_skip_nulls_and_keep_null_keys(spark, small):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("b", 2.0)], "k string, v double")
-    assert rows(O.group_median(df, ["k"], "v")) == rows(spark.createDataFrame([(None, 2.0), ("b", 2.0)], "k string, m double"))
+    got = O.group_quantiles(df, ["k"], "v", {"m": (0.5, "inclusive")}, small=small)
+    assert rows(got) == rows(spark.createDataFrame([(None, 2.0), ("b", 2.0)], "k string, m double"))
 
 
 def test_quantiles_over_everything(spark):

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions.scalars import price_tier
-from tidemark.operators.ordered import group_median, group_quantiles, null_safe_join
+from tidemark.operators.ordered import SMALL_GROUP, group_median, group_quantiles, null_safe_join
 
 
 def entity_medians(df: DataFrame, keys: Sequence[str], entity: str, value: str, name: str = "median") -> DataFrame:
     """Median of each entity's values per key: one vote per entity, in long form."""
-    return group_median(df, [*keys, entity], value, name)
+    return group_median(df, [*keys, entity], value, name, small=SMALL_GROUP)
 
 
 def two_level_median(df: DataFrame, keys: Sequence[str], entity: str, value: str) -> DataFrame:
@@ -31,6 +31,7 @@ def two_level_median(df: DataFrame, keys: Sequence[str], entity: str, value: str
         "_vote",
         {"value": (0.5, "inclusive"), "p25": (0.25, "exclusive"), "p75": (0.75, "exclusive")},
         {"low": "min", "high": "max", "average": "avg", "entity_count": "count"},
+        SMALL_GROUP,
     )
     enough = F.col("entity_count") >= 4
     return (

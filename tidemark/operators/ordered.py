@@ -128,15 +128,17 @@ def group_quantiles(
     value: str,
     wanted: Mapping[str, tuple[float, str]],
     stats: Mapping[str, str] | None = None,
+    small: int = 0,
 ) -> DataFrame:
-    """Exact quantiles per key without gathering a key's values in one task.
+    """Exact quantiles per key without gathering a large key's values in one task.
 
     ``wanted`` maps an output column to ``(probability, "inclusive" | "exclusive")``; ``stats`` maps output
     columns to ``count``, ``min``, ``max``, ``sum`` or ``avg`` of the same finite values. Equal values are
-    counted map-side first; values then fall into bands of a millionth of their size, the bands are totalled
-    per key, those that hold a wanted rank are located from the totals, and only their values are ordered,
-    each band on its own. One task orders a key's bands (a million for each factor of e that its values
-    span, at most) or the different values of one band.
+    counted map-side first. Keys of at most ``small`` different values are ordered whole, which is cheaper
+    where keys are many; 0 suits few large keys. The values of all others fall into bands of a millionth of
+    their size, the bands are totalled per key, those that hold a wanted rank are located from the totals, and
+    only their values are ordered, each band on its own. One task orders a key's bands (a million for each
+    factor of e that its values span, at most) or the different values of one band.
     """
     by, whole = quoted(keys), f"PARTITION BY {', '.join(quoted(keys))} " if keys else ""
     used = {c: SPREAD[c] for c in SPREAD if any(c in STATS[k] for k in (stats or {}).values())}
@@ -146,8 +148,31 @@ def group_quantiles(
         .where(finite("_v"))
         .groupBy(*keys, "_v")
         .count()
-        .selectExpr(*by, "_v", "count AS _c", f"{value_band('_v')} AS _band")
+        .withColumnRenamed("count", "_c")
+        .where("_c > 0")  # always holds; keeps the joins below from moving under the count, which would read the input anew
     )
+    ends = []
+    at = lambda rank: f"max(CASE WHEN {rank} > _from AND {rank} <= _from + _c THEN _v END)"
+    for i, (low, high, weight) in enumerate(edges.values()):
+        ends += [f"{at(low)} AS _a{i}", f"{at(high)} AS _b{i}", f"max({weight}) AS _w{i}"]
+    pick = [F.expr(e) for e in [*ends, *(f"max({c}) AS {c}" for c in ("_n", *used))]]
+
+    split = small > 0 and len(keys) > 0
+    if split:
+        # Both sums are asked for, so that this reads the same exchange as the rows themselves do.
+        sizes = counted.groupBy(*keys).agg(F.expr("least(count(*), sum(_c)) AS _values"))
+        large = F.broadcast(sizes.where(f"_values > {small}").select(*keys))  # at most one per ``small`` values
+        on = F.expr(" AND ".join(f"_l.`{k}` <=> _r.`{k}`" for k in keys))
+        few = counted.alias("_l").join(large.alias("_r"), on, "left_anti").selectExpr(
+            *by,
+            "_v",
+            "_c",
+            f"sum(_c) OVER ({whole}) AS _n",
+            *[f"{inner} OVER ({whole}) AS {c}" for c, (inner, _) in used.items()],
+            f"coalesce(sum(_c) OVER ({whole}ORDER BY _v {EARLIER}), 0) AS _from",
+        )
+        counted = counted.alias("_l").join(large.alias("_r"), on, "left_semi")
+    counted = counted.selectExpr("*", f"{value_band('_v')} AS _band")
     located = counted.groupBy(*keys, "_band").agg(
         F.expr("sum(_c) AS _size"), *[F.expr(f"{inner} AS {c}") for c, (inner, _) in used.items()]
     ).selectExpr(
@@ -163,11 +188,9 @@ def group_quantiles(
     ranked = null_safe_join(counted, located.where(needed).drop("_size"), [*keys, "_band"]).selectExpr(
         *by, "_v", "_c", "_n", *used, f"_before + coalesce(sum(_c) OVER ({in_band}), 0) AS _from"
     )
-    at = lambda rank: f"max(CASE WHEN {rank} > _from AND {rank} <= _from + _c THEN _v END)"
-    ends = []
-    for i, (low, high, weight) in enumerate(edges.values()):
-        ends += [f"{at(low)} AS _a{i}", f"{at(high)} AS _b{i}", f"max({weight}) AS _w{i}"]
-    grouped = ranked.groupBy(*keys).agg(*[F.expr(e) for e in [*ends, *(f"max({c}) AS {c}" for c in ("_n", *used))]])
+    grouped = ranked.groupBy(*keys).agg(*pick)
+    if split:
+        grouped = few.groupBy(*keys).agg(*pick).unionByName(grouped)
     between = [
         f"CASE WHEN _w{i} = 0 THEN _a{i} ELSE _a{i} * (1 - _w{i}) + _b{i} * _w{i} END AS `{name}`"
         for i, name in enumerate(wanted)
@@ -175,8 +198,8 @@ def group_quantiles(
     return grouped.selectExpr(*by, *between, *[f"{STATS[k]} AS `{name}`" for name, k in (stats or {}).items()])
 
 
-def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", stats=None) -> DataFrame:
-    return group_quantiles(df, keys, value, {name: (0.5, "inclusive")}, stats)
+def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", stats=None, small: int = 0) -> DataFrame:
+    return group_quantiles(df, keys, value, {name: (0.5, "inclusive")}, stats, small)
 
 
 def rank_in_order(
