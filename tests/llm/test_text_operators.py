@@ -396,6 +396,51 @@ def test_bands_bring_near_texts_together(spark):
     assert got[3].leader == 0 and 2 not in got
 
 
+def test_near_classes_match_brute_force(spark, empty, monkeypatch):
+    monkeypatch.setattr(edit_prints, "BLOCK", 5)
+    rng = np.random.default_rng(21)
+    sampler, walker = edit_prints.Sampler(), edit_prints.Walker()
+    texts = [None, "", "a"]
+    for size in (40, 256, 512, 1030, 2090):  # walked lengths on both sides of powers of two
+        for _ in range(8):
+            base = "".join(rng.choice(list("abcdefgh "), size + rng.integers(0, 12)))
+            texts += [base, base]
+            for edits in (1, 1, 1, 1, 2, 3):
+                t = base
+                for _ in range(edits):
+                    at = int(rng.integers(len(t)))
+                    t = t[:at] + "?!"[: int(rng.integers(0, 3))] + t[at + int(rng.integers(0, 3)) :]
+                texts.append(t)
+    points = [edit_prints.points(t or "") for t in texts]
+    prints = [sampler.fingerprint(c, w) for c, w in zip(points, walker.walk(points, [0] * len(points)), strict=True)]
+    alike = np.array([[sampler.likeness(a, b) for b in prints] for a in prints])
+    assert np.allclose(np.where(alike == 1, 1, sampler.all_likeness(prints)), alike)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike[i, j] >= edit_prints.LIKE]
+    spans = {(len(bin(int(prints[i].split(":")[0], 16))), len(bin(int(prints[j].split(":")[0], 16)))) for i, j in pairs}
+    assert any(a != b for a, b in spans)  # some pairs lie on two sides of a power of two
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    got = by_id(edit_prints.near_classes(edit_prints.fingerprints(docs(spark, texts))))
+    assert np.mean([got[i].near_class == got[j].near_class for i, j in pairs]) >= edit_prints.RECALL
+    assert all(root[i] == root[r.near_class] for i, r in got.items()) and len(got) == len(texts)
+    assert edit_prints.near_classes(edit_prints.fingerprints(empty)).count() == 0
+
+
+def test_bands_reach_their_recall_on_pairs_at_the_threshold():
+    rng = np.random.default_rng(22)
+    sampler = edit_prints.Sampler()
+    count, reach = edit_prints.banding(edit_prints.LIKE)
+    met = []
+    for length in rng.integers(150, 20_000, 400).tolist():
+        bits = rng.integers(0, 2, len(sampler.upto(length)), dtype=np.uint8)
+        other = np.where(rng.random(len(bits)) < 0.1, 1 - bits, bits)  # a likeness of 0.8
+        keys = [set(sampler.bands([f"{n:x}:{np.packbits(b).tobytes().hex()}"], count, reach)[1].tolist()) for n, b in ((length, bits), (int(length * 0.98), other))]
+        met.append(bool(keys[0] & keys[1]))
+    assert np.mean(met) >= edit_prints.RECALL
+
+
 # Mixing
 
 

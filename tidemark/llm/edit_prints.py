@@ -4,19 +4,28 @@ A random walk shared by all documents copies each character a random number of t
 edits apart soon walk in step again and edit distance turns into Hamming distance. Places sampled at every
 scale of the walked text, one bit each, make the fingerprint: 128 places among the first 128, and 128 more
 in each doubling after that. Agreeing bits, weighted by the stretch they stand for and freed of chance,
-give a likeness from 0 to 1. Bands of sampled bits bring fingerprints together for verification.
+give a likeness from 0 to 1.
+
+Near prints of the whole table meet in bands. A band's bits are drawn from the places below a cut, each
+scale by the stretch it stands for, so that they agree as often as the likeness says. Cuts stand three to a
+doubling; a print has keys for the widest cut inside it and for those below that a print ``LIKE`` alike may
+have as its widest. The number of bands follows from ``RECALL`` for a pair at ``LIKE`` whose differences all
+lie below the cut, the worst case. Members of a band are judged against its least one, and all pairs of
+members that are still of different classes in blocks; links then join into classes.
 
 Neighbours in id order meet without a global sort: documents fall into ranges of ids, each range is sorted
 on its own, and the first document of the next range stands at its end.
 
 Defined results: a null text is empty; the empty fingerprint is like itself alone; documents of one id are
 ordered by text, a null id comes first; the only document follows itself; input columns beyond id and text
-are not read; an empty table gives no rows. Whole texts are walked, however long.
+are not read; an empty table gives no rows. Whole texts are walked, however long. A class is named by its
+least id other than null; equal fingerprints are one class, the empty ones too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
+from tidemark.llm.near_join import bounds, components, grouped
 
 CLASSES = 256
 PERIOD = 4096
@@ -34,8 +44,11 @@ ROWS_PER_RANGE = 2_000
 MOST_RANGES = 20_000
 CHUNK_CHARS = 12 << 20
 CELLS = 4 << 20
-BANDS, BAND_BITS = 8, 20
+BAND_BITS = 20
+CUTS = 3  # to a doubling of the walked length
 LIKE = 0.8
+RECALL = 0.99
+BLOCK = 512
 
 
 def walk_table() -> np.ndarray:
@@ -92,6 +105,7 @@ class Sampler:
 
     def __init__(self):
         self.places = np.arange(BITS, dtype=np.int64)
+        self.drawn: dict[tuple[int, int], np.ndarray] = {}
 
     def upto(self, length: int) -> np.ndarray:
         while len(self.places) == BITS or self.places[-1] < length:
@@ -137,19 +151,68 @@ class Sampler:
         weight = np.where(used > 0, high - low, 0)
         return float(min(1.0, max(0.0, (share * weight).sum() / weight.sum())))
 
-    def bands(self, print_: str) -> list[int]:
-        """Band keys of the two widest scales: bits sampled alike for all prints of about one length."""
-        length, bits = print_.split(":")
-        scale = max(0, int(length, 16).bit_length() - 1)
-        found = np.unpackbits(np.frombuffer(bytes.fromhex(bits), np.uint8))
-        low = max(0, (scale - 8) * BITS)  # the bits of the scale below the widest
-        own = found[low : low + BITS] if len(found) else np.zeros(BITS, np.uint8)
-        keys = []
-        for band in range(BANDS):
-            pick = np.random.default_rng(SEED - 1 - band).choice(BITS, BAND_BITS, replace=False)
-            code = int("".join(map(str, own[pick % max(len(own), 1)])), 2)
-            keys.append((band << 40) | (low // BITS << 32) | code)
-        return keys
+    def draws(self, cut: int, bands: int) -> np.ndarray:
+        """Which bits the bands of a cut hold, one row per band; a scale is drawn by its stretch below the cut."""
+        length = int(2 ** (cut / CUTS) + 1e-6)
+        sampled = self.upto(length)
+        used = (sampled < length).reshape(-1, BITS).sum(axis=1)
+        weight = np.where(used > 0, stretches(len(used), length), 0)
+        rng = np.random.default_rng([SEED, cut])
+        level = rng.choice(len(used), (bands, BAND_BITS), p=weight / weight.sum())
+        return level * BITS + rng.integers(0, used[level])
+
+    def bands(self, prints: list[str], bands: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of prints and their band keys, for each print's widest cut and the ``reach`` cuts below it."""
+        length = np.array([int(p.split(":")[0], 16) for p in prints], np.int64)
+        widest = np.floor(CUTS * np.log2(np.maximum(length, 1)) + 1e-9).astype(int)
+        at, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for cut in range(max(0, widest.min() - reach), widest.max() + 1) if len(prints) else ():
+            own = np.flatnonzero((length > 0) & (widest >= cut) & (widest <= cut + reach))
+            if not len(own):
+                continue
+            if (cut, bands) not in self.drawn:
+                self.drawn[cut, bands] = self.draws(cut, bands)
+            pick = self.drawn[cut, bands]
+            wide = int(pick.max()) // BITS + 1
+            found = np.stack([np.unpackbits(np.frombuffer(bytes.fromhex(prints[i].split(":")[1][: wide * BITS // 4]), np.uint8)) for i in own])
+            code = found[:, pick].astype(np.int64) @ (1 << np.arange(BAND_BITS, dtype=np.int64))
+            at.append(np.repeat(own, bands))
+            keys.append((code | (cut * bands + np.arange(bands))[None, :] << BAND_BITS).ravel())
+        return np.concatenate(at), np.concatenate(keys)
+
+    def all_likeness(self, prints: list[str]) -> np.ndarray:
+        """``likeness`` of all pairs of different prints, from products of their bits."""
+        length = np.array([int(p.split(":")[0], 16) for p in prints], np.int64)
+        sampled = self.upto(int(length.max()))
+        levels = len(sampled) // BITS
+        bits = np.zeros((len(prints), len(sampled)), np.float32)
+        for row, p in zip(bits, prints, strict=True):
+            own = np.unpackbits(np.frombuffer(bytes.fromhex(p.split(":")[1]), np.uint8))
+            row[: len(own)] = 2.0 * own - 1
+        inside = sampled[None, :] < length[:, None]
+        bits *= inside
+        used = inside.reshape(len(prints), levels, BITS).sum(axis=2)
+        weight = np.where(used > 0, np.stack([stretches(levels, n) for n in length]), 0)
+        each = weight / np.maximum(used, 1) / np.maximum(weight.sum(axis=1), 1)[:, None]
+        longer = length[:, None] >= length[None, :]
+        total = np.zeros((len(prints), len(prints)))
+        for i in range(levels):
+            part = bits[:, i * BITS : (i + 1) * BITS]
+            total += (part @ part.T) * np.where(longer, each[:, None, i], each[None, :, i])
+        return np.clip(total, 0.0, 1.0)
+
+
+def stretches(levels: int, length: int) -> np.ndarray:
+    """How much of a walked text each scale stands for."""
+    low = np.array([0] + [BITS << i for i in range(levels - 1)])
+    return np.maximum(0, np.minimum(np.array([BITS << i for i in range(levels)]), length) - low)
+
+
+def banding(like: float, recall: float = RECALL) -> tuple[int, int]:
+    """Bands that a pair ``like`` alike needs to share one with the given chance, and cuts its widest may be apart."""
+    differ = min(0.5, (1 - like) / 2 * 2 ** (1 / CUTS))
+    bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** BAND_BITS)) if differ else 1
+    return bands, math.ceil(CUTS * math.log2(1 / like) - 1e-9)
 
 
 def edited(text: str, following: str) -> str:
@@ -253,30 +316,81 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return ranged.mapInArrow(run, f"id {id_type}, {columns}").withColumnRenamed("id", key)
 
 
-def near_leaders(prints: DataFrame, key: str = "doc_id", like: float = LIKE) -> DataFrame:
-    """``key, leader``: the least other document that shares a band and whose fingerprint is at least ``like`` alike.
-
-    A band's members are compared with its least member only, so work stays linear in the bands.
-    """
-    prints = stored(prints.selectExpr(f"`{key}` AS id", "fingerprint"))
-    id_type = prints.schema["id"].dataType.simpleString()
+def near_classes(prints: DataFrame, key: str = "doc_id", like: float = LIKE) -> DataFrame:
+    """``prints`` with ``near_class``: the least id among the documents linked to it by prints ``like`` alike."""
+    prints = stored(prints)
+    reps = prints.groupBy("fingerprint").agg(F.min(f"`{key}`").alias("id"))
+    reps = stored(reps.select(F.monotonically_increasing_id().alias("rep"), "id", "fingerprint"))
+    count, reach = banding(like)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
-            bands = [sampler.bands(p) for p in batch.column(1).to_pylist()]
-            places = pa.array(np.repeat(np.arange(len(bands)), BANDS))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(places), pa.array([b for k in bands for b in k], pa.int64())], names=["id", "band"])
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                at, keys = sampler.bands(part.column(1).to_pylist(), count, reach)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(pa.array(at))], names=["band", "rep"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, 1):
+            edge = bounds(table, 1)
+            size = np.diff(edge)
+            rep = table.column(1).to_numpy()
+            made = table.append_column("lead", pa.array(np.repeat(rep[edge[:-1]], size)))
+            yield from made.filter(pa.array(np.repeat(size > 1, size))).combine_chunks().to_batches()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
-            alike = [sampler.likeness(a, b) >= like for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(alike)) for c in batch.columns[:2]], names=["id", "leader"])
-
-    bands = prints.mapInArrow(cut, f"id {id_type}, band long")
-    least = bands.groupBy("band").agg(F.min("id").alias("leader"))
-    pairs = bands.join(least, "band").where("id <> leader").select("id", "leader").distinct()
-    both = pairs.join(prints, "id").join(prints.selectExpr("id AS leader", "fingerprint AS other"), "leader")
-    alike = both.select("id", "leader", "fingerprint", "other").mapInArrow(verify, f"id {id_type}, leader {id_type}")
-    return alike.groupBy("id").agg(F.min("leader").alias("leader")).withColumnRenamed("id", key)
+            alike = [sampler.likeness(a, b) >= like - 1e-9 for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(alike, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler()
+        for table in grouped(batches, 3):
+            edge = bounds(table, 3)
+            low, high, block, rep, known = (table.column(c).to_numpy() for c in ("low", "high", "block", "rep", "known"))
+            texts = table.column("fingerprint").to_pylist()
+            u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                new = np.triu(known[a:b, None] != known[None, a:b], 1)
+                if low[a] != high[a]:
+                    new &= block[a:b, None] != block[None, a:b]
+                if new.any():
+                    one, other = np.nonzero(new & (sampler.all_likeness(texts[a:b]) >= like - 1e-9))
+                    # Links between the same two classes say the same.
+                    _, first = np.unique(np.sort(np.stack([known[a + one], known[a + other]]), axis=0), axis=1, return_index=True)
+                    u.append(rep[a + one[first]])
+                    v.append(rep[a + other[first]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    keys = reps.select("rep", "fingerprint").mapInArrow(cut, "band long, rep long")
+    members = stored(keys.repartition("band").sortWithinPartitions("band", "rep").mapInArrow(shared, "band long, rep long, lead long"))
+    texts = reps.select("rep", "fingerprint")
+    pairs = members.where("rep <> lead").select("rep", "lead").distinct()
+    both = pairs.join(texts, "rep").join(texts.selectExpr("rep AS lead", "fingerprint AS other"), "lead")
+    stars = stored(both.select("rep", "lead", "fingerprint", "other").mapInArrow(verify, "u long, v long"))
+    found = stored(components(stars))
+    # Only pairs without the least member, and of classes not yet joined, are left.
+    rest = members.where("rep <> lead").join(found.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("band", "rep", "coalesce(root, rep) AS known")
+    open_ = rest.groupBy("band").agg(F.count("*").alias("n"), F.min("known").alias("_l"), F.max("known").alias("_h")).where("_l <> _h")
+    units = (
+        rest.join(open_.select("band", "n"), "band")
+        .selectExpr("*", f"int(ceil(n / {BLOCK})) AS _blocks")
+        .selectExpr("*", "int(pmod(xxhash64(known, rep), _blocks)) AS block")
+        .selectExpr("band", "rep", "known", "block", "explode(sequence(0, _blocks - 1)) AS _other")
+        .selectExpr("band", "least(block, _other) AS low", "greatest(block, _other) AS high", "block", "rep", "known")
+    )
+    unit = ("band", "low", "high")
+    judged = units.join(texts, "rep").select(*unit, "block", "rep", "known", "fingerprint").repartition(*unit).sortWithinPartitions(*unit)
+    links = stars.select("u", "v").union(judged.mapInArrow(judge, "u long, v long"))
+    roots = components(links).withColumnRenamed("node", "rep")
+    named = stored(reps.join(roots, "rep", "left").selectExpr("fingerprint", "id", "coalesce(root, rep) AS root"))
+    least = named.groupBy("root").agg(F.min("id").alias("near_class"))
+    return prints.join(named.drop("id").join(least, "root").drop("root"), "fingerprint").select(*prints.columns, "near_class")
+
+
+def near_leaders(prints: DataFrame, key: str = "doc_id", like: float = LIKE) -> DataFrame:
+    """``key, leader``: the least document of the class, for all others of it."""
+    found = near_classes(prints.select(key, "fingerprint"), key, like)
+    return found.where(F.col("near_class") != F.col(f"`{key}`")).selectExpr(f"`{key}`", "near_class AS leader")

@@ -47,7 +47,7 @@ def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_prints.fingerprints(documents(spark, sf_dir))
+    return edit_prints.near_classes(edit_prints.fingerprints(documents(spark, sf_dir)))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
