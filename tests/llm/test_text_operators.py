@@ -122,6 +122,24 @@ def test_added_spans(detector):
     assert added(EN) == []
 
 
+def test_corpus_with_many_rewritten_spans(spark):
+    rng = np.random.default_rng(2)
+    texts, want = [], []
+    for i in range(400):
+        words = EN.split()
+        rng.shuffle(words)
+        name, n = f"u{i}.n", rng.integers(200, 999, 3)
+        fixed = [f"{name}@mail{i % 7}.example.com", f"+1 ({n[0]}) 555-{n[1]}0"][i % 2]
+        other = [f"{name} [at] mail{i % 5} [dot] example [dot] com", f"{n[0]}-{n[1]}-{n[2]}4"][i % 2]
+        texts.append(" ".join([*words[:5], fixed, *words[5:12], other, *words[12:17], other, *words[17:]]))
+        want.append(other)
+    detector = pii.fit(docs(spark, texts))
+    found = [[t[a:b] for _, a, b in pii.added_spans(t, pii.base_spans(t), detector)].count(w) for t, w in zip(texts, want, strict=True)]
+    assert np.mean(found[::2]) > 1.8 and np.mean(found[1::2]) > 1.8
+    assert pii.harmless("on 2021-03-04 it", ("phone", 3, 13)) and not pii.harmless("tel 2021-03-04", ("phone", 4, 14))
+    assert not pii.harmless("no 612 345 678", ("phone", 3, 14)) and pii.harmless("12:30:45", ("ip", 0, 8))
+
+
 def test_find_and_redact(spark, odd, empty, detector):
     text = "mail é a.b@c.de, 10.0.0.1 and +1 (415) 555-2671"
     row = pii.find(docs(spark, [text]), detector).first()

@@ -5,7 +5,8 @@ generators propose other writings of them (spelled-out at and dot, other separat
 which may overlap; boosted trees score each from its format and context; a threshold per kind, set for
 precision on held-back examples, and best-first choice without overlaps decide. The examples come from
 the corpus: fixed-format spans of a bounded sample rewritten in other writings are positive, everyday
-numbers and phrases put in their places and proposals in the sample that hold no data are negative.
+numbers and phrases put in their places are negative, and so are proposals in the sample that a rule proves
+harmless (``harmless``). All other proposals of the sample stay unlabelled, since they may be data.
 
 Defined results: a null text is empty and has no span; places count code points, ends are exclusive; a
 corpus without fixed-format spans gives no model and so no added span; equal scores are chosen by place;
@@ -213,6 +214,30 @@ def features(text: str, span: Span) -> list[float]:
     return one_hot + cues + [float(body.count(c)) for c in SEPARATORS] + [float(x) for x in own]
 
 
+YEAR = "(?:19|20)[0-9]{2}"
+MONTH, DAY = "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])"
+PLAIN = {
+    "ip": re.compile(r"(?:[01]?[0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"),
+    "phone": re.compile(rf"{YEAR}([-/. ]){MONTH}\1{DAY}|{DAY}([-/. ]){MONTH}\2{YEAR}|{YEAR}[-/]{YEAR}|[1-9][0-9]?(?: [0-9]{{3}}){{2,}}"),
+}
+
+
+def harmless(text: str, span: Span) -> bool:
+    """Whether a proposal is no data for certain: a time, a date, years, grouped thousands, parts above 255, a failed Luhn digit.
+
+    A cue of the kind before it leaves it open.
+    """
+    kind, a, b = span
+    body = text[a:b]
+    if any(c in text[max(0, a - WINDOW) : a].lower() for c in CUES[kind]):
+        return False
+    if kind == "card":
+        return not luhn(NOT_DIGIT.sub("", body))
+    if kind == "ip" and ":" not in body and any(int(g) > 255 for g in GROUP.findall(body)):
+        return True
+    return kind in PLAIN and bool(PLAIN[kind].fullmatch(body))
+
+
 def rewritten(kind: str, body: str, rng: random.Random) -> str:
     """A fixed-format span in another writing."""
     if kind == "email":
@@ -291,9 +316,10 @@ def examples(text: str) -> Iterator[tuple[int, list[float]]]:
                 if span[1] < end and span[2] > start:
                     right = span in exact if exact is not None else span[1] == start and span[2] >= end and span[0] == kind
                     yield int(right), features(whole, span)
-    # Proposals of the text itself count as negative, unless they lie in a dropped match and may be data.
+    # Of the text's own proposals only the harmless ones have a known label.
     unsure = list(inside_dropped(text))
-    for span in proposals(text, taken)[:EXAMPLES_PER_DOC]:
+    proven = [p for p in proposals(text, taken) if harmless(text, p)]
+    for span in proven[:EXAMPLES_PER_DOC]:
         if not any(span[1] < b and span[2] > a for _, a, b in unsure):
             yield 0, features(text, span)
 
