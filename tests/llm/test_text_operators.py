@@ -131,7 +131,7 @@ def test_corpus_with_many_rewritten_spans(spark):
         name, n = f"u{i}.n", rng.integers(200, 999, 3)
         fixed = [f"{name}@mail{i % 7}.example.com", f"+1 ({n[0]}) 555-{n[1]}0"][i % 2]
         other = [f"{name} [at] mail{i % 5} [dot] example [dot] com", f"{n[0]}-{n[1]}-{n[2]}4"][i % 2]
-        texts.append(" ".join([*words[:5], fixed, *words[5:12], other, *words[12:17], other, *words[17:]]))
+        texts.append(" ".join([*words[:5], fixed, *words[5:12], "call", other, *words[12:17], "call", other, *words[17:]]))
         want.append(other)
     detector = pii.fit(docs(spark, texts))
     found = [[t[a:b] for _, a, b in pii.added_spans(t, pii.base_spans(t), detector)].count(w) for t, w in zip(texts, want, strict=True)]
@@ -140,6 +140,14 @@ def test_corpus_with_many_rewritten_spans(spark):
     assert not pii.harmless("no 612 345 678", ("phone", 3, 14)) and pii.harmless("12:30:45", ("ip", 0, 8))
 
 
+def test_every_pair_of_at_and_dot_is_proposed_alone():
+    for at in ("[at]", " [ at ] ", " (at) ", "{at}", "<at>", " at ", " At ", " AT ", " (At) ", " @ ", " @", "[@]"):
+        for dot in (".", " dot ", " Dot ", " DOT ", "[dot]", " (dot) ", " [ Dot ] ", "{dot}", "[.]"):
+            text = f"jane{at}example{dot}org"
+            assert ("email", 0, len(text)) in pii.proposals(text, []), text
+            assert ("email", 3, 3 + len(text)) in pii.proposals(f"so {text}; and", []), text
+
+
 def test_find_and_redact(spark, odd, empty, detector):
     text = "mail é a.b@c.de, 10.0.0.1 and +1 (415) 555-2671"
     row = pii.find(docs(spark, [text]), detector).first()

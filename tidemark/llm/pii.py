@@ -105,12 +105,11 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-AT = r"(?:\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?|\s?@\s|\s@|\s(?:at|AT)\s|@)"
-DOT = r"(?:\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s|\.)"
+AT = r"(?i:\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s?@\s|\s@|\sat\s|@)"
+DOT = r"(?i:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s|\.)"
 ANCHOR = re.compile(AT)
 NAME = re.compile(r"[\w.+-]{1,64}$")
 HOST = re.compile(rf"[\w-]{{1,63}}(?:{DOT}[\w-]{{1,63}}){{1,6}}")
-SPELLED = (" dot ", "DOT", "(at", "[at", "{at", "<at", "(AT", "[AT", "@", "[dot", "(dot")
 PROPOSALS = {
     "ip": (
         re.compile(r"(?<![\w.])[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\s\.\s|,)\s?[0-9]{1,3}){3}(?!\w)"),
@@ -149,15 +148,11 @@ def inside_dropped(text: str) -> Iterator[Span]:
 def proposals(text: str, taken: list[Span]) -> list[Span]:
     """High-recall spans that meet no span of ``taken``; they may meet each other."""
     found: list[Span] = []
-    if any(map(text.__contains__, SPELLED)):
-        spelled = " dot " in text or "DOT" in text
-        for at in ANCHOR.finditer(text):
-            if at.group().strip() in ("at", "AT") and not spelled:
-                continue
-            name = NAME.search(text[max(0, at.start() - 64) : at.start()])
-            host = HOST.match(text, at.end())
-            if name and host:
-                found.append(("email", at.start() - len(name.group()), host.end()))
+    for at in ANCHOR.finditer(text):
+        host = HOST.match(text, at.end())
+        name = NAME.search(text[max(0, at.start() - 64) : at.start()]) if host else None
+        if name:
+            found.append(("email", at.start() - len(name.group()), host.end()))
     if DIGIT.search(text):
         for kind, patterns in PROPOSALS.items():
             for pattern in patterns:
@@ -205,7 +200,7 @@ def features(text: str, span: Span) -> list[float]:
         float(13 <= len(digits) <= 19 and luhn(digits)),
         sum(c in "abcdefABCDEF" for c in body),
         len(tail),
-        float(bool(re.search(r"[\[({<]\s?(?:at|AT|@|dot|DOT|\.)", body))),
+        float(bool(re.search(r"(?i)[\[({<]\s?(?:at|@|dot|\.)", body))),
         len(set(NOT_DIGIT.findall(body))),
         float(not before or before[-1].isspace()),
         float(not after or after[0] in " \n\t.,;:)!?"),
