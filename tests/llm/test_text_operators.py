@@ -548,6 +548,17 @@ def test_templates_recur_across_pages_of_a_host(spark):
     assert html_text.extract(table.limit(0)).count() == 0
 
 
+def test_templates_count_pages_whatever_the_host_holds(spark):
+    long = "words of this page only, enough to be most of it "
+    rare = "<article><p>{}</p><div>Section notice</div></article>"
+    rows = [(i, "http://big.example/", rare.format(long + str(i)) if i < 5 else f"<article><p>{long}{i}</p></article>") for i in range(200)]
+    rows += [(300 + i, "http://few.example/", rare.format(long + str(i))) for i in range(4)]
+    rows += [(400, "http://big.example/", rare.format("short"))]  # the notice is more than half of this page
+    got = by_id(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert got[2].text == f"{long}2" and got[150].text == f"{long}150"
+    assert got[301].text == f"{long}1\nSection notice" and got[400].text == "short\nSection notice"
+
+
 def test_repeated_paragraphs_stay_in_the_article(spark):
     rows = [(i, "http://h.example/", f"<article><p>line {i}</p><p>Said on every page.</p></article>") for i in range(20)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))

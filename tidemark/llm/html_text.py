@@ -2,7 +2,7 @@
 
 Every element that may be a template is hashed with its whole subtree. Spark counts, per host, in how many
 different pages each hash occurs; subtrees that recur across many pages of their host are deleted when the
-text is taken, unless they hold most of a page's text. Elements that are not text of the article by their
+text is taken, however many pages the host has, unless they hold more than half of a page's text. Elements that are not text of the article by their
 nature (menus, footers, forms, scripts, adverts, comments and so on) go by tag, role and class name.
 
 The article is the longest ``article`` element, else ``main``, else the body. Inside an ``article`` or
@@ -30,7 +30,6 @@ from pyspark.sql.types import StructType
 from tidemark.llm.common import slices, stored
 
 LEAST_PAGES = 5
-LEAST_SHARE = 0.1
 MOST_OF_TEXT = 0.5
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)(>|\Z)|</[^>]*(?:>|\Z)""", re.DOTALL)
@@ -217,27 +216,28 @@ def main_text(page: Page, recurring: frozenset[int]) -> str:
     return "\n".join(blocks)
 
 
-def site_templates(pages: DataFrame, url: str = "url", source: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """``host, codes``: hashes of subtrees found in many different pages of a host."""
+def page_codes(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
+    """``host, source, page, codes`` of every different source: its digest, its article's, and the subtrees that may be templates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, source):
-                hosts, codes, digests = [], [], []
-                for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    digest, found = candidates(read(page or ""))
-                    for code in (None, *found):  # the row without a code counts the page itself
-                        hosts.append(host)
-                        codes.append(code)
-                        digests.append(digest)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(codes, pa.int64()), pa.array(digests, pa.int64())], names=["host", "code", "page"])
-
-    seen = pages.select(host_of(url).alias("host"), F.col(f"`{source}`").alias(source)).mapInArrow(run, "host string, code long, page long")
-    counted = stored(seen.distinct().groupBy("host", "code").agg(F.count("*").alias("n")))
-    whole = counted.where("code IS NULL").selectExpr("host AS _h", "n AS _pages")
-    many = counted.where(f"code IS NOT NULL AND n >= {least_pages}").join(whole, F.expr("host <=> _h")).where(f"n >= {least_share} * _pages")
-    # Each code stands in a fixed share of its host's pages, which bounds a host's list by its pages' size.
-    return many.groupBy("host").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+                found = [candidates(read(page or "")) for page in part.column(2).to_pylist()]
+                digests, codes = pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], digests, codes], names=["host", "source", "page", "codes"])
+
+    rows = pages.select(host_of(url).alias("host"), F.md5(F.col(f"`{source}`")).alias("source"), F.col(f"`{source}`").alias(source))
+    return rows.mapInArrow(run, "host string, source string, page long, codes array<long>").dropDuplicates(["host", "source"])
+
+
+def site_templates(pages: DataFrame, url: str = "url", source: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
+    """``host, source, codes``: of each different source the subtrees found in ``least_pages`` different pages of its host.
+
+    Codes meet pages by host and code, so a list is bounded by its own page.
+    """
+    seen = stored(page_codes(pages, url, source)).where("size(codes) > 0").select("host", "source", "page", F.explode("codes").alias("code"))
+    many = seen.select("host", "code", "page").distinct().groupBy("host", "code").agg(F.count("*").alias("n")).where(f"n >= {least_pages}")
+    return seen.join(many, ["host", "code"]).groupBy("host", "source").agg(F.sort_array(F.collect_set("code")).alias("codes"))
 
 
 def host_of(url: str) -> Column:
@@ -247,9 +247,9 @@ def host_of(url: str) -> Column:
 def extract(pages: DataFrame, url: str = "url", source: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Adds ``text`` and ``n_chars`` to the kept columns of every page."""
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
-    templates = stored(site_templates(pages, url, source)).withColumnRenamed("host", "_host")
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("_html"), host_of(url).alias("_of"))
-    joined = rows.join(templates, F.col("_of") == F.col("_host"), "left").drop("_of", "_host")
+    templates = stored(site_templates(pages, url, source)).selectExpr("host AS _host", "source AS _source", "codes AS _codes")
+    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("_html"), host_of(url).alias("_of"), F.md5(F.col(f"`{source}`")).alias("_md5"))
+    joined = rows.join(templates, (F.col("_of") == F.col("_host")) & (F.col("_md5") == F.col("_source")), "left").drop("_of", "_host", "_md5", "_source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
