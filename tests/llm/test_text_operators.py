@@ -535,6 +535,23 @@ def test_main_text_of_a_page(page, text):
     assert html_text.main_text(html_text.read(page), frozenset()) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='layout no-sidebar'><article><p>text</p></article></div>", "text"),
+        ("<div id='page-with-header'><article><section class='related-work'><p>text</p></section></article></div>", "text"),
+        ("<div class='sidebar'><article><p>text</p></article></div>", "text"),
+        ("<form><div class='banner'><main><p>text</p></main></div><div class='related-posts'>x</div></form>", "text"),
+        ("<article><p>text</p><div class='left-sidebar'>x</div><div class='comment-list'>y</div><div class='ad'>z</div></article>", "text"),
+        ("<article><p>text</p></article><div class='comments'><article><p>a longer comment than the text</p></article></div>", "text"),
+        (f"<main><div>{'long text ' * 20}</div><article class='card'>teaser</article></main>", "long text " * 19 + "long text\nteaser"),
+        (f"<body><div>{'long text ' * 20}</div><article class='card'>teaser</article></body>", "long text " * 19 + "long text\nteaser"),
+    ],
+)
+def test_whole_names_and_sizes_choose_the_article(page, text):
+    assert html_text.main_text(html_text.read(page), frozenset()) == text
+
+
 def test_templates_recur_across_pages_of_a_host(spark):
     long = "words of this page only, enough to be most of it "
     rows = [(i, f"http://h.example/{i}", PAGE.format(long + str(i))) for i in range(30)]

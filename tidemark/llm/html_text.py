@@ -5,7 +5,12 @@ different pages each hash occurs; subtrees that recur across many pages of their
 text is taken, however many pages the host has, unless they hold more than half of a page's text. Elements that are not text of the article by their
 nature (menus, footers, forms, scripts, adverts, comments and so on) go by tag, role and class name.
 
-The article is the longest ``article`` element, else ``main``, else the body. Inside an ``article`` or
+Class and id names count whole: a known name, or one that ends in a known name or goes on with a usual ending
+(``left-sidebar``, ``related-posts``; not ``no-sidebar`` or ``related-work``). If every ``article`` and ``main``
+lies inside such elements, these are kept.
+
+The article is the longest ``article`` element, unless it is less than a quarter of the longest ``main``, or of
+the body if there is none; then ``main``, by the same measure, else the body. Inside an ``article`` or
 ``main``, its own paragraphs, headings and list items are text however often they recur; only containers can
 be templates there. Copies of a page count as one page, so copied articles are no template.
 
@@ -31,10 +36,11 @@ from tidemark.llm.common import slices, stored
 
 LEAST_PAGES = 5
 MOST_OF_TEXT = 0.5
+ROOT_SHARE = 0.25
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)(>|\Z)|</[^>]*(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-NAME_PARTS = re.compile(r"[a-z]+")
+NAME_PARTS = re.compile(r"[a-z0-9]+")
 
 SKIPPED = frozenset("script style noscript template iframe object svg math canvas head title nav header footer aside form button select textarea input dialog menu".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
@@ -57,6 +63,13 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar header footer cookie"
     " cookies consent gdpr notice banner popup modal newsletter subscribe share sharing social comment comments reply replies respond related widget alert masthead".split()
 )
+ENDINGS = frozenset(
+    "list area section box bar wrapper wrap container slot links link buttons button posts articles stories signup form items item inner block unit thread"
+    " left right top bottom primary secondary content message overlay icons toggle".split()
+)
+NEGATIONS = frozenset("no not non has have with without hide".split())
+#: Skipped elements that are kept when the only article stands inside them.
+HOLDERS = frozenset("header aside form dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
@@ -78,6 +91,17 @@ class Page:
     templates: list[tuple[int, int, int, int, bool]]
 
 
+def named(value: str) -> bool:
+    """Whether one of the blank-separated names marks something else than the article."""
+    for name in value.split():
+        parts = NAME_PARTS.findall(name)
+        if not parts or not NEGATIONS.isdisjoint(parts):
+            continue
+        if parts[-1] in NAMES or len(parts) > 1 and parts[-1] in ENDINGS and parts[-2] in NAMES:
+            return True
+    return False
+
+
 def unwanted(tag: str, attributes: str) -> bool:
     if tag in SKIPPED:
         return True
@@ -85,7 +109,7 @@ def unwanted(tag: str, attributes: str) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and not NAMES.isdisjoint(NAME_PARTS.findall(value)):
+        if name in ("class", "id") and named(value):
             return True
         if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -95,8 +119,21 @@ def unwanted(tag: str, attributes: str) -> bool:
 
 
 def read(source: str) -> Page:
-    """One pass over the tags of a page."""
+    """A page's blocks, with what holds its only articles kept."""
+    page, holders = parse(source, frozenset())
+    if holders and not any(r[3] and r[0] != "body" for r in page.roots):
+        page, _ = parse(source, frozenset(holders))
+    return page
+
+
+def parse(source: str, kept: frozenset[int]) -> tuple[Page, set[int]]:
+    """One pass over the tags of a page; also the places of skipped elements that hold an ``article`` or ``main``.
+
+    Elements at the places ``kept`` are not skipped.
+    """
     page = Page([], [], [])
+    holders: set[int] = set()
+    open_holders: list[tuple[int, int, bool]] = []  # depth and place of skipped elements, and whether they may be kept
     stack = [Element("", 0, False)]
     text: list[str] = []
     skipped = articles = 0
@@ -171,7 +208,7 @@ def read(source: str) -> Page:
                 place -= 1
         if tag in VOID:
             continue
-        bad = unwanted(tag, attributes)
+        bad = unwanted(tag, attributes) and found.start() not in kept
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
             at = stop.end() if stop else len(source)
@@ -179,22 +216,31 @@ def read(source: str) -> Page:
                 continue
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
+        while open_holders and open_holders[-1][0] >= len(stack):
+            open_holders.pop()
+        if bad:
+            open_holders.append((len(stack), found.start(), tag not in SKIPPED or tag in HOLDERS))
+        elif skipped and tag in ("article", "main") and all(h[2] for h in open_holders):
+            holders.update(h[1] for h in open_holders)
         stack.append(Element(tag, len(page.blocks), bad))
         skipped += bad
         articles += tag in ("article", "main") and not skipped
     while len(stack) > 1:
         close()
     flush()
-    return page
+    return page, holders
 
 
 def root_of(page: Page) -> tuple[int, int]:
     """Where the article's blocks begin and end."""
-    for tag in ("article", "main", "body"):
-        found = [r for r in page.roots if r[0] == tag and r[3]]
-        if found:
-            return max(found, key=lambda r: r[3])[1:3]
-    return 0, len(page.blocks)
+    longest = {tag: max((r for r in page.roots if r[0] == tag), key=lambda r: r[3], default=None) for tag in ("article", "main", "body")}
+    whole = sum(map(len, page.blocks))
+    for tag, around in (("article", longest["main"]), ("main", None)):
+        found = longest[tag]
+        outer = around[3] if around and around[3] else whole
+        if found and found[3] and found[3] >= ROOT_SHARE * outer:
+            return found[1:3]
+    return longest["body"][1:3] if longest["body"] and longest["body"][3] else (0, len(page.blocks))
 
 
 def candidates(page: Page) -> tuple[int, list[int]]:
