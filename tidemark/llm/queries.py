@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import edit_prints, html_text, language, mixing, near_join, packing, pii, quality_knn, quality_rules, token_counts
+from tidemark.llm import byte_pairs, edit_prints, html_text, language, mixing, near_join, packing, pii, quality_knn, quality_rules, token_counts
 from tidemark.llm.common import documents, fold
 
 
@@ -58,6 +58,17 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])
 
 
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_pairs.encode(documents(spark, sf_dir), path, pattern, keep=["doc_id"])
+    return byte_pairs.decode(coded, path, pattern).selectExpr(
+        "doc_id",
+        "CAST(size(ids) AS BIGINT) AS n_tokens",
+        "sha2(CAST(concat_ws(' ', CAST(ids AS ARRAY<STRING>)) AS BINARY), 256) AS ids_sha256",
+        "sha2(decoded, 256) AS decoded_sha256",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +82,7 @@ QUERIES = {
         op8_edit_fingerprints,
         op9_source_mix,
         op10_main_text,
+        op12_byte_pairs,
     )
 }
 ORACLES = {"op9_source_mix": mixing.MIX_SQL}
