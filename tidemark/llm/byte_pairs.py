@@ -17,6 +17,7 @@ id, makes the decoded value null.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import islice
@@ -32,12 +33,13 @@ from pyspark.sql.types import StructType
 from tidemark.llm.common import with_text_columns
 
 REMEMBERED_PAIRS = 1_000_000
-REMEMBERED_WORDS = 500_000  # of at most REMEMBERED_CHARS characters each
+REMEMBERED_WORDS = 400_000  # of at most REMEMBERED_CHARS characters each, and as many of an older generation
 REMEMBERED_CHARS = 64
-WINDOW = 1 << 14  # bytes of a pre-token whose matches are held at once
+AHEAD = 4  # longest tokens' lengths that one search of the automaton may read
 RUN = 100_000  # pre-tokens of a long text that are held at once
 LONG_TEXT = 1 << 20
 NEVER = 1 << 62
+UNSEEN, NONE_LEFT = -2, -1
 
 
 class BytePairs:
@@ -48,13 +50,17 @@ class BytePairs:
         self.raw = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.split = regex.compile(pattern)
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.above = [0] * (max(ranks.values()) + 1)  # bytes after the first
         for b, i in ranks.items():
-            self.automaton.add_word(b.decode("latin-1"), (len(b), i))
+            self.above[i] = len(b) - 1
+            self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.prefix: dict[int, int] = {}
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
         """The parts of a token before its last merge, by plain merging; a single part if it has none."""
@@ -92,40 +98,34 @@ class BytePairs:
         Merges happen in the order of ranks, the leftmost first among equal ones, so both edges grow in that
         order, and the tokens come apart if parts that stand side by side have a token of less rank.
         """
-        pair = (left, right)
-        known = self.pairs.get(pair)
-        if known is not None:
-            return known
-        if len(self.pairs) >= REMEMBERED_PAIRS:
-            self.pairs.clear()
         after = self.edge(right, False)
         if left < 0:
-            known = bool(after)
-        else:
-            before, ranks, i, j = self.edge(left, True), self.ranks, 0, 0
-            known = bool(before and after)
-            while known:
-                (a, a_until), (b, b_until) = before[i], after[j]
-                met = ranks.get(a + b, NEVER)
-                if met < a_until and met <= b_until and met < NEVER:
-                    known = False
-                elif a_until == b_until == NEVER:
-                    break
-                elif a_until <= b_until:
-                    i += 1
-                else:
-                    j += 1
-        self.pairs[pair] = known
-        return known
-
-    def found(self, data: str, start: int, stop: int) -> list[list[tuple[int, int]]]:
-        """The tokens that start at each place from ``start`` to ``stop``, short to long, as (size, id)."""
-        out: list[list[tuple[int, int]]] = [[] for _ in range(stop - start)]
-        for end, token in self.automaton.iter(data, start, min(stop + self.longest - 1, len(data))):
-            first = end - token[0] + 1
-            if first < stop:
-                out[first - start].append(token)
-        return out
+            return bool(after)
+        before, ranks, i, j = self.edge(left, True), self.ranks, 0, 0
+        if not before or not after:
+            return False
+        while True:
+            (a, a_until), (b, b_until) = before[i], after[j]
+            met = ranks.get(a + b, NEVER)
+            if met < a_until and met <= b_until and met < NEVER:
+                return False
+            if a_until == b_until == NEVER:
+                return True
+            if a_until <= b_until:
+                i += 1
+            else:
+                j += 1
+
+    def look_ahead(self, letters: str, place: int, longest: array) -> int:
+        """Notes the longest tokens from a place on, each where the one before ends; returns the first of them."""
+        part, above = letters[place : place + AHEAD * self.longest], self.above
+        sure = len(letters) if place + len(part) == len(letters) else place + len(part) - self.longest
+        for end, token in self.automaton.iter_long(part):
+            at = place + end - above[token]
+            if at > sure or longest[at] >= 0:
+                break
+            longest[at] = token
+        return longest[place]
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of one pre-token."""
@@ -133,50 +133,66 @@ class BytePairs:
         known = self.ranks.get(data)
         if known is not None and self.compatible(-1, known):
             return [known]
-        letters, size = data.decode("latin-1"), len(data)
+        letters, size, pairs, above = data.decode("latin-1"), len(data), self.pairs, self.above
         dead = bytearray(size + 1)
         ids: list[int] = []
-        tried: list[int] = []  # for every id taken, how many tokens of its place are left to try
-        place, window, left, held = 0, -1, -1, []
+        longest = array("i", [-1]) * size
+        place, last, token = 0, -1, UNSEEN
         while place < size:
-            if place // WINDOW != window:
-                window = place // WINDOW
-                held = self.found(letters, window * WINDOW, min((window + 1) * WINDOW, size))
-            options = held[place % WINDOW]
-            if left < 0:
-                left = len(options)
-            last = ids[-1] if ids else -1
-            while left:
-                left -= 1
-                length, token = options[left]
-                if not dead[place + length] and self.compatible(last, token):
-                    ids.append(token)
-                    tried.append(left)
-                    place += length
-                    left = -1
-                    break
+            if token == UNSEEN:
+                token = longest[place]
+                if token < 0:
+                    token = self.look_ahead(letters, place, longest)
+            while token >= 0:
+                end = place + above[token] + 1
+                if not dead[end]:
+                    pair = last << 32 | token
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        if len(pairs) > REMEMBERED_PAIRS:
+                            pairs.clear()
+                        fits = pairs[pair] = self.compatible(last, token)
+                    if fits:
+                        break
+                token = self.shorter(token)
+            if token >= 0:
+                ids.append(token)
+                place, last, token = end, token, UNSEEN
             else:
                 dead[place] = 1
-                left = tried.pop()
-                place -= len(self.raw[ids.pop()])
+                taken = ids.pop()
+                place -= above[taken] + 1
+                last = ids[-1] if ids else -1
+                token = self.shorter(taken)
         return ids
 
+    def shorter(self, token: int) -> int:
+        """The longest token that is a shorter prefix of a token, or ``NONE_LEFT``."""
+        known = self.prefix.get(token)
+        if known is None:
+            data = self.raw[token]
+            known = next((self.ranks[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.ranks), NONE_LEFT)
+            self.prefix[token] = known
+        return known
+
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian integers of four bytes."""
+        """The ids of a text as native integers of four bytes."""
         if len(text) <= LONG_TEXT:
             return self._encode_run(self.split.findall(text))
         found = (m.group() for m in self.split.finditer(text))
         return b"".join(iter(lambda: self._encode_run(list(islice(found, RUN))), b""))
 
     def _encode_run(self, words: list[str]) -> bytes:
-        known = self.words
+        known, older = self.words, self.older
         new = {w for w in words if w not in known}
         if len(known) + len(new) > REMEMBERED_WORDS:
-            known.clear()
+            known, older = {}, known
+            self.words, self.older = known, older
             new = set(words)
         long = {}
         for w in new:
-            (known if len(w) <= REMEMBERED_CHARS else long)[w] = np.array(self.encode_word(w), "<i4").tobytes()
+            ids = older.get(w) or array("i", self.encode_word(w)).tobytes()
+            (known if len(w) <= REMEMBERED_CHARS else long)[w] = ids
         if long:
             return b"".join([long[w] if w in long else known[w] for w in words])
         return b"".join(map(known.__getitem__, words))
@@ -200,7 +216,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: S
 
     def make():
         known = vocabulary(path, pattern)
-        return lambda texts: {"ids": [np.frombuffer(known.encode(t), "<i4") for t in texts]}
+        return lambda texts: {"ids": [np.frombuffer(known.encode(t), np.int32) for t in texts]}
 
     return with_text_columns(docs, make, "ids array<int>", text, keep)
 
