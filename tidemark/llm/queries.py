@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_pairs, edit_prints, html_text, language, mixing, near_join, packing, pii, quality_knn, quality_rules, token_counts
+from tidemark.llm import byte_pairs, edit_prints, html_text, language, mixing, near_join, packing, phrases, pii, quality_knn, quality_rules, token_counts
 from tidemark.llm.common import documents, fold
 
 
@@ -69,6 +69,10 @@ def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES = {
         op9_source_mix,
         op10_main_text,
         op12_byte_pairs,
+        op13_phrases,
     )
 }
-ORACLES = {"op9_source_mix": mixing.MIX_SQL}
+ORACLES = {"op9_source_mix": mixing.MIX_SQL, "op13_phrases": phrases.COLLOCATIONS_SQL}
