@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_pairs, edit_prints, html_text, language, mixing, near_join, packing, phrases, pii, quality_knn, quality_rules, token_counts
+from tidemark.llm import byte_pairs, conversations, edit_prints, html_text, language, mixing, near_join, packing, phrases, pii, quality_knn, quality_rules, token_counts
 from tidemark.llm.common import documents, fold
 
 
@@ -58,6 +58,27 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])
 
 
+def damaged(conversations_table: DataFrame) -> DataFrame:
+    """The damage of the contract: rows dropped, emptied, without ends, repeated or given to the user."""
+    name = "concat(coalesce(CAST(conv_id AS STRING), ' '), ':', coalesce(CAST(turn AS STRING), ' '))"
+    rows = conversations_table.selectExpr("conv_id", "turn", "coalesce(role, ' ') AS role", "coalesce(text, ' ') AS text", f"crc32(CAST({name} AS BINARY)) % 20 AS fault")
+    return rows.where("fault <> 0").selectExpr(
+        "conv_id",
+        "turn",
+        "IF(fault = 4, 'user', role) AS role",
+        "CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text",
+        "explode(array_repeat(0, IF(fault = 3, 2, 1))) AS copy",
+    ).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    fixed = conversations.repair(damaged(table)).drop("repaired").withColumnRenamed("conv_id", "own")
+    every = table.select("conv_id").distinct().join(fixed, F.expr("conv_id <=> own"), "left")
+    counts = [f"coalesce({c}, 0) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.selectExpr("conv_id", *counts, "coalesce(audit, '') AS audit", "coalesce(repaired_sha256, sha2(CAST('' AS BINARY), 256)) AS repaired_sha256")
+
+
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = byte_pairs.encode(documents(spark, sf_dir), path, pattern, keep=["doc_id"])
@@ -86,6 +107,7 @@ QUERIES = {
         op8_edit_fingerprints,
         op9_source_mix,
         op10_main_text,
+        op11_conversation_repair,
         op12_byte_pairs,
         op13_phrases,
     )
