@@ -1,6 +1,8 @@
 """Skew-safe primitives against brute force."""
 
+import datetime as dt
 import random
+import time
 import statistics
 
 import pytest
@@ -109,14 +111,34 @@ def test_a_million_clustered_values_fall_into_small_bands(spark, values):
     assert got.m == df.selectExpr("median(v)").first()[0]
 
 
-def test_sparse_numbers_make_few_chunks(spark):
-    df = spark.range(200_000).selectExpr("'hot' AS k", "date'2026-01-01' AS day", "id * 1000003 + 9007199254740993 AS seq", "id * 1D AS v")
-    out = O.lag_in_order(df, ["k"], "day", "seq", ["v"], chunk_rows=10_000)
-    assert out.where("coalesce(prev_v, -1) <> v - 1").count() == 0
-    spans = df.selectExpr("min(seq) AS a", "max(seq) AS b", "count(*) AS n").first()
-    width = (spans.b - spans.a) // (spans.n // 10_000) + 1
-    sizes = df.selectExpr(f"(seq - {spans.a}) div {width} AS c").groupBy("c").count().agg(F.count("*"), F.max("count")).first()
-    assert sizes[0] <= 21 and sizes[1] <= 10_001
+SPREADS = {"far apart": "id * 1000003 + 9007199254740993", "close, one far away": "IF(id = 0, 9000000000000000000, id)", "doubling": "shiftleft(1L, CAST(id % 40 AS INT) + 20) + id"}
+
+
+@pytest.mark.parametrize("seq", SPREADS.values(), ids=SPREADS.keys())
+def test_lag_of_large_keys_in_even_pieces(spark, seq):
+    df = spark.range(60_000).selectExpr("'hot' AS k", "date'2026-01-01' AS day", f"{seq} AS seq").selectExpr("*", "seq * 1D AS v")
+    sizes = O.cut_in_order(df, ["k"], df.groupBy("k").agg(F.count("*").alias("_rows")), ["day", "seq"]).groupBy("_piece").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * 60_000 / O.PIECES and sizes.count() == O.PIECES
+    out = O.lag_in_order(df, ["k"], "day", "seq", ["v"], chunk_rows=1_000)
+    plain = df.selectExpr("seq", "lag(v) OVER (ORDER BY seq) AS want")
+    assert out.join(plain, "seq").where("NOT (prev_v <=> want)").count() == 0 and out.count() == 60_000
+
+
+@pytest.mark.parametrize("tie", ["IF(id = 0, 'a', concat('model-', lpad(id, 9, '0')))", "IF(id = 0, -9000000000000000000, id)"])
+def test_rank_of_one_value_in_even_pieces(spark, tie):
+    df = spark.range(60_000).selectExpr("'hot' AS w", f"{tie} AS m", "7D AS v")
+    sizes = O.cut_in_order(df, ["w"], df.groupBy("w").agg(F.count("*").alias("_rows")), ["-v", "m"]).groupBy("_piece").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * 60_000 / O.PIECES
+    out = O.rank_in_order(df, ["w"], "v", "m", small=1_000)
+    plain = df.selectExpr("m", "row_number() OVER (ORDER BY m) AS want")
+    assert out.join(plain, "m").where("rank <> want").count() == 0 and out.count() == 60_000
+
+
+def test_rank_over_everything_and_extreme_numbers(spark):
+    df = spark.createDataFrame([("a", -(2**63)), ("b", 2**63 - 1), ("c", 0), ("d", 0)], "m string, v long")
+    for small in (1, 100):
+        assert [r.m for r in O.rank_in_order(df, [], "v", "m", small=small).orderBy("rank").collect()] == ["b", "c", "d", "a"]
+    assert O.rank_in_order(df.limit(0), [], "v", "m").count() == 0
 
 
 @pytest.mark.parametrize("tie", ["string", "long"])
@@ -186,6 +208,27 @@ def test_nearest_match(spark, seed):
     assert rows(out) == sorted(expected, key=order)
 
 
+def test_nearest_match_over_a_long_calendar(spark):
+    """A pair of daily series never breaks; the work grows with the days, and days of one side compete."""
+    start = d("1990-01-01")
+    took = {}
+    for n in (2_500, 10_000):
+        left = [("p", start + dt.timedelta(days=i), float(i)) for i in range(n) if i % 10 != 3]
+        right = [("p", start + dt.timedelta(days=i + i % 3), -float(i)) for i in range(n)]
+        schema = "pair string, t date, v double"
+        frames = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+        begin = time.monotonic()
+        got = rows(J.nearest_match(*frames, "pair", "t", "v"))
+        took[n] = time.monotonic() - begin
+        if n == 2_500:
+            least = {}
+            for _, day, v in right:
+                least[day] = min(v, least.get(day, v))
+            want = _greedy([x[1:] for x in left], list(least.items()))
+            assert got == sorted([("p", *x) for x in want], key=order)
+    assert took[10_000] < 8 * took[2_500] + 2
+
+
 def test_ratio_and_previous(spark):
     df = spark.createDataFrame(
         [("H100", d("2026-01-01"), 2.0), ("B200", d("2026-01-01"), 5.0), ("B200", d("2026-01-02"), 5.0), ("H100", d("2026-01-03"), 0.0), ("B200", d("2026-01-03"), 1.0)],

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import as_column, is_free, name_candidates
 from tidemark.operators.ordered import last_per_key, null_safe_join
 
+BLOCK = 128  # matches gathered at a time
+
 
 def asof_join(
     left: DataFrame,
@@ -164,36 +166,42 @@ def nearest_match(
 
     A day with several values keeps its least. Days of both sides more than ``within_days`` apart cannot
     compete, so a pair's merged calendar is cut there, and each stretch is folded on its own: the driving
-    days in order, each taking the nearest day still free, the earlier one on a tie.
+    days in order, each taking the nearest day still free, the earlier one on a tie. A driving day carries
+    the days it may take, and the fold remembers the taken days that a later one may still want, so its
+    work grows with the calendar; matches are gathered in blocks.
     """
     sides = [
         df.groupBy(F.col(pair).cast("string").alias("pair"), F.col(t).alias("_t")).agg(F.min(F.col(value).cast("double")).alias("_v")).withColumn("_left", F.lit(is_left))
         for df, is_left in ((left, True), (right, False))
     ]
-    days = sides[0].unionByName(sides[1])
+    days = sides[0].unionByName(sides[1]).withColumn("_day", F.unix_date("_t"))
     order = Window.partitionBy("pair").orderBy("_t", "_left")
     opens = F.coalesce(F.date_diff("_t", F.lag("_t").over(order)) > within_days, F.lit(True)).cast("int")
     whole = Window.partitionBy("pair")
+    near = whole.orderBy("_day").rangeBetween(-within_days, within_days)
+    drives = F.col("_left") == F.col("_left_drives")
     placed = (
         days.withColumn("_open", opens)
         .withColumn("_stretch", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_left_drives", F.count_if("_left").over(whole) <= F.count_if(~F.col("_left")).over(whole))
+        .withColumn("_near", F.collect_list(F.when(~drives, F.struct("_t", "_v"))).over(near))
     )
-    drives = F.col("_left") == F.col("_left_drives")
-    side = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.struct("_t", "_v"))))
-    stretches = placed.groupBy("pair", "_left_drives", "_stretch").agg(side(drives).alias("_driver"), side(~drives).alias("_other"))
+    driver = F.array_sort(F.collect_list(F.when(drives, F.struct("_t", "_v", "_near"))))
+    stretches = placed.groupBy("pair", "_left_drives", "_stretch").agg(driver.alias("_driver"))
+    match = "STRUCT<d: STRUCT<_t: DATE, _v: DOUBLE>, o: STRUCT<_t: DATE, _v: DOUBLE>>"
     folded = F.expr(
         f"""aggregate(_driver,
-          struct(_other AS free, CAST(array() AS ARRAY<STRUCT<d: STRUCT<_t: DATE, _v: DOUBLE>, o: STRUCT<_t: DATE, _v: DOUBLE>>>) AS found),
+          struct(CAST(array() AS ARRAY<DATE>) AS used, CAST(array() AS ARRAY<{match}>) AS block, CAST(array() AS ARRAY<ARRAY<{match}>>) AS blocks),
           (acc, d) -> transform(array(try_element_at(array_sort(transform(
-              filter(acc.free, o -> abs(datediff(o._t, d._t)) <= {within_days}),
+              filter(d._near, o -> NOT array_contains(acc.used, o._t)),
               o -> struct(abs(datediff(o._t, d._t)) AS gap, o._t AS _t, o._v AS _v))), 1)),
             best -> IF(best IS NULL, acc, struct(
-              filter(acc.free, o -> o._t <> best._t) AS free,
-              concat(acc.found, array(struct(d AS d, struct(best._t AS _t, best._v AS _v) AS o))) AS found)))[0],
-          acc -> acc.found)"""
+              concat(filter(acc.used, u -> datediff(d._t, u) <= {within_days}), array(best._t)) AS used,
+              concat(IF(size(acc.block) < {BLOCK}, acc.block, array()), array(struct(struct(d._t AS _t, d._v AS _v) AS d, struct(best._t AS _t, best._v AS _v) AS o))) AS block,
+              IF(size(acc.block) < {BLOCK}, acc.blocks, concat(acc.blocks, array(acc.block))) AS blocks)))[0],
+          acc -> concat(flatten(acc.blocks), acc.block))"""
     )
-    pairs = stretches.where("size(_driver) > 0 AND size(_other) > 0").select("pair", "_left_drives", F.explode(folded).alias("_p"))
+    pairs = stretches.where("size(_driver) > 0").select("pair", "_left_drives", F.explode(folded).alias("_p"))
     pick = lambda field, is_left: F.when(F.col("_left_drives") == F.lit(is_left), F.col(f"_p.d.{field}")).otherwise(F.col(f"_p.o.{field}"))
     return pairs.select(
         "pair",

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
 BANDS_PER_E_FOLD = 1 << 20
-SUB_BANDS = 1 << 16
+#: A key with more rows than a bound is cut into this many pieces by a sample of about as many rows as follows.
+PIECES = 1024
+CUT_SAMPLE = 1 << 15
+STRIDE = 32
 #: A key with more rows than this is ranked in pieces.
 SMALL_GROUP = 200_000
 
@@ -52,6 +55,38 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols
     return _pick(df, keys, order, "min_by", cols)
 
 
+def cut_in_order(
+    rows: DataFrame, keys: Sequence[str], sizes: DataFrame, order: Sequence[str], name: str = "_piece", pieces: int = PIECES, sample: int = CUT_SAMPLE
+) -> DataFrame:
+    """Adds a piece number that never decreases in the ``order`` of a key; the pieces of a key are about equal.
+
+    ``sizes`` gives each key's number of rows as ``_rows``. A hash of the ordered values draws about ``sample``
+    rows of a key, however they lie; ``pieces - 1`` of them, equally far apart in order, are its cuts. A row's
+    piece is found from every ``STRIDE``-th cut first and then from those between. Rows alike in ``order`` share
+    a piece.
+    """
+    by, spot = quoted(keys), f"struct({', '.join(f'{o} AS _o{i}' for i, o in enumerate(order))})"
+    hashed = f"pmod(xxhash64({', '.join(order)}), {1 << 30}) < {sample << 30} / _rows"
+    placed = rows.selectExpr("*", f"{spot} AS _spot")
+    drawn = null_safe_join(placed, sizes, keys).where(hashed).groupBy(*keys).agg(F.expr("array_sort(collect_list(_spot)) AS _drawn"))
+    cuts = drawn.where("size(_drawn) > 0").selectExpr(*by, f"transform(sequence(1, {pieces} - 1), i -> _drawn[CAST(i * size(_drawn) div {pieces} AS INT)]) AS _cuts")
+    far = cuts.selectExpr(*by, f"filter(_cuts, (c, i) -> (i + 1) % {STRIDE} = 0) AS _far")
+    near = cuts.selectExpr(*by, "_cuts", f"explode(sequence(0, {pieces // STRIDE} - 1)) AS _past").selectExpr(*by, "_past", f"slice(_cuts, {STRIDE} * _past + 1, {STRIDE}) AS _near")
+    passed = null_safe_join(placed, far, keys, "left").selectExpr(*quoted(rows.columns), "_spot", "IF(_far IS NULL, 0, size(filter(_far, c -> c < _spot))) AS _past")
+    within = f"{STRIDE} * _past + IF(_near IS NULL, 0, size(filter(_near, c -> c < _spot)))"
+    return null_safe_join(passed, near, [*keys, "_past"], "left").selectExpr(*quoted(rows.columns), f"{within} AS `{name}`")
+
+
+def split_by_size(df: DataFrame, keys: Sequence[str], bound: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of keys with at most ``bound`` rows, those of the others, and the sizes of the others."""
+    large = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(f"_rows > {bound}")
+    if not keys:
+        return df.where("false"), df, large
+    on = F.expr(" AND ".join(f"_l.`{k}` <=> _r.`{k}`" for k in keys))
+    side = lambda how: df.alias("_l").join(large.alias("_r"), on, how)
+    return side("left_anti"), side("left_semi"), large
+
+
 def lag_in_order(
     df: DataFrame,
     keys: Sequence[str],
@@ -63,29 +98,26 @@ def lag_in_order(
 ) -> DataFrame:
     """Previous row's ``cols`` per key in ``(t, seq)`` order, where ``seq`` is a unique integer per (key, t).
 
-    One day of one key is cut into chunks of about ``chunk_rows`` rows: its range of ``seq`` is divided by
-    as many chunks as its count asks for, so numbers far apart make no more chunks than rows need. Each
-    chunk's last row is carried to the next; a key has one such row per day and ``chunk_rows`` rows.
+    Keys of at most ``chunk_rows`` rows are ordered whole. The others are cut into about equal pieces,
+    wherever their numbers lie; each piece's last row is carried to the next.
     """
-    day = [*keys, t]
-    chunk = [*day, "_chunk"]
-    per_chunk, row = ", ".join(quoted(chunk)), f"struct({', '.join(quoted(cols))})"
-    spans = df.groupBy(*day).agg(
-        F.expr(f"min(`{seq}`) AS _low"),
-        F.expr(f"(max(`{seq}`) - min(`{seq}`)) div greatest(1, count(*) div {chunk_rows}) + 1 AS _width"),
-    )
-    chunked = null_safe_join(df, spans, day).selectExpr(*quoted(df.columns), f"(`{seq}` - _low) div _width AS _chunk")
-    lagged = chunked.selectExpr(
+    small, rest, large = split_by_size(df, keys, chunk_rows)
+    row = f"struct({', '.join(quoted(cols))})"
+    across = f"PARTITION BY {', '.join(quoted(keys))} " if keys else ""
+    named = lambda source: [f"{source}.`{c}` AS `{prefix}{c}`" for c in cols]
+    whole = small.selectExpr(*quoted(df.columns), f"lag({row}) OVER ({across}ORDER BY `{t}`, `{seq}`) AS _before")
+    piece = [*keys, "_piece"]
+    per_piece = ", ".join(quoted(piece))
+    cut = cut_in_order(rest, keys, large, quoted([t, seq]))
+    lagged = cut.selectExpr(
         "*",
-        f"lag({row}) OVER (PARTITION BY {per_chunk} ORDER BY `{seq}`) AS _inside",
-        f"row_number() OVER (PARTITION BY {per_chunk} ORDER BY `{seq}`) = 1 AS _head",
+        f"lag({row}) OVER (PARTITION BY {per_piece} ORDER BY `{t}`, `{seq}`) AS _inside",
+        f"row_number() OVER (PARTITION BY {per_piece} ORDER BY `{t}`, `{seq}`) = 1 AS _head",
     )
-    tails = chunked.groupBy(*chunk).agg(F.expr(f"max_by({row}, `{seq}`) AS _tail"))
-    across = f"PARTITION BY {', '.join(quoted(keys))} " if keys else ""
-    carried = tails.selectExpr(*quoted(chunk), f"lag(_tail) OVER ({across}ORDER BY `{t}`, _chunk) AS _carried")
-    joined = null_safe_join(lagged, carried, chunk, "left")
-    before = [f"CASE WHEN _head THEN _carried.`{c}` ELSE _inside.`{c}` END AS `{prefix}{c}`" for c in cols]
-    return joined.selectExpr(*quoted(df.columns), *before)
+    tails = cut.groupBy(*piece).agg(F.expr(f"max_by({row}, struct(`{t}`, `{seq}`)) AS _tail"))
+    carried = tails.selectExpr(*quoted(piece), f"lag(_tail) OVER ({across}ORDER BY _piece) AS _carried")
+    joined = null_safe_join(lagged, carried, piece, "left").selectExpr(*quoted(df.columns), "IF(_head, _carried, _inside) AS _before")
+    return whole.unionByName(joined).selectExpr(*quoted(df.columns), *named("_before"))
 
 
 def finite(value: str) -> str:
@@ -99,11 +131,6 @@ def value_band(value: str, per_e_fold: int = BANDS_PER_E_FOLD) -> str:
     return f"CASE WHEN {value} > 0 THEN {size} WHEN {value} < 0 THEN -{size} ELSE 0 END"
 
 
-def sub_band(value: str, low: str, high: str, parts: int = SUB_BANDS) -> str:
-    """SQL of the part of ``[low, high]`` that holds the value; never decreases as the value grows."""
-    return f"IF({high} > {low}, CAST(floor(({value} - {low}) / ({high} - {low}) * {parts}) AS INT), 0)"
-
-
 def _ranks(p: float, method: str) -> tuple[str, str, str]:
     """SQL of the one-based lower rank, upper rank and weight of the upper one among ``_n`` values."""
     if method == "inclusive":
@@ -213,38 +240,19 @@ def rank_in_order(
 ) -> DataFrame:
     """Full rank per key by finite ``value``, then ``tie`` ascending, without an unbounded key in one task.
 
-    Keys with more than ``small`` rows are ordered piece by piece: bands of the value and linear parts of
-    each band; a part that holds a single value is cut on by what its ties differ in first.
+    Keys with more than ``small`` rows are cut into about equal pieces of the order of value and tie.
     """
-    keys, by = list(keys), quoted(keys)
     rows = df.where(finite(f"CAST(`{value}` AS DOUBLE)"))
-    large = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(f"_rows > {small}").select(*keys))  # at most one per ``small`` rows
-    on = F.expr(" AND ".join(f"_l.`{k}` <=> _r.`{k}`" for k in keys))
-    way = "DESC" if descending else "ASC"
-    whole = f"PARTITION BY {', '.join(by)} ORDER BY `{value}` {way}, `{tie}`"
-    plain = rows.alias("_l").join(large.alias("_r"), on, "left_anti").selectExpr("*", f"row_number() OVER ({whole}) AS `{name}`")
-    split = rows.alias("_l").join(large.alias("_r"), on, "left_semi").selectExpr("*", f"CAST(`{value}` AS DOUBLE) AS _v", f"CAST(`{tie}` AS STRING) AS _t")
-    banded = split.selectExpr("*", f"{value_band('_v')} AS _band")
-    edges = banded.groupBy(*keys, "_band").agg(F.min("_v").alias("_from_v"), F.max("_v").alias("_to_v"))
-    parted = null_safe_join(banded, edges, [*keys, "_band"]).withColumn("_part", F.expr(sub_band("_v", "_from_v", "_to_v"))).drop("_from_v", "_to_v")
-    texts = dict(df.dtypes)[tie] == "string"
-    first, last = (("_t", "_t") if texts else (f"`{tie}`", f"`{tie}`"))
-    inner = parted.groupBy(*keys, "_band", "_part").agg(
-        F.expr("min(_v) = max(_v) AS _single"), F.expr(f"min({first}) AS _first_tie"), F.expr(f"max({last}) AS _last_tie")
-    )
-    if texts:
-        # The three bytes after what all ties of the part begin with, in byte order.
-        inner = inner.withColumn(
-            "_common", F.expr("size(filter(sequence(0, least(length(_first_tie), length(_last_tie))), i -> i > 0 AND left(_first_tie, i) = left(_last_tie, i)))")
-        ).drop("_first_tie", "_last_tie")
-        cut = "IF(_single, rpad(left(hex(substring(_t, _common + 1)), 6), 6, '0'), '')"
-    else:
-        cut = "IF(_single, lpad(CAST(" + sub_band("CAST(`" + tie + "` AS DOUBLE)", "CAST(_first_tie AS DOUBLE)", "CAST(_last_tie AS DOUBLE)") + " AS STRING), 6, '0'), '')"
-    pieces = null_safe_join(parted, inner, [*keys, "_band", "_part"]).withColumn("_cut", F.expr(f"coalesce({cut}, '')"))
-    piece = [*keys, "_band", "_part", "_cut"]
-    sizes = pieces.groupBy(*piece).agg(F.count("*").alias("_size"))
-    order = f"_band {way}, _part {way}, _cut"
-    offsets = sizes.selectExpr(*quoted(piece), f"coalesce(sum(_size) OVER (PARTITION BY {', '.join(by)} ORDER BY {order} {EARLIER}), 0) AS _before")
-    inside = f"PARTITION BY {', '.join(quoted(piece))} ORDER BY `{value}` {way}, `{tie}`"
-    placed = null_safe_join(pieces, offsets, piece).selectExpr(*quoted(df.columns), f"_before + row_number() OVER ({inside}) AS `{name}`")
-    return plain.selectExpr(*quoted(df.columns), f"CAST(`{name}` AS BIGINT) AS `{name}`").unionByName(placed)
+    whole = dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
+    down = f"~`{value}`" if whole else f"-`{value}`"  # the complement of a whole number never overflows
+    order = [down if descending else f"`{value}`", f"`{tie}`"]
+    few, rest, large = split_by_size(rows, keys, small)
+    across = f"PARTITION BY {', '.join(quoted(keys))} " if keys else ""
+    plain = few.selectExpr(*quoted(df.columns), f"row_number() OVER ({across}ORDER BY {', '.join(order)}) AS `{name}`")
+    piece = [*keys, "_piece"]
+    cut = cut_in_order(rest, keys, large, order)
+    sizes = cut.groupBy(*piece).agg(F.count("*").alias("_size"))
+    offsets = sizes.selectExpr(*quoted(piece), f"coalesce(sum(_size) OVER ({across}ORDER BY _piece {EARLIER}), 0) AS _earlier")
+    inside = f"PARTITION BY {', '.join(quoted(piece))} ORDER BY {', '.join(order)}"
+    placed = null_safe_join(cut, offsets, piece).selectExpr(*quoted(df.columns), f"_earlier + row_number() OVER ({inside}) AS `{name}`")
+    return plain.unionByName(placed).withColumn(name, F.col(name).cast("bigint"))
