@@ -207,3 +207,34 @@ def test_write_state_keeps_history(spark, tmp_path):
     sinks.write_state(spark.createDataFrame([("a", "Confirmed", d("2026-01-02"))], schema), path)
     assert spark.read.json(f"{path}/history").count() == 2
     assert one(spark.read.json(f"{path}/latest")).state == "Confirmed"
+
+
+def test_publish_switches_versions_at_once(spark, tmp_path):
+    path, schema = str(tmp_path / "published"), "k string, v int, date date"
+    read = lambda: rows(sinks.read_published(spark, path, schema), "k", "v")
+    assert read() == []
+    first = spark.createDataFrame([("a", 1, d("2026-01-01")), ("a", 2, d("2026-01-02")), ("n", 5, None)], schema)
+    assert sinks.publish(first, path) == 1
+    assert read() == [("a", 1), ("a", 2), ("n", 5)]
+    assert sinks.publish(spark.createDataFrame([("b", 9, d("2026-01-02")), ("c", 8, d("2026-01-03"))], schema), path) == 2
+    assert read() == [("a", 1), ("b", 9), ("c", 8), ("n", 5)]
+    assert rows(sinks.read_published(spark, path, schema, [d("2026-01-03"), None]), "k") == [("c",), ("n",)]
+
+
+def test_a_killed_publish_leaves_the_old_version(spark, tmp_path):
+    path, schema = str(tmp_path / "published"), "k string, v int, date date"
+    sinks.publish(spark.createDataFrame([("a", 1, d("2026-01-01"))], schema), path)
+    broken = spark.createDataFrame([("b", 2, d("2026-01-01")), ("b", 0, d("2026-01-02"))], schema).repartition(2, "v").selectExpr("k", "IF(v = 0, raise_error('killed'), v) AS v", "date")
+    with pytest.raises(Exception, match="killed"):
+        sinks.publish(broken, path)
+    # Rows of a version whose pointer was never written are seen by nobody.
+    spark.createDataFrame([("x", 3, "2026-01-01")], "k string, v int, _part string").write.partitionBy("_part").parquet(f"{path}/data/orphan")
+    assert rows(sinks.read_published(spark, path, schema), "k", "v") == [("a", 1)]
+
+
+def test_publish_of_nothing_keeps_everything(spark, tmp_path):
+    path, schema = str(tmp_path / "published"), "k string, v int, date date"
+    one_row = spark.createDataFrame([("a", 1, d("2026-01-01"))], schema)
+    sinks.publish(one_row, path)
+    sinks.publish(one_row.limit(0), path)
+    assert rows(sinks.read_published(spark, path, schema), "k", "v") == [("a", 1)]

@@ -214,3 +214,14 @@ def test_stance(spark, state, direction, commit, ups, downs, expected):
         [("supply_price", state, direction), ("commitment_monetization", "Trend", commit)], "clock_id string, state string, direction string"
     )
     assert tuple(one(P.stance(clocks, F.lit(ups), F.lit(downs)))) == expected
+
+
+def test_a_point_with_one_price_is_no_base_of_a_cut(spark):
+    ledger = [("m", "2026-01-01", 1, 9.0, None), ("m", "2026-01-02", 2, 5.0, 1.0), ("k", "2026-01-01", 3, 9.0, 1.0), ("k", "2026-01-02", 4, 5.0, 1.0)]
+    points = spark.createDataFrame([(m, d(t), s, v, o) for m, t, s, v, o in ledger], "model string, date date, seq long, value double, output double")
+    weeks = spark.createDataFrame([(d("2026-01-01"), 5.0, 1.0)], "date date, tokens double, price double")
+    labs = spark.createDataFrame([("x", d("2026-01-01"))], "lab string, date date")
+    cuts = lambda beside: one(
+        P.demand_metrics(weeks, "date", "tokens", "price", points, ["model"], "date", "seq", "value", labs, "lab", "date", F.lit(d("2026-01-05")), beside)
+    ).recent_price_cut_models
+    assert (cuts(None), cuts("output")) == (2, 1)

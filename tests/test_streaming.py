@@ -125,3 +125,28 @@ def test_sessions_and_sliding_depth_equal_batch(spark, tmp_path):
 def test_ntz_timestamps_become_instants(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2026-01-01 10:00:00' AS ts")
     assert df.select(K.event_time("ts").alias("t")).schema["t"].dataType.typeName() == "timestamp"
+
+
+def test_late_rows_are_counted_over_all_batches_and_kept(spark, tmp_path):
+    """More batches than the query remembers; every late row has its own key, so none are combined."""
+    schema = "ts timestamp, model string, tokens long"
+    start = dt.datetime(2026, 1, 5)
+    batches = []
+    for i in range(12):
+        late = [(start - dt.timedelta(days=400 + j), f"late{i}-{j}", 1) for j in range(i % 3 + 1)]
+        batches.append([(start + dt.timedelta(days=7 * i), "on time", 1)] + (late if i >= 2 else []))
+    path = _land(spark, tmp_path, batches, schema)
+    counts = K.LateCounts()
+    spark.streams.addListener(counts)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)
+    try:
+        query = _drain(K.complete_week_totals(_stream(spark, path, schema), "ts", "tokens", ["model"]), "many_late")
+        want = sum(i % 3 + 1 for i in range(2, 12))
+        assert counts.of(query) == want > K.dropped_rows(query)
+    finally:
+        spark.streams.removeListener(counts)
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    out, state, cp = (str(tmp_path / n) for n in ("late", "state", "cp"))
+    K.stream_late_rows(_stream(spark, path, schema), "ts", out, state, cp, closes=F.window("ts", "7 days", startTime="4 days")["end"]).awaitTermination(120)
+    kept = spark.read.parquet(out)
+    assert kept.count() == want and kept.where("model = 'on time'").count() == 0

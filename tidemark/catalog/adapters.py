@@ -177,6 +177,22 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers(spark, sf_dir).select("model", "date", "seq", "value")
 
 
+def priced_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with a second price, (model, date, seq, value, output); points without tax state the first alone."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("model"),
+        F.col("l_shipdate").cast("date").alias("date"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        cents("l_extendedprice").cast("double").alias("value"),
+        F.expr("nullif(l_tax, 0)").alias("output"),
+    )
+
+
+PRICED_LEDGER = """priced_ledger AS (
+  SELECT l_partkey AS model, CAST(l_shipdate AS DATE) AS date, l_orderkey * 8 + l_linenumber AS seq,
+         floor(l_extendedprice * 100 + 0.5) AS value, nullif(l_tax, 0) AS output FROM lineitem)"""
+
+
 def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly totals per nation: (entity, fy, q, date, value)."""
     d = F.col("o_orderdate").cast("date")

@@ -319,12 +319,11 @@ def indicators_to_long(spark, sf):
 
 @query(
     "band_to_long", "B24",
-    with_(OFFERS, DAILY, """SELECT date, 'lower' AS series, low AS value FROM daily WHERE series = 'A' UNION ALL
-SELECT date, 'upper', high FROM daily WHERE series = 'A'"""),
+    with_(OFFERS, DAILY, """SELECT series, date, 'lower' AS bound, low AS value FROM daily UNION ALL
+SELECT series, date, 'upper', high FROM daily"""),
 )
 def band_to_long(spark, sf):
-    rows = daily_prices(spark, sf).where("series = 'A'")
-    return S.band_to_long(rows, "date", {"low": "lower", "high": "upper"})
+    return S.band_to_long(daily_prices(spark, sf), "date", {"low": "lower", "high": "upper"}, ["series"], "bound")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.adapters import (
     ACTIVITY, DAILY, DEPTH, DEPTH_DAYS, NEW, OFFERS, ORDER_MODELS, PANEL, PREV, QUARTERLY, STRONG, USAGE,
     activity, daily_depth_totals, daily_prices, day, depth, ledger, offers, quarterly, snapshots,
-    strong_quarters, usage, weekly_panel,
+    strong_quarters, usage, weekly_panel, PRICED_LEDGER, priced_ledger,
 )
 from tidemark.catalog.q_aggregates import SHARES
 from tidemark.catalog.registry import query, with_
@@ -342,14 +342,15 @@ def persistent_steps(spark, sf):
     return S.persistent_steps(_levels(spark, sf), "panel", "member", "date", "value")
 
 
-CUTS = """win90 AS (SELECT model, value, lag(value) OVER (PARTITION BY model ORDER BY date, seq) AS prior
-  FROM offers WHERE date >= DATE '2001-08-01' - 90),
+CUTS = PRICED_LEDGER + """,
+win90 AS (SELECT model, value, lag(value) OVER (PARTITION BY model ORDER BY date, seq) AS prior
+  FROM priced_ledger WHERE date >= DATE '2001-08-01' - 90 AND value IS NOT NULL AND output IS NOT NULL),
 cut_models AS (SELECT DISTINCT model FROM win90 WHERE value < prior)"""
 
 
-@query("recent_cuts", "E22", with_(OFFERS, CUTS, "SELECT model FROM cut_models"))
+@query("recent_cuts", "E22", with_(CUTS, "SELECT model FROM cut_models"))
 def recent_cuts(spark, sf):
-    return S.recent_cuts(ledger(spark, sf), ["model"], "date", "seq", "value", day("2001-08-01"))
+    return S.recent_cuts(priced_ledger(spark, sf), ["model"], "date", "seq", "value", day("2001-08-01"), beside="output")
 
 
 @query(
@@ -393,11 +394,10 @@ def collection_coverage(spark, sf):
 
 @query(
     "window_floor", "E27",
-    with_(OFFERS, DEPTH, """SELECT date, source, offers FROM depth WHERE date >= (SELECT min(date) FROM offers WHERE kind = 'O' AND gpus = 7)"""),
+    with_(OFFERS, DEPTH, "SELECT date, source, offers FROM depth WHERE date >= (SELECT min(date) FROM offers)"),
 )
 def window_floor(spark, sf):
-    reference = offers(spark, sf).where("kind = 'O' AND gpus = 7")
-    return S.window_floor(depth(spark, sf), "date", reference, "date")
+    return S.window_floor(depth(spark, sf), "date", offers(spark, sf), "date")
 
 
 @query(
@@ -422,12 +422,11 @@ def first_last_change(spark, sf):
 
 @query(
     "base100", "E30",
-    with_(OFFERS, DAILY, """SELECT date, series, value, value / first_value(value) OVER (PARTITION BY series ORDER BY date) * 100 AS index_value FROM daily
-WHERE date BETWEEN DATE '1998-01-01' AND DATE '1999-12-31'"""),
+    with_(OFFERS, DAILY, """SELECT date, series, value, value / first_value(value) OVER (PARTITION BY series ORDER BY date) * 100 AS index_value FROM daily"""),
 )
 def base100(spark, sf):
     rows = daily_prices(spark, sf).select("date", "series", "value")
-    return S.base100(rows.where(F.col("date").between(day("1998-01-01"), day("1999-12-31"))), ["series"], "date", "value")
+    return S.base100(rows, ["series"], "date", "value")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.adapters import (
     ACTIVITY, DAILY, DEPTH, DEPTH_DAYS, OFFERS, ORDER_MODELS, PRICED, QUARTERLY, USAGE, USAGE_LEDGER,
-    activity, daily_depth_totals, day, depth, ledger, offers, priced_usage, quarterly, table, usage,
+    activity, daily_depth_totals, day, depth, ledger, offers, priced_usage, quarterly, table, usage, priced_ledger,
 )
 from tidemark.catalog.q_filings import COMPANY_SQL, GUIDANCE, _guidance_rows
 from tidemark.catalog.q_quality import GRADED, _graded
@@ -124,8 +124,8 @@ def _demand(spark, sf):
     labs = quarterly(spark, sf)
     return P.demand_clock(
         P.demand_metrics(
-            weeks, "date", "tokens", "price", ledger(spark, sf), ["model"], "date", "seq", "value",
-            labs, "entity", "date", day("2001-08-01"),
+            weeks, "date", "tokens", "price", priced_ledger(spark, sf), ["model"], "date", "seq", "value",
+            labs, "entity", "date", day("2001-08-01"), ledger_beside="output",
         )
     )
 

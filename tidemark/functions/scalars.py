@@ -277,11 +277,11 @@ def indicators_to_long(
     )
 
 
-def band_to_long(df: DataFrame, t: str, bounds: Mapping[str, str]) -> DataFrame:
-    """A low/high pair to two series; bounds without a number are skipped."""
-    picked = [F.struct(F.lit(name).alias("series"), finite(c).alias("value")) for c, name in bounds.items()]
+def band_to_long(df: DataFrame, t: str, bounds: Mapping[str, str], keys: Sequence[str] = (), name: str = "series") -> DataFrame:
+    """A low/high pair to two series called ``name``, per ``keys``; bounds without a number are skipped."""
+    picked = [F.struct(F.lit(bound).alias(name), finite(c).alias("value")) for c, bound in bounds.items()]
     return (
-        df.select(F.col(t), F.explode(F.array(*picked)).alias("_p"))
-        .select(t, "_p.series", "_p.value")
+        df.select(*keys, F.col(t), F.explode(F.array(*picked)).alias("_p"))
+        .select(*keys, t, f"_p.{name}", "_p.value")
         .where(F.col("value").isNotNull())
     )

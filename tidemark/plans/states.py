@@ -213,11 +213,12 @@ def capacity_clock(metrics: DataFrame) -> DataFrame:
 def demand_metrics(
     weeks: DataFrame, t: str, tokens: str, price: str,
     ledger: DataFrame, ledger_keys: Sequence[str], ledger_t: str, seq: str, ledger_price: str,
-    labs: DataFrame, lab: str, lab_t: str, as_of: Column,
+    labs: DataFrame, lab: str, lab_t: str, as_of: Column, ledger_beside: str | None = None,
 ) -> DataFrame:
     """Complete weeks, 8-row price change, models with recent cuts and covered labs.
 
-    ``weeks`` holds one row per week with total tokens and the weighted price.
+    ``weeks`` holds one row per week with total tokens and the weighted price. A ledger point is a base of a cut
+    only if it states ``ledger_beside`` as well, where that is named.
     """
     complete = complete_period_count(weeks, t, tokens).select("complete_periods")
     last8 = weeks.orderBy(F.desc(t)).limit(8).withColumn("_rn", F.row_number().over(Window.orderBy(F.desc(t))))
@@ -226,7 +227,7 @@ def demand_metrics(
     price_change = last8.agg(
         change.alias("price_change_8w_pct"), F.max(F.when(F.col("_rn") == 1, F.col(tokens))).alias("latest_weekly_tokens")
     )
-    cuts = recent_cuts(ledger, ledger_keys, ledger_t, seq, ledger_price, as_of).agg(
+    cuts = recent_cuts(ledger, ledger_keys, ledger_t, seq, ledger_price, as_of, beside=ledger_beside).agg(
         F.count(F.lit(1)).alias("recent_price_cut_models")
     )
     covered = labs.agg(F.count_distinct(F.col(lab)).alias("labs_covered"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.merge import last_wins
@@ -66,16 +68,77 @@ def touched_rows(spark: SparkSession, path: str, schema: StructType, partition:
 
 
 def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that came later than the watermark allows and so are in no result of this run of the query."""
+    """Rows dropped behind the watermark in the batches the query still remembers; :class:`LateCounts` counts all."""
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
+class LateCounts(StreamingQueryListener):
+    """Adds up what stateful operators drop behind the watermark, over all batches of every query of a session.
+
+    ``recentProgress`` forgets old batches, this does not. Aggregations combine equal keys before they look at
+    the watermark, so the count is of their rows; :func:`stream_late_rows` keeps the rows themselves.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+        self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:
+        self.ended[str(event.runId)].clear()
+
+    def onQueryProgress(self, event) -> None:
+        self.dropped[str(event.progress.runId)] += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+    def of(self, query: StreamingQuery, wait: float = 60) -> int:
+        """The count of a run; of one that ended, after its last event has come."""
+        if not query.isActive and not self.ended[str(query.runId)].wait(wait):
+            raise TimeoutError("the end of the query was not announced")
+        return self.dropped[str(query.runId)]
+
+
+def stream_late_rows(
+    stream: DataFrame, ts: str, out: str, state: str, checkpoint: str, lateness: str = "1 day", closes: Column | None = None
+) -> StreamingQuery:
+    """Writes the rows that a stateful operator with this watermark drops, a folder per batch.
+
+    A row is late if ``closes`` (its time; for windows, their end) is not after the watermark of the batch
+    before, which is the newest time of all batches before that one less ``lateness``. The newest time of each
+    batch is one row in the shared folder ``state``, so a replayed batch finds what it found.
+    """
+    ends = F.col(ts) if closes is None else closes
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        schema = "epoch long, newest timestamp"
+        # A batch is judged by those before the one before it.
+        try:
+            seen = spark.read.schema(schema).parquet(state).where(F.col("epoch") < epoch - 1).agg(F.max("newest")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            seen = None
+        if seen is not None:
+            late = batch.where(ends <= F.lit(seen) - F.expr(f"INTERVAL {lateness}"))
+            late.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        newest = batch.agg(F.max(ts).cast("timestamp").alias("newest")).selectExpr(f"{epoch}L AS epoch", "newest")
+        newest.where("newest IS NOT NULL").write.mode("append").parquet(state)
+
+    timed = stream.withColumn(ts, event_time(ts))
+    return timed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def complete_week_totals(
     stream: DataFrame, ts: str, value: str, by: Sequence[str] = (), lateness: str = "1 day"
 ) -> DataFrame:
     """Weekly totals from Mondays, emitted once the watermark has passed the week's end.
 
-    Later rows are dropped; :func:`dropped_rows` counts them.
+    Later rows are dropped; :class:`LateCounts` counts them, :func:`stream_late_rows` keeps them.
     """
     weeks = F.window(ts, "7 days", startTime="4 days")
     return (
@@ -90,7 +153,7 @@ def complete_week_totals(
 def deduplicated_window(stream: DataFrame, ts: str, keys: Sequence[str], lateness: str = "8 days") -> DataFrame:
     """Each key once although the source repeats a rolling seven-day window in every snapshot.
 
-    Rows beyond the watermark are dropped; :func:`dropped_rows` counts them.
+    Rows beyond the watermark are dropped; :class:`LateCounts` counts them, :func:`stream_late_rows` keeps them.
     """
     return (
         stream.withColumn(ts, event_time(ts)).withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(keys))
