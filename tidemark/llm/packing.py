@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,12 @@ class WordIds:
         return zip(words, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True)
 
 
+@lru_cache(maxsize=1)
 def encoder(path: str):
-    """A function from texts to their ids as bytes, equal to the library's, without added special tokens."""
+    """A function from texts to their ids as bytes, equal to the library's, without added special tokens.
+
+    It lives as long as the Python worker, so the tasks that a worker runs share the words it has met.
+    """
     tokenizer = load(path)
     cut, specials = special_splitter(tokenizer)
     known = WordIds(tokenizer)
