@@ -25,6 +25,7 @@ from itertools import islice
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ REMEMBERED_CHARS = 64
 AHEAD = 4  # longest tokens' lengths that one search of the automaton may read
 RUN = 100_000  # pre-tokens of a long text that are held at once
 LONG_TEXT = 1 << 20
+IDS = 1 << 18  # decoded at once
 NEVER = 1 << 62
 UNSEEN, NONE_LEFT = -2, -1
 
@@ -61,6 +63,7 @@ class BytePairs:
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.blob: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def merge(self, data: bytes) -> list[bytes]:
         """The parts of a token before its last merge, by plain merging; a single part if it has none."""
@@ -197,11 +200,26 @@ class BytePairs:
             return b"".join([long[w] if w in long else known[w] for w in words])
         return b"".join(map(known.__getitem__, words))
 
-    def decode(self, ids: Sequence[int | None]) -> bytes | None:
-        try:
-            return b"".join(map(self.raw.__getitem__, ids))
-        except KeyError:
-            return None
+    def decode(self, ids: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+        """The bytes of rows of ids, which lie one after the other, ``size`` of them in each row."""
+        if self.blob is None:
+            length = np.array([len(self.raw.get(i, b"")) for i in range(len(self.above))], np.int64)
+            blob = np.frombuffer(b"".join(self.raw.get(i, b"") for i in range(len(self.above))), np.uint8)
+            self.blob = blob, np.cumsum(length) - length, length
+        blob, start, length = self.blob
+        known = (ids >= 0) & (ids < len(length))
+        ids = np.where(known, ids, 0)
+        known &= length[ids] > 0
+        parts, taken = [], np.where(known, length[ids], 0)
+        for i in range(0, len(ids), IDS):
+            n = taken[i : i + IDS]
+            before = np.cumsum(n) - n
+            parts.append(blob[np.repeat(start[ids[i : i + IDS]] - before, n) + np.arange(n.sum())].tobytes())
+        data = b"".join(parts)
+        row = np.concatenate([[0], np.cumsum(size)])
+        at = np.concatenate([[0], np.cumsum(taken)])[row].tolist()
+        missing = np.concatenate([[0], np.cumsum(~known)])[row]
+        return [None if lost else data[x:y] for x, y, lost in zip(at, at[1:], np.diff(missing).tolist(), strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -231,7 +249,9 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                found = [known.decode(row or ()) for row in part.column(kept.index(ids)).to_pylist()]
+                rows = part.column(kept.index(ids))
+                size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = known.decode(pc.fill_null(rows.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64), size)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=schema.fieldNames())
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
