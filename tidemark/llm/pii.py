@@ -108,7 +108,7 @@ def base_spans(text: str) -> list[Span]:
 AT = r"(?i:\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s?@\s|\s@|\sat\s|@)"
 DOT = r"(?i:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s|\.)"
 ANCHOR = re.compile(AT)
-NAME = re.compile(r"[\w.+-]{1,64}$")
+NAME = re.compile(r"[\w.+-]{1,64}\Z")
 HOST = re.compile(rf"[\w-]{{1,63}}(?:{DOT}[\w-]{{1,63}}){{1,6}}")
 PROPOSALS = {
     "ip": (
