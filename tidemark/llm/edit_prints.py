@@ -6,12 +6,14 @@ scale of the walked text, one bit each, make the fingerprint: 128 places among t
 in each doubling after that. Agreeing bits, weighted by the stretch they stand for and freed of chance,
 give a likeness from 0 to 1.
 
-Near prints of the whole table meet in bands. A band's bits are drawn from the places below a cut, each
-scale by the stretch it stands for, so that they agree as often as the likeness says. Cuts stand three to a
-doubling; a print has keys for the widest cut inside it and for those below that a print ``LIKE`` alike may
-have as its widest. The number of bands follows from ``RECALL`` for a pair at ``LIKE`` whose differences all
-lie below the cut, the worst case. Members of a band are judged against its least one, and all pairs of
-members that are still of different classes in blocks; links then join into classes.
+Near prints of the whole table meet in bands, one key per print and band. Every bit of a key is drawn by a
+random order of all places that prints share: a print takes the first place of the order that lies in its
+walked text. Two prints take the same place as often as their lengths allow, so a bit agrees as often as the
+likeness says, whatever the lengths. A key has about as many bits as the table needs to number its prints, so
+chance brings about one other print to a band at every size of the table; ``banding`` gives the bands for
+``RECALL`` at ``LIKE`` with that width. Further bits of the same kind travel in the same number as the key and
+drop what met by chance before any print is fetched. Members of a band are judged against its least one, and
+all pairs of members that are still of different classes in blocks; links then join into classes.
 
 Neighbours in id order meet without a global sort: documents fall into ranges of ids, each range is sorted
 on its own, and the first document of the next range stands at its end.
@@ -44,10 +46,13 @@ ROWS_PER_RANGE = 2_000
 MOST_RANGES = 20_000
 CHUNK_CHARS = 12 << 20
 CELLS = 4 << 20
-BAND_BITS = 20
-CUTS = 3  # to a doubling of the walked length
 LIKE = 0.8
 RECALL = 0.99
+SLACK = 0.02  # a key's bits may differ this much more often than the likeness of two prints says
+LEAST_WIDTH, MOST_WIDTH = 12, 34
+LONGEST = 2.0**40  # walked text that still draws new places
+KEY_BITS = 54  # of a key and its check; the band stands above them
+MISSED = 1e-3  # of near prints in a band, by the check
 BLOCK = 512
 
 
@@ -105,7 +110,7 @@ class Sampler:
 
     def __init__(self):
         self.places = np.arange(BITS, dtype=np.int64)
-        self.drawn: dict[tuple[int, int], np.ndarray] = {}
+        self.drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def upto(self, length: int) -> np.ndarray:
         while len(self.places) == BITS or self.places[-1] < length:
@@ -151,34 +156,48 @@ class Sampler:
         weight = np.where(used > 0, high - low, 0)
         return float(min(1.0, max(0.0, (share * weight).sum() / weight.sum())))
 
-    def draws(self, cut: int, bands: int) -> np.ndarray:
-        """Which bits the bands of a cut hold, one row per band; a scale is drawn by its stretch below the cut."""
-        length = int(2 ** (cut / CUTS) + 1e-6)
-        sampled = self.upto(length)
-        used = (sampled < length).reshape(-1, BITS).sum(axis=1)
-        weight = np.where(used > 0, stretches(len(used), length), 0)
-        rng = np.random.default_rng([SEED, cut])
-        level = rng.choice(len(used), (bands, BAND_BITS), p=weight / weight.sum())
-        return level * BITS + rng.integers(0, used[level])
-
-    def bands(self, prints: list[str], bands: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of prints and their band keys, for each print's widest cut and the ``reach`` cuts below it."""
+    def records(self, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        """``place, slot``: where a longer walked text gives a slot a new place, by place; the first lie below ``BITS``."""
+        if slots not in self.drawn:
+            rng = np.random.default_rng([SEED, slots])
+            place = [rng.random(slots) * BITS]
+            last = np.full(slots, float(BITS))
+            while last.min() < LONGEST:
+                # The first of a random order stays first up to y with probability last / y.
+                last = last / (1 - rng.random(slots))
+                place.append(last)
+            place, slot = np.concatenate(place), np.tile(np.arange(slots), len(place))
+            order = np.argsort(place, kind="stable")
+            order = order[place[order] < LONGEST]
+            self.drawn[slots] = place[order], slot[order]
+        return self.drawn[slots]
+
+    def bands(self, prints: list[str], bands: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of prints, their keys of ``width`` bits below the band's number, and the bits that check each."""
         length = np.array([int(p.split(":")[0], 16) for p in prints], np.int64)
-        widest = np.floor(CUTS * np.log2(np.maximum(length, 1)) + 1e-9).astype(int)
-        at, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for cut in range(max(0, widest.min() - reach), widest.max() + 1) if len(prints) else ():
-            own = np.flatnonzero((length > 0) & (widest >= cut) & (widest <= cut + reach))
-            if not len(own):
-                continue
-            if (cut, bands) not in self.drawn:
-                self.drawn[cut, bands] = self.draws(cut, bands)
-            pick = self.drawn[cut, bands]
-            wide = int(pick.max()) // BITS + 1
-            found = np.stack([np.unpackbits(np.frombuffer(bytes.fromhex(prints[i].split(":")[1][: wide * BITS // 4]), np.uint8)) for i in own])
-            code = found[:, pick].astype(np.int64) @ (1 << np.arange(BAND_BITS, dtype=np.int64))
-            at.append(np.repeat(own, bands))
-            keys.append((code | (cut * bands + np.arange(bands))[None, :] << BAND_BITS).ravel())
-        return np.concatenate(at), np.concatenate(keys)
+        own = np.flatnonzero(length > 0)
+        if not len(own):
+            return own, own, own
+        place, slot = self.records(bands * KEY_BITS)
+        sampled = self.upto(int(length.max()))
+        level = np.maximum(np.frexp(place / BITS)[1], 0)
+        low = np.where(level > 0, BITS * 2.0 ** (level - 1), 0)
+        index = level * BITS + ((place - low) * BITS / np.where(level > 0, low, BITS)).astype(np.int64)
+        taken = np.zeros(bands * KEY_BITS, np.int64)
+        code = np.zeros((len(prints), bands, 64), np.uint8)
+        done = 0
+        for n in np.unique(length[own]):
+            upto = int(np.searchsorted(place, n))
+            taken[slot[done:upto]] = index[done:upto]  # later places replace earlier ones
+            done = upto
+            pick = np.minimum(taken, np.searchsorted(sampled, n) - 1)
+            for i in np.flatnonzero(length == n):
+                bits = np.unpackbits(np.frombuffer(bytes.fromhex(prints[i].split(":")[1]), np.uint8))
+                code[i, :, 64 - KEY_BITS :] = bits[pick].reshape(bands, KEY_BITS)
+        whole = np.packbits(code[own], axis=2).view(">i8")[:, :, 0].astype(np.int64)
+        checked = KEY_BITS - width
+        keys = (whole >> checked) | (np.arange(bands, dtype=np.int64) << width)
+        return np.repeat(own, bands), keys.ravel(), (whole & ((1 << checked) - 1)).ravel()
 
     def all_likeness(self, prints: list[str]) -> np.ndarray:
         """``likeness`` of all pairs of different prints, from products of their bits."""
@@ -208,11 +227,50 @@ def stretches(levels: int, length: int) -> np.ndarray:
     return np.maximum(0, np.minimum(np.array([BITS << i for i in range(levels)]), length) - low)
 
 
-def banding(like: float, recall: float = RECALL) -> tuple[int, int]:
-    """Bands that a pair ``like`` alike needs to share one with the given chance, and cuts its widest may be apart."""
-    differ = min(0.5, (1 - like) / 2 * 2 ** (1 / CUTS))
-    bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** BAND_BITS)) if differ else 1
-    return bands, math.ceil(CUTS * math.log2(1 / like) - 1e-9)
+def banding(like: float, recall: float = RECALL, rows: int = 1 << 20) -> tuple[int, int]:
+    """Bands that a pair ``like`` alike needs to share one with the given chance, and bits of a key, for a table of ``rows`` prints."""
+    width = min(MOST_WIDTH, max(LEAST_WIDTH, math.ceil(math.log2(max(rows, 2)))))
+    met = (1 - min(0.5, (1 - like) / 2 + SLACK)) ** width
+    return math.ceil(math.log(1 - recall) / math.log(1 - met)), width
+
+
+def most_differing(like: float, bits: int) -> int:
+    """Check bits in which a pair ``like`` alike differs at most, but for a share of ``MISSED``."""
+    differ = min(0.5, (1 - like) / 2 + SLACK)
+    total, k = (1 - differ) ** bits, 0
+    while total < 1 - MISSED:
+        k += 1
+        total += math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k)
+    return k
+
+
+def with_mates(band: np.ndarray, check: np.ndarray, differ: int) -> np.ndarray:
+    """Which members of bands (equal ``band`` stands together) have another one whose check is near theirs."""
+    keep = np.zeros(len(band), bool)
+    at = np.arange(len(band))
+    step = 1
+    while True:
+        at = at[at + step < len(band)]
+        at = at[band[at] == band[at + step]]
+        if not len(at):
+            return keep
+        # Members further apart than a block are kept unseen; the prints decide.
+        near = np.bitwise_count(check[at] ^ check[at + step]) <= differ if step < BLOCK else np.ones(len(at), bool)
+        keep[at[near]] = keep[at[near] + step] = True
+        if step == BLOCK:
+            return keep
+        step += 1
+
+
+def banded(batches: Iterator[pa.RecordBatch], checked: int) -> Iterator[pa.Table]:
+    """Whole bands of sorted ``key, rep``, with the band's own number in front."""
+
+    def marked() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band = batch.column(0).to_numpy() >> checked
+            yield pa.RecordBatch.from_arrays([pa.array(band), *batch.columns], names=["band", "key", "rep"])
+
+    return grouped(marked(), 1)
 
 
 def edited(text: str, following: str) -> str:
@@ -321,23 +379,28 @@ def near_classes(prints: DataFrame, key: str = "doc_id", like: float = LIKE) ->
     prints = stored(prints)
     reps = prints.groupBy("fingerprint").agg(F.min(f"`{key}`").alias("id"))
     reps = stored(reps.select(F.monotonically_increasing_id().alias("rep"), "id", "fingerprint"))
-    count, reach = banding(like)
+    count, width = banding(like, rows=reps.count())
+    checked = KEY_BITS - width
+    differ = most_differing(like, checked)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
-                at, keys = sampler.bands(part.column(1).to_pylist(), count, reach)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(pa.array(at))], names=["band", "rep"])
+                at, keys, check = sampler.bands(part.column(1).to_pylist(), count, width)
+                yield pa.RecordBatch.from_arrays([pa.array(keys << checked | check), part.column(0).take(pa.array(at))], names=["key", "rep"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, 1):
-            edge = bounds(table, 1)
-            size = np.diff(edge)
-            rep = table.column(1).to_numpy()
-            made = table.append_column("lead", pa.array(np.repeat(rep[edge[:-1]], size)))
-            yield from made.filter(pa.array(np.repeat(size > 1, size))).combine_chunks().to_batches()
+        for table in banded(batches, checked):
+            band, rep = (table.column(c).to_numpy() for c in ("band", "rep"))
+            keep = with_mates(band, table.column("key").to_numpy() & ((1 << checked) - 1), differ)
+            band, rep = band[keep], rep[keep]
+            if len(band):
+                start = np.concatenate(([0], np.flatnonzero(band[1:] != band[:-1]) + 1))
+                size = np.diff(np.append(start, len(band)))
+                lead = np.repeat(np.minimum.reduceat(rep, start), size)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (band, rep, lead, np.repeat(size, size))], names=["band", "rep", "lead", "n"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
@@ -364,23 +427,26 @@ def near_classes(prints: DataFrame, key: str = "doc_id", like: float = LIKE) ->
                     v.append(rep[a + other[first]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    keys = reps.select("rep", "fingerprint").mapInArrow(cut, "band long, rep long")
-    members = stored(keys.repartition("band").sortWithinPartitions("band", "rep").mapInArrow(shared, "band long, rep long, lead long"))
+    keys = reps.select("rep", "fingerprint").mapInArrow(cut, "key long, rep long")
+    sorted_ = keys.repartition(F.shiftright("key", checked)).sortWithinPartitions("key", "rep")
+    members = stored(sorted_.mapInArrow(shared, "band long, rep long, lead long, n long"))
     texts = reps.select("rep", "fingerprint")
     pairs = members.where("rep <> lead").select("rep", "lead").distinct()
     both = pairs.join(texts, "rep").join(texts.selectExpr("rep AS lead", "fingerprint AS other"), "lead")
     stars = stored(both.select("rep", "lead", "fingerprint", "other").mapInArrow(verify, "u long, v long"))
     found = stored(components(stars))
     # Only pairs without the least member, and of classes not yet joined, are left.
-    rest = members.where("rep <> lead").join(found.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("band", "rep", "coalesce(root, rep) AS known")
+    rest = members.where("rep <> lead AND n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("band", "rep", "coalesce(root, rep) AS known")
     open_ = rest.groupBy("band").agg(F.count("*").alias("n"), F.min("known").alias("_l"), F.max("known").alias("_h")).where("_l <> _h")
-    units = (
-        rest.join(open_.select("band", "n"), "band")
+    rest = stored(rest.join(open_.select("band", "n"), "band"))
+    blocks = (
+        rest.where(f"n > {BLOCK}")
         .selectExpr("*", f"int(ceil(n / {BLOCK})) AS _blocks")
         .selectExpr("*", "int(pmod(xxhash64(known, rep), _blocks)) AS block")
         .selectExpr("band", "rep", "known", "block", "explode(sequence(0, _blocks - 1)) AS _other")
         .selectExpr("band", "least(block, _other) AS low", "greatest(block, _other) AS high", "block", "rep", "known")
     )
+    units = rest.where(f"n <= {BLOCK}").selectExpr("band", "0 AS low", "0 AS high", "0 AS block", "rep", "known").union(blocks)
     unit = ("band", "low", "high")
     judged = units.join(texts, "rep").select(*unit, "block", "rep", "known", "fingerprint").repartition(*unit).sortWithinPartitions(*unit)
     links = stars.select("u", "v").union(judged.mapInArrow(judge, "u long, v long"))
