@@ -52,7 +52,7 @@ SLACK = 0.02  # a key's bits may differ this much more often than the likeness o
 LEAST_WIDTH, MOST_WIDTH = 12, 34
 LONGEST = 2.0**40  # walked text that still draws new places
 KEY_BITS = 54  # of a key and its check; the band stands above them
-MISSED = 1e-3  # of near prints in a band, by the check
+MISSED = 0.05  # of near prints that share a key, by its check; more bands make up for it
 BLOCK = 512
 
 
@@ -230,7 +230,7 @@ def stretches(levels: int, length: int) -> np.ndarray:
 def banding(like: float, recall: float = RECALL, rows: int = 1 << 20) -> tuple[int, int]:
     """Bands that a pair ``like`` alike needs to share one with the given chance, and bits of a key, for a table of ``rows`` prints."""
     width = min(MOST_WIDTH, max(LEAST_WIDTH, math.ceil(math.log2(max(rows, 2)))))
-    met = (1 - min(0.5, (1 - like) / 2 + SLACK)) ** width
+    met = (1 - MISSED) * (1 - min(0.5, (1 - like) / 2 + SLACK)) ** width
     return math.ceil(math.log(1 - recall) / math.log(1 - met)), width
 
 
