@@ -1,5 +1,7 @@
 """Band keys of edit fingerprints: work per print as tables grow, and checks that let near prints through."""
 
+import hashlib
+
 import numpy as np
 
 from tidemark.llm import edit_prints
@@ -39,3 +41,39 @@ def test_one_random_order_serves_all_lengths():
     same = (keys[:200] == keys[200:]).mean()
     assert 0.85 < same <= 1  # nine tenths share the place, half of the others agree by chance
     assert not len(sampler.bands(["0:"], 3, 12)[0])
+
+
+def ring(spark, ids, texts, kind):
+    table = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string").repartition(3)
+    return edit_prints.fingerprints(table).select("doc_id", "n_chars", "edited_sha256").collect()
+
+
+def plain_ring(spark, ids, texts):
+    """Every row with the next one in the order of id and hash of the text, null ids first."""
+    hashes = [r.h for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").selectExpr("i", "xxhash64(t) AS h").orderBy("i").collect()]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or "", hashes[i]))
+    out = []
+    for at, i in enumerate(order):
+        own, following = texts[i] or "", texts[order[(at + 1) % len(order)]] or ""
+        half = len(own) // 2
+        out.append((ids[i], len(own), hashlib.sha256((own[: len(own) - half] + following[:half]).encode()).hexdigest()))
+    return out
+
+
+def test_text_ids_and_one_hot_id_fall_into_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(edit_prints, "ROWS_PER_RANGE", 10)
+    rng = np.random.default_rng(33)
+    texts = [" ".join(rng.choice(["é", "ant", "bee", "cow", "𝄞"], rng.integers(0, 30))) for _ in range(240)]
+    ids = [f"id-{i:03}" for i in range(80)] + ["hot"] * 80 + [None] * 80
+    key = lambda r: (r[0] is not None, *r[0:1], *r[1:]) if r[0] is not None else (False, "", *r[1:])
+    got = sorted((tuple(r) for r in ring(spark, ids, texts, "string")), key=key)
+    assert got == sorted(plain_ring(spark, ids, texts), key=key)
+    table = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id string, text string")
+    sizes = [r["count"] for r in edit_prints.with_ranges(table, "doc_id", "text").groupBy("bucket").count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 60
+
+
+def test_repeated_rows_send_one_head(spark, monkeypatch):
+    monkeypatch.setattr(edit_prints, "ROWS_PER_RANGE", 5)
+    got = ring(spark, [1] * 30 + [2] * 30, ["same words here"] * 60, "long")
+    assert len(got) == 60 and len({r.edited_sha256 for r in got}) == 1

@@ -9,17 +9,17 @@ give a likeness from 0 to 1.
 Near prints of the whole table meet in bands, one key per print and band. Every bit of a key is drawn by a
 random order of all places that prints share: a print takes the first place of the order that lies in its
 walked text. Two prints take the same place as often as their lengths allow, so a bit agrees as often as the
-likeness says, whatever the lengths. A key has about as many bits as the table needs to number its prints, so
-chance brings about one other print to a band at every size of the table; ``banding`` gives the bands for
-``RECALL`` at ``LIKE`` with that width. Further bits of the same kind travel in the same number as the key and
+likeness says, whatever the lengths. A key has ``SHARED_BITS`` fewer bits than the table needs to number its
+prints, so chance brings about 16 other prints to a band at every size of the table; ``banding`` gives the bands
+for ``RECALL`` at ``LIKE`` with that width. Further bits of the same kind travel in the same number as the key and
 drop what met by chance before any print is fetched. Members of a band are judged against its least one, and
 all pairs of members that are still of different classes in blocks; links then join into classes.
 
-Neighbours in id order meet without a global sort: documents fall into ranges of ids, each range is sorted
-on its own, and the first document of the next range stands at its end.
+Neighbours in id order meet without a global sort: documents fall into ranges of (id, hash of the text), each
+range is sorted on its own, and the first document of the next range stands at its end. Texts travel compressed.
 
-Defined results: a null text is empty; the empty fingerprint is like itself alone; documents of one id are
-ordered by text, a null id comes first; the only document follows itself; input columns beyond id and text
+Defined results: a null text is empty; the empty fingerprint is like itself alone; ids are of any ordered type;
+documents of one id are ordered by the hash of their text, a null id comes first; the only document follows itself; input columns beyond id and text
 are not read; an empty table gives no rows. Whole texts are walked, however long. A class is named by its
 least id other than null; equal fingerprints are one class, the empty ones too.
 """
@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import slices, stored
 from tidemark.llm.near_join import bounds, components, grouped
 
 CLASSES = 256
@@ -44,12 +45,15 @@ BITS = 128
 SEED = 77_003
 ROWS_PER_RANGE = 2_000
 MOST_RANGES = 20_000
+SAMPLED_PER_RANGE = 20
+ZSTD_LEVEL = 1
 CHUNK_CHARS = 12 << 20
 CELLS = 4 << 20
 LIKE = 0.8
 RECALL = 0.99
 SLACK = 0.02  # a key's bits may differ this much more often than the likeness of two prints says
 LEAST_WIDTH, MOST_WIDTH = 12, 34
+SHARED_BITS = 4  # 2 ** this many prints share a band by chance
 LONGEST = 2.0**40  # walked text that still draws new places
 KEY_BITS = 54  # of a key and its check; the band stands above them
 MISSED = 0.05  # of near prints that share a key, by its check; more bands make up for it
@@ -229,7 +233,7 @@ def stretches(levels: int, length: int) -> np.ndarray:
 
 def banding(like: float, recall: float = RECALL, rows: int = 1 << 20) -> tuple[int, int]:
     """Bands that a pair ``like`` alike needs to share one with the given chance, and bits of a key, for a table of ``rows`` prints."""
-    width = min(MOST_WIDTH, max(LEAST_WIDTH, math.ceil(math.log2(max(rows, 2)))))
+    width = min(MOST_WIDTH, max(LEAST_WIDTH, math.ceil(math.log2(max(rows, 2))) - SHARED_BITS))
     met = (1 - MISSED) * (1 - min(0.5, (1 - like) / 2 + SLACK)) ** width
     return math.ceil(math.log(1 - recall) / math.log(1 - met)), width
 
@@ -305,41 +309,69 @@ def describe(texts: list[str], followers: list[int], walker: Walker, sampler: Sa
     }
 
 
+def range_cuts(rows: DataFrame, parts: int, n: int) -> list[tuple]:
+    """About ``parts - 1`` pairs of id and hash that cut the rows evenly, from a sample by hash of bounded size."""
+    grain = 1 << 30
+    share = min(grain, int(parts * SAMPLED_PER_RANGE / n * grain) + 1)
+    drawn = rows.where(F.pmod(F.xxhash64("id", "h", F.lit("range")), F.lit(grain)) < share).select(F.struct("id", "h").alias("at"))
+    # Repeated rows share a place; the sample holds some SAMPLED_PER_RANGE * MOST_RANGES places at most.
+    found = drawn.groupBy("at").count().agg(F.array_sort(F.collect_list(F.struct("at", "count"))).alias("all")).first()["all"]
+    step, seen, cuts = sum(r["count"] for r in found) / parts, 0, []
+    for r in found:
+        if seen >= step * (len(cuts) + 1):
+            cuts.append((r["at"]["id"], r["at"]["h"]))
+        seen += r["count"]
+    return cuts
+
+
 def with_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``bucket, ahead, id, text``: documents in ranges of ids, each followed by the next range's first (``ahead``)."""
-    rows = docs.selectExpr(f"`{key}` AS id", f"`{text}` AS text")
-    n = rows.count()
+    """``bucket, ahead, id, h, text``: documents in ranges of id and hash, each followed by the next range's first (``ahead``)."""
+    rows = docs.selectExpr(f"`{key}` AS id", f"xxhash64(`{text}`) AS h", f"coalesce(`{text}`, '') AS text")
+    n = docs.count()
     parts = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
-    shares = [i / parts for i in range(1, parts)]
-    found = rows.agg(F.percentile_approx("id", shares, max(10_000, 10 * parts)).alias("b")).first().b if shares else None
-    cuts = sorted(set(found or []))
+    cuts = range_cuts(rows, parts, n) if parts > 1 else []
     if cuts:
-        # Binary search for the number of cuts not above the id.
+        # Binary search for the number of cuts not above the row.
         steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
-        literal = F.lit(cuts)
-        place = F.aggregate(
-            F.lit(steps),
-            F.lit(0),
-            lambda low, step: F.when((low + step <= len(cuts)) & (F.try_element_at(literal, low + step) <= F.col("id")), low + step).otherwise(low),
-        )
+        ids = F.array(*[F.lit(c[0]) for c in cuts]).cast(f"array<{rows.schema['id'].dataType.simpleString()}>")
+        hashes = F.lit([c[1] for c in cuts])
+
+        def not_above(k):
+            cut, own = F.try_element_at(ids, k), F.col("id")
+            before = F.when(own.isNull(), False).otherwise(cut.isNull() | (cut < own))
+            return (k <= len(cuts)) & (before | (cut.eqNullSafe(own) & (F.try_element_at(hashes, k) <= F.col("h"))))
+
+        place = F.aggregate(F.lit(steps), F.lit(0), lambda low, step: F.when(not_above(low + step), low + step).otherwise(low))
     else:
         place = F.lit(0)
     rows = rows.withColumn("bucket", place)
     # One head per range; MOST_RANGES bounds them.
-    heads = rows.groupBy("bucket").agg(F.min(F.struct("id")).alias("_h")).selectExpr("bucket", "_h.id AS _head")
-    ring = heads.selectExpr("_head", "coalesce(lag(bucket) OVER (ORDER BY bucket), max(bucket) OVER ()) AS _to")
-    first = rows.join(F.broadcast(ring), F.expr("id <=> _head")).selectExpr("_to AS bucket", "1 AS ahead", "id", "text")
-    return rows.selectExpr("bucket", "0 AS ahead", "id", "text").unionByName(first)
+    heads = rows.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("_h"))
+    ring = heads.selectExpr("_h.id AS _id", "_h.h AS _hash", "coalesce(lag(bucket) OVER (ORDER BY bucket), max(bucket) OVER ()) AS _to")
+    first = rows.join(F.broadcast(ring), F.expr("id <=> _id AND h = _hash"))
+    first = first.groupBy("_to").agg(F.min("id").alias("id"), F.min("h").alias("h"), F.min("text").alias("text"))
+    return rows.select("bucket", F.lit(0).alias("ahead"), "id", "h", "text").unionByName(first.selectExpr("_to AS bucket", "1 AS ahead", "id", "h", "text"))
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the last column, a text, by its compressed bytes."""
+    press = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            blob = pa.array([press.compress(t) for t in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], blob], names=part.schema.names)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its fingerprint, its edited text's, and their likeness to it and to the next document's."""
-    ranged = with_ranges(docs, key, text).repartition("bucket").sortWithinPartitions("bucket", "ahead", "id", "text")
     id_type = docs.schema[key].dataType.simpleString()
+    ranged = with_ranges(docs, key, text).mapInArrow(packed, f"bucket int, ahead int, id {id_type}, h long, text binary")
+    ranged = ranged.repartition("bucket").sortWithinPartitions("bucket", "ahead", "id", "h", "text").drop("h")
     columns = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walker, sampler = Walker(), Sampler()
+        unpack = zstandard.ZstdDecompressor()
         rows: list[tuple] = []
         chars = 0
 
@@ -363,7 +395,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         for batch in batches:
             kind = batch.schema.field("id").type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append((*row[:3], row[3] or ""))
+                rows.append((*row[:3], unpack.decompress(row[3]).decode("utf-8", "surrogatepass")))
                 chars += len(rows[-1][3])
                 if chars > CHUNK_CHARS and len(rows) > 1:
                     yield done(rows)
