@@ -1,9 +1,12 @@
 """Near-duplicate join on word shingles: a MinHash LSH forest with exact verification.
 
 Every distinct shingle set gets one label per tree, a string of MinHash slots. A tree is the trie of its
-sorted labels; matching starts at full depth and the matched prefix is shortened until the chance that a
-pair at the threshold meets in some tree reaches the target recall. Sets below one node are candidates.
-Each candidate pair is judged once, in the first tree in which it meets, by its exact Jaccard similarity.
+labels, held as the counts of its nodes. Matching starts with whole labels; each set then shortens its prefixes,
+one slot at a time and first where the shorter node has the fewest members, until the chance that a pair at the
+threshold meets in some tree reaches the target recall. A node that one of its sets asks for is a leaf for all
+sets below it, so leaves of a tree do not overlap and their depths follow the data: dense parts of a tree keep
+long prefixes, sparse ones short ones. Sets of one leaf are candidates. Each candidate pair is judged once, in
+the first tree in which it meets, by its exact Jaccard similarity.
 
 Large nodes are cut into blocks and every pair of blocks is a unit of work of its own, so no task holds a
 whole node; units emit counts and a spanning star instead of pairs. Copies of a set stand behind one
@@ -16,6 +19,7 @@ the class; repeated rows are copies of each other; other columns are not read by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,6 +97,74 @@ def depth_for(threshold: float, trees: int, deepest: int, target: float) -> int:
     return depth
 
 
+def gain(threshold: float, depth: int) -> float:
+    """What a tree with prefixes of ``depth`` adds to minus the logarithm of the chance that a pair never meets."""
+    return -math.log1p(-(threshold**depth))
+
+
+def shorten(deepest: int, shortest: int, trees: int, threshold: float, target: float):
+    """Adds ``depths``, one for each entry of ``shared(tree, label, sizes)``: the prefix the set asks for in that tree.
+
+    ``sizes`` counts the members of the nodes above the label, the deepest first. Trees that are not listed hold the
+    set alone even at the shortest prefix, which then costs nothing.
+    """
+    steps = np.array([gain(threshold, d) - gain(threshold, d + 1) for d in range(deepest - 1, shortest - 1, -1)])
+    need = -math.log1p(-target) - trees * gain(threshold, deepest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = batch.column(1)
+            entries, count = shared.flatten(), shared.value_lengths().to_numpy()
+            sizes = entries.field("sizes").flatten().to_numpy().reshape(-1, len(steps))
+            row = np.repeat(np.arange(len(count)), count)
+            level = np.tile(np.arange(len(steps)), len(row))
+            owner, entry = np.repeat(row, len(steps)), np.repeat(np.arange(len(row)), len(steps))
+            order = np.lexsort((entry, level, sizes.ravel(), owner))
+            total = np.cumsum(steps[level[order]])
+            first = np.concatenate(([0], np.cumsum(count)[:-1])) * len(steps)
+            before = total - steps[level[order]]
+            before -= before[np.minimum(first, len(before) - 1)][owner]
+            lacking = need - (trees - count) * steps.sum()
+            taken = order[before < lacking[owner]]
+            depth = deepest - np.bincount(entry[taken], minlength=len(row))
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(depth, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), shared, made], names=["rep", "shared", "depths"])
+
+    return run
+
+
+def forest(reps: DataFrame, threshold: float, trees: int, deepest: int, target: float) -> DataFrame:
+    """``rep, leaves``: the leaf of each tree for every set of ``reps(rep, labels)`` that has company in some tree.
+
+    A leaf is its prefix in the high bits and its depth in the lowest three. A set alone at the shortest prefix has a
+    leaf of its own.
+    """
+    shortest = max(1, depth_for(threshold, trees, deepest, target) - 1)
+    above = range(deepest - 1, shortest - 1, -1)
+    node = lambda d: f"shiftright(label, {SLOT_BITS * (deepest - d)})"
+    known = reps.select("rep", F.posexplode("labels").alias("tree", "label"))
+    for d in reversed(above):  # the shortest first: sets alone there need no more counts
+        known = known.withColumn("node", F.expr(node(d)))
+        counts = known.groupBy("tree", "node").agg(F.count("*").alias(f"n{d}"))
+        counts = counts.where(f"n{d} > 1") if d == shortest else counts
+        known = known.join(counts, ["tree", "node"]).drop("node")
+    sizes = F.array(*[F.col(f"n{d}") for d in above])
+    shared = known.groupBy("rep").agg(F.collect_list(F.struct("tree", "label", sizes.alias("sizes"))).alias("shared"))
+    kind = shared.schema["shared"].dataType.simpleString()
+    run = shorten(deepest, shortest, trees, threshold, target)
+    asked = stored(shared.mapInArrow(run, f"rep binary, shared {kind}, depths array<int>"))
+    rows = asked.select("rep", F.explode(F.arrays_zip("shared", "depths")).alias("_")).selectExpr("rep", "_.shared.tree AS tree", "_.shared.label AS label", "_.depths AS depth")
+    placed = rows.drop("depth").withColumn("leaf", F.lit(None).cast("long"))
+    for d in reversed(above):  # a shorter leaf holds all below it
+        asks = rows.where(f"depth = {d}").selectExpr("tree", f"{node(d)} AS node").distinct().withColumn("_asked", F.lit(True))
+        placed = placed.withColumn("node", F.expr(node(d))).join(asks, ["tree", "node"], "left")
+        placed = placed.selectExpr("rep", "tree", "label", f"coalesce(leaf, IF(_asked, shiftleft(node, 3) | {d}L, NULL)) AS leaf")
+    placed = placed.selectExpr("rep", "tree", f"coalesce(leaf, shiftleft(label, 3) | {deepest}L) AS leaf")
+    own = placed.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "leaf"))).alias("_own"))
+    alone = f"transform(labels, (label, tree) -> coalesce(try_element_at(_own, tree), shiftleft({node(shortest)}, 3) | {shortest}L))"
+    return reps.select("rep", "labels").join(own, "rep").selectExpr("rep", f"{alone} AS leaves")
+
+
 def sketches(docs: DataFrame, key: str, text: str, words: int, trees: int, depth: int) -> DataFrame:
     """``id, t`` (hash of the text), ``rep`` (digest of the shingle set, null without words) and ``labels``."""
     id_type = docs.schema[key].dataType.simpleString()
@@ -138,43 +210,43 @@ def bounds(table: pa.Table, by: int) -> np.ndarray:
 UNIT = ("tree", "node", "low", "high")
 
 
-def new_pairs(prefix: np.ndarray, block: np.ndarray, tree: int, low: int, high: int) -> np.ndarray:
+def new_pairs(leaf: np.ndarray, block: np.ndarray, tree: int, low: int, high: int) -> np.ndarray:
     """Which pairs of a unit are its own: of its two blocks, and met in no earlier tree. Upper triangle."""
-    n = len(prefix)
+    n = len(leaf)
     if low == high:
         own = np.triu(np.ones((n, n), bool), 1)
     else:
         own = np.triu((block[:, None] != block[None, :]), 1)
     for t in range(tree):
-        own &= prefix[:, None, t] != prefix[None, :, t]
+        own &= leaf[:, None, t] != leaf[None, :, t]
     return own
 
 
-def label_matrix(table: pa.Table, name: str, trees: int, shift: int) -> np.ndarray:
-    return table.column(name).combine_chunks().flatten().to_numpy().reshape(-1, trees) >> shift
+def leaf_matrix(table: pa.Table, trees: int) -> np.ndarray:
+    return table.column("leaves").combine_chunks().flatten().to_numpy().reshape(-1, trees)
 
 
-def needed_members(trees: int, shift: int):
+def needed_members(trees: int):
     """Keeps the members of each unit that have a pair to judge there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 4):
             edge = bounds(table, 4)
-            prefix = label_matrix(table, "labels", trees, shift)
+            leaf = leaf_matrix(table, trees)
             tree, low, high, block = (table.column(c).to_numpy() for c in ("tree", "low", "high", "block"))
             keep = np.zeros(table.num_rows, bool)
             size = np.diff(edge)
             two = edge[:-1][size == 2]  # most units; judged together
             if len(two):
-                same = prefix[two] == prefix[two + 1]
+                same = leaf[two] == leaf[two + 1]
                 first = np.where(same.any(axis=1), same.argmax(axis=1), trees) == tree[two]
                 first &= (low[two] == high[two]) | (block[two] != block[two + 1])
                 keep[two] = keep[two + 1] = first
             for i in np.flatnonzero(size > 2):
                 a, b = edge[i], edge[i + 1]
-                own = new_pairs(prefix[a:b], block[a:b], int(tree[a]), int(low[a]), int(high[a]))
+                own = new_pairs(leaf[a:b], block[a:b], int(tree[a]), int(low[a]), int(high[a]))
                 keep[a:b] = own.any(axis=0) | own.any(axis=1)
-            kept = table.filter(pa.array(keep)).drop_columns(["labels"])
+            kept = table.filter(pa.array(keep)).drop_columns(["leaves"])
             yield from kept.combine_chunks().to_batches()
 
     return run
@@ -201,13 +273,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def judge(trees: int, shift: int, threshold: float):
+def judge(trees: int, threshold: float):
     """Per member with a link in a unit: the copies it links to there, and the least member of its local class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 4):
             edge = bounds(table, 4)
-            prefix = label_matrix(table, "labels", trees, shift)
+            leaf = leaf_matrix(table, trees)
             tree, low, high, block, copies = (table.column(c).to_numpy() for c in ("tree", "low", "high", "block", "copies"))
             reps = table.column("rep").to_pylist()
             column = table.column("shingles").combine_chunks()
@@ -216,7 +288,7 @@ def judge(trees: int, shift: int, threshold: float):
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2:
                     continue
-                own = new_pairs(prefix[a:b], block[a:b], int(tree[a]), int(low[a]), int(high[a]))
+                own = new_pairs(leaf[a:b], block[a:b], int(tree[a]), int(low[a]), int(high[a]))
                 sets = [flat[at[i] : at[i + 1]] for i in range(a, b)]
                 size = np.array([len(s) for s in sets], float)
                 common = overlaps(sets)
@@ -276,12 +348,11 @@ def link(
     block: int = BLOCK,
 ) -> DataFrame:
     """``id, t, class_root, class_id, n_links`` for every document; ``n_links`` counts linked documents."""
-    depth = depth_for(threshold, trees, deepest, target)
-    shift = SLOT_BITS * (deepest - depth)
     own = stored(sketches(docs, key, text, words, trees, deepest))
     reps = own.where("rep IS NOT NULL").groupBy("rep").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("labels").alias("labels"))
     reps = stored(reps)
-    placed = reps.select("rep", F.posexplode("labels").alias("tree", "label")).selectExpr("rep", "tree", f"shiftright(label, {shift}) AS node")
+    leaves = stored(forest(reps, threshold, trees, deepest, target))
+    placed = leaves.select("rep", F.posexplode("leaves").alias("tree", "node"))
     nodes = placed.groupBy("tree", "node").agg(F.count("*").alias("members")).where("members > 1")
     members = (
         placed.join(nodes, ["tree", "node"])
@@ -290,15 +361,15 @@ def link(
         .selectExpr("rep", "tree", "node", "block", "explode(sequence(0, _blocks - 1)) AS _other")
         .selectExpr("tree", "node", "least(block, _other) AS low", "greatest(block, _other) AS high", "block", "rep")
     )
-    described = members.join(reps.select("rep", "labels"), "rep").select(*UNIT, "block", "rep", "labels")
+    described = members.join(leaves, "rep").select(*UNIT, "block", "rep", "leaves")
     needed = stored(
         described.repartition(*UNIT)
         .sortWithinPartitions(*UNIT)
-        .mapInArrow(needed_members(trees, shift), "tree int, node long, low int, high int, block int, rep binary")
+        .mapInArrow(needed_members(trees), "tree int, node long, low int, high int, block int, rep binary")
     )
-    wanted = needed.select("rep").distinct().join(reps.select("rep", "copies", "id", "labels"), "rep")
+    wanted = needed.select("rep").distinct().join(reps.select("rep", "copies", "id"), "rep").join(leaves, "rep")
     texts = docs.selectExpr(f"`{key}` AS id2", f"`{text}` AS text")
-    fetched = texts.join(wanted.hint("shuffle_hash"), F.expr("id2 <=> id")).select("rep", "copies", "labels", "text")
+    fetched = texts.join(wanted.hint("shuffle_hash"), F.expr("id2 <=> id")).select("rep", "copies", "leaves", "text")
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -307,16 +378,16 @@ def link(
                 found = [shingles(t or "", hashes, words) for t in part.column(3).to_pylist()]
                 same = [xxhash.xxh3_128_digest(s.tobytes()) == r for s, r in zip(found, part.column(0).to_pylist(), strict=True)]
                 column = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
-                made = pa.RecordBatch.from_arrays([*part.columns[:3], column], names=["rep", "copies", "labels", "shingles"])
+                made = pa.RecordBatch.from_arrays([*part.columns[:3], column], names=["rep", "copies", "leaves", "shingles"])
                 yield made.filter(pa.array(same))
 
-    sets = fetched.mapInArrow(reread, "rep binary, copies long, labels array<long>, shingles array<long>").dropDuplicates(["rep"])
+    sets = fetched.mapInArrow(reread, "rep binary, copies long, leaves array<long>, shingles array<long>").dropDuplicates(["rep"])
     judged = (
         needed.join(sets, "rep")
-        .select(*UNIT, "block", "rep", "copies", "labels", "shingles")
+        .select(*UNIT, "block", "rep", "copies", "leaves", "shingles")
         .repartition(*UNIT)
         .sortWithinPartitions(*UNIT)
-        .mapInArrow(judge(trees, shift, threshold), "rep binary, links long, root binary")
+        .mapInArrow(judge(trees, threshold), "rep binary, links long, root binary")
     )
     judged = stored(judged)
     roots = components(judged.selectExpr("hex(rep) AS u", "hex(root) AS v")).selectExpr("unhex(node) AS rep", "unhex(root) AS root")
