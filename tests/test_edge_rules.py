@@ -3,8 +3,10 @@
 import datetime as dt
 import os
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tests.helpers import d, rows
 from tests.test_streaming import _drain, _land, _stream
 from tidemark.operators import aggregates as A
@@ -109,3 +111,14 @@ def test_dropped_rows_are_counted(spark, tmp_path):
     path = _land(spark, tmp_path, [first, first[-1:], [(dt.datetime(2025, 1, 1), "a", 1)] * 3], schema)
     query = _drain(K.complete_week_totals(_stream(spark, path, schema), "ts", "tokens", ["model"]), "late_weeks")
     assert K.dropped_rows(query) in (1, 3)  # equal rows may be combined before the state is asked
+
+
+def test_a_point_without_tax_can_be_a_cut(spark, tmp_path):
+    days = [dt.datetime(2001, 7, 1), dt.datetime(2001, 7, 2)]
+    data = [(1, 7, 1, 1, 20.0, 0.05, "A", "O", days[0]), (1, 7, 1, 2, 10.0, 0.0, "A", "O", days[1]), (2, 8, 1, 1, 10.0, 0.0, "A", "O", days[0]), (2, 8, 1, 2, 20.0, 0.0, "A", "O", days[1])]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(data, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(entry.queries()["recent_cuts"](spark, str(tmp_path))) == [(7,)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert con.execute(entry.oracle_sql()["recent_cuts"]).fetchall() == [(7,)]
