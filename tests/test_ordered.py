@@ -248,3 +248,14 @@ def test_first_candidate_and_free(spark):
         [("v/m-20250101", 1.0, None, "v/m"), ("v/x:free", 0.0, 0.0, "free_variant"), ("v/none", None, None, None), ("v/bad", 2000000.0, None, "bad")],
         key=repr,
     )
+
+
+def test_keys_that_share_a_bucket_with_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(O, "KEY_BUCKETS", 4)
+    df = spark.range(6_000).selectExpr("IF(id % 2 = 0, NULL, id % 41) AS k", "double(pmod(hash(id), IF(id % 2 = 0, 100000, 7))) AS v")
+    wanted = {"m": (0.5, "inclusive"), "a": (0.25, "exclusive"), "b": (0.75, "exclusive")}
+    got = O.group_quantiles(df, ["k"], "v", wanted, {"n": "count", "s": "sum"}, small=500)
+    plain = O.group_quantiles(df, ["k"], "v", wanted, {"n": "count", "s": "sum"})
+    assert rows(got) == rows(plain) and got.count() == 42
+    one = O.group_quantiles(df, ["k"], "v", {"m": (0.5, "inclusive")}, small=500)
+    assert {r.k: r.m for r in one.collect()} == {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}

@@ -53,3 +53,11 @@ def test_quantiles_with_large_keys_scan_once(spark, tmp_path):
     assert {r.k: r.m for r in df.collect()} == {r.k: r.m for r in spark.read.parquet(path).selectExpr("k", "v").groupBy("k").agg(F.median("v").alias("m")).collect()}
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_a_task_of_entity_medians_orders_its_rows_once(spark):
+    df = entry.queries()["entity_medians"](spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("+- Window") + final.count("- *Window") == 1 and final.count("Sort [") == 1
+    assert "HashAggregate" not in final[: final.index("Window")]
