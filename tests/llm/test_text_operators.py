@@ -624,3 +624,23 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert packed.agg(F.sum("length")).first()[0] == want
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_trees_and_threshold_come_from_all_rows(spark):
+    rng = np.random.default_rng(11)
+    x = rng.random((30_000, len(quality_rules.FEATURES)))
+    y = (x[:, 4] + rng.normal(0, 0.1, len(x)) > 0.5).astype(int)
+    held = np.arange(len(x)) % 4 == 3
+    rows = [(f.tolist(), int(v), bool(h)) for f, v, h in zip(x, y, held, strict=True)]
+    table = spark.createDataFrame(rows, "features array<double>, y int, held boolean").repartition(5)
+    rules = quality_rules.fit_table(table)
+    score = rules.trees.score(x)
+    assert rules.threshold == min(0.5, np.quantile(score[held & (y == 1)], 1 - quality_rules.GOOD_KEPT, method="lower"))
+    monotone = {i: s for i, s in enumerate(quality_rules.FEATURES.values()) if s}
+    plain = boosting.fit(x[~held], y[~held].astype(float), monotone)
+    loss = lambda p: -np.mean(np.log(np.where(y[held] == 1, p[held], 1 - p[held])))
+    assert loss(score) == pytest.approx(loss(plain.score(x)), rel=0.05)
+    probe = np.repeat(x[:40], 50, axis=0)
+    probe[:, 2] = np.tile(np.linspace(0, 1, 50), 40)
+    assert (np.diff(rules.trees.score(probe).reshape(40, 50), axis=1) <= 1e-12).all()
+    assert quality_rules.fit_table(table.repartition(2)).threshold == rules.threshold
