@@ -30,6 +30,7 @@ SMOOTHING = 0.05
 TEMPER = 1 / 3  # each character stands in three trigrams
 PENALTY = 2.0  # nats for each language beyond the first, times log(1 + words)
 STEPS = 8
+PART_BYTES = 2 << 20  # text whose words a task holds at once
 MAX_LANGUAGES = 1024  # the tables are sent to every task: 256 KB a language
 
 
@@ -61,7 +62,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, PART_BYTES):
                 by: dict[str, Counter] = {}
                 for t, name in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     by.setdefault(name, Counter()).update(WORD.findall(t.lower()))
@@ -156,4 +157,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
 
         return predict
 
-    return with_text_columns(docs, make, "lang_pred string, score double, lang_mix map<string,double>", text, keep)
+    return with_text_columns(docs, make, "lang_pred string, score double, lang_mix map<string,double>", text, keep, PART_BYTES)

@@ -29,7 +29,7 @@ from tidemark.llm.tokens import UNCOMMON, WORD_PATTERN, load, special_splitter
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_RANGE = 50_000
-CACHE = 1_500_000  # words and runs, about 300 MB in a task
+CACHE = 400_000  # words and runs, about 80 MB that a Python worker keeps after its tasks
 
 
 class WordIds:
