@@ -644,3 +644,18 @@ def test_trees_and_threshold_come_from_all_rows(spark):
     probe[:, 2] = np.tile(np.linspace(0, 1, 50), 40)
     assert (np.diff(rules.trees.score(probe).reshape(40, 50), axis=1) <= 1e-12).all()
     assert quality_rules.fit_table(table.repartition(2)).threshold == rules.threshold
+
+
+def test_labels_meet_statistics_and_no_text_is_shuffled(spark, empty, monkeypatch):
+    table, labels = quality_corpus(spark)
+    plans = []
+    kept = quality_rules.stored
+    monkeypatch.setattr(quality_rules, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    rules = quality_rules.fit(table, labels)
+    assert 0 <= plans[0].index("Join ") < plans[0].index("MapInArrow")
+    plans.clear()
+    once = quality_rules.fit_apply(table, labels, keep=["doc_id"])
+    assert ["text#" in p for p in plans] == [True, False] and "Join " not in plans[0]
+    twice = quality_rules.apply(table, rules, keep=["doc_id"])
+    assert once.schema == twice.schema and by_id(once) == by_id(twice)
+    assert quality_rules.fit_apply(empty, labels, keep=["lang"]).columns == quality_rules.apply(empty, None, keep=["lang"]).columns

@@ -34,8 +34,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.apply(docs, rules, keep=["doc_id"])
+    return quality_rules.fit_apply(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
