@@ -29,7 +29,7 @@ from tidemark.llm.tokens import UNCOMMON, WORD_PATTERN, load, special_splitter
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_RANGE = 50_000
-CACHE = 400_000  # words, about 80 MB that a Python worker keeps after its tasks
+CACHE = 400_000  # words and runs, about 80 MB that a Python worker keeps after its tasks
 
 
 class WordIds:
@@ -37,7 +37,6 @@ class WordIds:
 
     def __init__(self, tokenizer):
         self.ids: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.tokenizer = tokenizer
         suffix = tokenizer.model.end_of_word_suffix
         # With a word-end suffix many words can be encoded as one text and told apart by their last ids.
@@ -45,26 +44,21 @@ class WordIds:
         if suffix:
             self.ends[[i for piece, i in tokenizer.get_vocab(False).items() if piece.endswith(suffix)]] = True
 
-    def learn(self, runs: set[str]) -> dict[str, bytes]:
-        """Ids of runs without blanks; a run is one pre-token or several side by side.
-
-        Only pre-tokens are kept. When the recent ones fill half the cache they become the older ones, whose
-        place they take, so words that return stay known and those met once go.
-        """
-        recent, older = self.ids, self.older
-        parts = {run: (run,) if run in recent or run in older else WORD_PATTERN.findall(run) for run in runs}
-        words = set().union(*parts.values())
-        found = {w: recent[w] for w in words if w in recent}
-        added = {w: older[w] for w in words.difference(found) if w in older}
-        new = sorted(words.difference(found, added))
-        for i in range(0, len(new), 20_000):
-            added.update(self._encode(new[i : i + 20_000]))
-        found.update(added)
-        if len(recent) + len(added) > CACHE // 2:
-            self.ids, self.older = dict(found), recent
-        else:
-            recent.update(added)
-        return {run: found[p[0]] if len(p) == 1 else b"".join(map(found.__getitem__, p)) for run, p in parts.items()}
+    def learn(self, runs: set[str]) -> None:
+        """Makes the ids of runs without blanks known; a run is one pre-token or several side by side."""
+        known = self.ids
+        new = runs.difference(known)
+        if len(known) + 2 * len(new) > CACHE:
+            kept = {w: known[w] for w in runs if w in known}
+            known.clear()
+            known.update(kept)
+        parts = {run: WORD_PATTERN.findall(run) for run in new}
+        words = sorted({w for found in parts.values() for w in found}.difference(known))
+        for i in range(0, len(words), 20_000):
+            known.update(self._encode(words[i : i + 20_000]))
+        for run, found in parts.items():
+            if len(found) != 1:
+                known[run] = b"".join(map(known.__getitem__, found))
 
     def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         if self.ends is not None:
@@ -91,9 +85,9 @@ def encoder(path: str):
     def encode(texts: list[str]) -> list[bytes]:
         # Blanks end every pre-token and have no ids themselves.
         split = [None if UNCOMMON.search(t) or len(cut(t)) > 1 else t.lower().split() for t in texts]
-        ids = known.learn(set().union(*(s for s in split if s is not None)))
+        known.learn(set().union(*(s for s in split if s is not None)))
         whole = iter(tokenizer.encode_batch([t for t, s in zip(texts, split, strict=True) if s is None], add_special_tokens=False))
-        return [np.array(next(whole).ids, "<u4").tobytes() if s is None else b"".join(map(ids.__getitem__, s)) for s in split]
+        return [np.array(next(whole).ids, "<u4").tobytes() if s is None else b"".join(map(known.ids.__getitem__, s)) for s in split]
 
     return encode
 
