@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -203,6 +204,32 @@ def test_packing_places_every_token_once(spark, empty):
     assert packing.pack_documents(empty, WORD).count() == 0
 
 
+def test_packing_ids_equal_the_library(monkeypatch):
+    tokenizer = tokens.load(WORD)
+    common = [chr(c) for c in range(0x250) if not tokens.UNCOMMON.search(chr(c))]
+    draw = random.Random(5)
+    pool = common + list(" .,!?'\n") * 20 + list("abcdest") * 20 + ["'s", "...", "\u65e5", "\u00a0", "<|endoftext|>"]
+    texts = ["", " ", ".", " a ", "a.,b", "a\u0181b", "\u023a", *("".join(draw.choices(pool, k=draw.randrange(60))) for _ in range(2_000))]
+    texts += [w + "." for w in common]  # a letter may have its small form outside the common ones
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(packing, "CACHE", 300)
+    for size in (len(texts), 50):
+        packing.encoder.cache_clear()
+        encode = packing.encoder(WORD)
+        assert [raw for i in range(0, len(texts), size) for raw in encode(texts[i : i + size])] == want
+    packing.encoder.cache_clear()
+
+
+def test_packing_looks_up_a_repeated_run_once(monkeypatch):
+    looked = []
+    of = packing.WordIds.of
+    monkeypatch.setattr(packing.WordIds, "of", lambda self, runs: looked.extend(runs) or of(self, runs))
+    packing.encoder.cache_clear()
+    packing.encoder(WORD)(["same words, here. "] * 1_000)
+    packing.encoder.cache_clear()
+    assert sorted(w for w in looked if w) == [",", ".", "here", "same", "words"]
+
+
 def test_two_replace_the_smallest_where_they_fit_better():
     counts = np.zeros(11, np.int64)
     counts[[7, 2, 1]] = 1

@@ -16,15 +16,17 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm.common import arrow_types, slices, stored
-from tidemark.llm.tokens import UNCOMMON, WORD_PATTERN, load, special_splitter
+from tidemark.llm.tokens import BYTE_LETTERS, STOP_IN_SYMBOLS, UNCOMMON, WORD_PATTERN, load, special_splitter
 
 CAPACITY = 4096
 END_ID = 1
@@ -35,39 +37,48 @@ CACHE = 400_000  # words and runs, about 80 MB that a Python worker keeps after
 class WordIds:
     """Ids of pre-tokens as little-endian bytes; new ones are encoded in batches, and the cache is bounded."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.ids: dict[str, bytes] = {}
-        self.tokenizer = tokenizer
-        suffix = tokenizer.model.end_of_word_suffix
-        # With a word-end suffix many words can be encoded as one text and told apart by their last ids.
-        self.ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool) if suffix else None
-        if suffix:
-            self.ends[[i for piece, i in tokenizer.get_vocab(False).items() if piece.endswith(suffix)]] = True
-
-    def learn(self, runs: set[str]) -> None:
-        """Makes the ids of runs without blanks known; a run is one pre-token or several side by side."""
+        self.tokenizer = load(path)
+        vocabulary, suffix = self.tokenizer.get_vocab(False), self.tokenizer.model.end_of_word_suffix
+        self.bare = None
+        if suffix and "ByteLevel" in repr(self.tokenizer.pre_tokenizer):
+            # With a word-end suffix many words can be encoded as one text and told apart by their last ids. They are
+            # pre-tokens already, so only blanks need to be looked for; both tokenizers share one model.
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def of(self, runs: list[str]) -> list[bytes]:
+        """Ids of different runs without blanks; a run is one pre-token or several side by side."""
         known = self.ids
-        new = runs.difference(known)
-        if len(known) + 2 * len(new) > CACHE:
-            kept = {w: known[w] for w in runs if w in known}
+        new = [run for run in runs if run not in known]
+        parts = {run: WORD_PATTERN.findall(run) for run in new if not run.isalpha()}
+        inside = set().union(*parts.values())
+        words = list(set(new).difference(parts).union(inside.difference(known)))
+        if len(known) + len(words) + len(parts) > CACHE:
+            kept = {w: known[w] for w in (*runs, *inside) if w in known}
             known.clear()
             known.update(kept)
-        parts = {run: WORD_PATTERN.findall(run) for run in new}
-        words = sorted({w for found in parts.values() for w in found}.difference(known))
         for i in range(0, len(words), 20_000):
             known.update(self._encode(words[i : i + 20_000]))
         for run, found in parts.items():
             if len(found) != 1:
                 known[run] = b"".join(map(known.__getitem__, found))
+        return list(map(known.__getitem__, runs))
 
     def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        if self.ends is not None:
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        if self.bare is not None:
+            text = BYTE_LETTERS[np.frombuffer(" ".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(words):
                 raw = ids.tobytes()
                 bounds = (4 * last).tolist()
-                return zip(words, map(lambda a, b: raw[a:b], [0, *bounds], bounds), strict=False)
+                return zip(words, [raw[a:b] for a, b in pairwise([0, *bounds])], strict=True)
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return zip(words, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True)
 
@@ -78,16 +89,28 @@ def encoder(path: str):
 
     It lives as long as the Python worker, so the tasks that a worker runs share the words it has met.
     """
-    tokenizer = load(path)
-    cut, specials = special_splitter(tokenizer)
-    known = WordIds(tokenizer)
+    known = WordIds(path)
+    cut, _ = special_splitter(known.tokenizer)
+
+    def common(texts: list[str]) -> Iterator[bytes]:
+        # Blanks end every pre-token and have no ids themselves. Each different run is looked up once.
+        parted = [t if STOP_IN_SYMBOLS.search(t) else t.replace(",", " ,").replace(".", " .") for t in texts]
+        runs = pc.ascii_split_whitespace(pa.array(parted, pa.large_string()))
+        coded = runs.flatten().dictionary_encode()
+        ids = known.of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, run = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[run])])
+        found = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[run] - ends[:-1], sizes[run]) + np.arange(ends[-1])]
+        bounds = ends[runs.offsets.to_numpy()].tolist()
+        return (found[a:b].tobytes() for a, b in pairwise(bounds))
 
     def encode(texts: list[str]) -> list[bytes]:
-        # Blanks end every pre-token and have no ids themselves.
-        split = [None if UNCOMMON.search(t) or len(cut(t)) > 1 else t.lower().split() for t in texts]
-        known.learn(set().union(*(s for s in split if s is not None)))
-        whole = iter(tokenizer.encode_batch([t for t, s in zip(texts, split, strict=True) if s is None], add_special_tokens=False))
-        return [np.array(next(whole).ids, "<u4").tobytes() if s is None else b"".join(map(known.ids.__getitem__, s)) for s in split]
+        lower = [t.lower() for t in texts]
+        apart = [UNCOMMON.search(low) is not None or len(cut(t)) > 1 for low, t in zip(lower, texts, strict=True)]
+        whole = iter(known.tokenizer.encode_batch([t for t, own in zip(texts, apart, strict=True) if own], add_special_tokens=False))
+        others = common([low for low, own in zip(lower, apart, strict=True) if not own])
+        return [np.array(next(whole).ids, "<u4").tobytes() if own else next(others) for own in apart]
 
     return encode
 

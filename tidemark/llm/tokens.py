@@ -10,6 +10,8 @@ import os
 import re
 from collections.abc import Callable
 
+import numpy as np
+
 #: Outside this set the library splits: control characters and letters beyond Latin.
 UNCOMMON = re.compile(r"[^\t-\r -~\u00a1-\u024f]")
 #: The letters and numbers inside it, and the two public pre-token patterns for it.
@@ -17,6 +19,12 @@ LETTER, NUMBER = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02
 SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_PATTERN = re.compile(rf" ?[{LETTER}]+|{SUFFIX}| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = re.compile(rf"[{LETTER}]+|{SUFFIX}|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+#: Elsewhere a full stop or comma starts a pre-token of that pattern.
+STOP_IN_SYMBOLS = re.compile(rf"[^\s{LETTER}{NUMBER}][.,]")
+#: The character that byte-level vocabularies write for each byte; blanks are left as they are.
+_SHOWN = [0x20, *range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = np.arange(0x100, dtype="<u2")
+BYTE_LETTERS[np.setdiff1d(np.arange(0x100), _SHOWN)] = [0x100 + i + (i > 31) for i in range(0x100 - len(_SHOWN))]
 
 
 def load(path: str):
