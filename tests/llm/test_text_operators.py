@@ -686,3 +686,25 @@ def test_labels_meet_statistics_and_no_text_is_shuffled(spark, empty, monkeypatc
     twice = quality_rules.apply(table, rules, keep=["doc_id"])
     assert once.schema == twice.schema and by_id(once) == by_id(twice)
     assert quality_rules.fit_apply(empty, labels, keep=["lang"]).columns == quality_rules.apply(empty, None, keep=["lang"]).columns
+
+
+def test_text_tasks_give_freed_memory_back_and_packing_takes_short_batches(spark, monkeypatch):
+    freed, rows = [], []
+    monkeypatch.setattr(common, "give_back", lambda: freed.append(len(rows)))
+    task = common.tidy(iter)
+    for batch in task([1, 2, 3]):
+        rows.append(batch)
+    assert rows == [1, 2, 3] and freed == [3]
+    monkeypatch.undo()
+    common.give_back()
+
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.stored
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "stored", lambda df: (seen.append(int(df.sparkSession.conf.get(name))), write(df))[1])
+    docs = spark.createDataFrame([(i, "one two three " * (i % 7)) for i in range(3 * common.BATCH_ROWS // 2)], "doc_id long, text string")
+    found = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert found.count() == docs.count() and found.agg({"offset": "max"}).first()[0] < packing.CAPACITY
+    assert seen == [common.BATCH_ROWS] and spark.conf.get(name) == before
+    with pytest.raises(ZeroDivisionError), common.short_batches(spark):
+        1 / 0  # noqa: B018
+    assert spark.conf.get(name) == before

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,8 @@ from pyspark.sql.types import StructType
 
 from tidemark.session import ensure_checkpoint_dir
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+BATCH_ROWS = 1000  # rows that Spark and a Python worker exchange at once where a stage reads whole texts
 SPACE = r"\x20\x09-\x0D"
 
 
@@ -29,6 +33,40 @@ def slices(batch: pa.RecordBatch, text: str, chunk_bytes: int = CHUNK_BYTES) ->
         yield batch.slice(start, end - start)
 
 
+def give_back() -> None:
+    """Returns what a finished task has freed to the system; a Python worker outlives its tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same task, which gives its freed memory back at its end."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside exchange at most ``BATCH_ROWS`` rows at once with Python; the setting is restored after them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_text_columns(
     df: DataFrame,
     make: Callable[[], Callable[[list[str]], Mapping[str, object]]],
@@ -58,7 +96,7 @@ def with_text_columns(
                 new = [pa.array(out[n], kinds[n], from_pandas=False) for n in names]
                 yield pa.RecordBatch.from_arrays([part.column(passed.index(c)) for c in kept] + new, names=kept + names)
 
-    return df.select(*[F.col(f"`{c}`") for c in passed]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in passed]).mapInArrow(tidy(run), schema)
 
 
 def arrow_types(schema: StructType) -> dict[str, pa.DataType]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, slices, with_text_columns
+from tidemark.llm.common import bounded_sample, slices, tidy, with_text_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    counted = rows.select(text, lang).mapInArrow(count, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = rows.select(text, lang).mapInArrow(tidy(count), "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toArrow()
     languages = sorted(set(found.column("lang").to_pylist()))
     if len(languages) > MAX_LANGUAGES:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stored
+from tidemark.llm.common import slices, stored, tidy
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -183,7 +183,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, trees: int, depth
                 )
 
     rows = docs.selectExpr(f"`{key}` AS id", f"xxhash64(`{text}`) AS t", f"`{text}`")
-    return rows.mapInArrow(run, f"id {id_type}, t long, rep binary, labels array<long>")
+    return rows.mapInArrow(tidy(run), f"id {id_type}, t long, rep binary, labels array<long>")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
@@ -381,13 +381,13 @@ def link(
                 made = pa.RecordBatch.from_arrays([*part.columns[:3], column], names=["rep", "copies", "leaves", "shingles"])
                 yield made.filter(pa.array(same))
 
-    sets = fetched.mapInArrow(reread, "rep binary, copies long, leaves array<long>, shingles array<long>").dropDuplicates(["rep"])
+    sets = fetched.mapInArrow(tidy(reread), "rep binary, copies long, leaves array<long>, shingles array<long>").dropDuplicates(["rep"])
     judged = (
         needed.join(sets, "rep")
         .select(*UNIT, "block", "rep", "copies", "leaves", "shingles")
         .repartition(*UNIT)
         .sortWithinPartitions(*UNIT)
-        .mapInArrow(judge(trees, threshold), "rep binary, links long, root binary")
+        .mapInArrow(tidy(judge(trees, threshold)), "rep binary, links long, root binary")
     )
     judged = stored(judged)
     roots = components(judged.selectExpr("hex(rep) AS u", "hex(root) AS v")).selectExpr("unhex(node) AS rep", "unhex(root) AS root")

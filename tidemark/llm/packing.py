@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_types, slices, stored
+from tidemark.llm.common import arrow_types, short_batches, slices, stored, tidy
 from tidemark.llm.tokens import BYTE_LETTERS, STOP_IN_SYMBOLS, UNCOMMON, WORD_PATTERN, load, special_splitter
 
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_RANGE = 50_000
-CACHE = 400_000  # words and runs, about 80 MB that a Python worker keeps after its tasks
+CACHE = 100_000  # words and runs, about 20 MB that a Python worker keeps after its tasks
+PART_BYTES = 2 << 20  # text whose runs a task holds at once
 
 
 class WordIds:
@@ -136,7 +137,7 @@ def to_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for part in slices(batch, text, 4 << 20):
+            for part in slices(batch, text, PART_BYTES):
                 rows, out = [], {n: [] for n in added.fieldNames()}
                 ids = encode([t or "" for t in part.column(passed.index(text)).to_pylist()])
                 for d, raw in enumerate(ids):
@@ -156,7 +157,7 @@ def to_pieces(
                 )
 
     schema = StructType([docs.schema[c] for c in keep] + list(added.fields))
-    return docs.select(*[F.col(f"`{c}`") for c in passed]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in passed]).mapInArrow(tidy(run), schema)
 
 
 def fill(counts: np.ndarray, have: list[int], capacity: int) -> tuple[dict[int, int], int]:
@@ -216,7 +217,8 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Adds ``sequence_id`` and ``offset``; ``order`` lists columns that tell pieces of one length apart."""
-    pieces = stored(pieces)
+    with short_batches(pieces.sparkSession):
+        pieces = stored(pieces)
     lengths = pieces.groupBy("length").count().toArrow()  # one row per length
     counts = np.zeros(capacity + 1, np.int64)
     counts[lengths.column("length").to_numpy()] = lengths.column("count").to_numpy()

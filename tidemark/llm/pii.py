@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import boosting
-from tidemark.llm.common import bounded_sample, slices, with_text_columns
+from tidemark.llm.common import bounded_sample, slices, tidy, with_text_columns
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -337,7 +337,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", bound: int = T
                 )
 
     some = docs.select(key, text).where(f"`{text}` IS NOT NULL AND `{text}` RLIKE '[0-9@]'")
-    table = bounded_sample(some, key, bound, "pii").select(text).mapInArrow(collect, "label int, row binary").distinct().toArrow()
+    table = bounded_sample(some, key, bound, "pii").select(text).mapInArrow(tidy(collect), "label int, row binary").distinct().toArrow()
     rows = sorted(zip(table.column("row").to_pylist(), table.column("label").to_pylist(), strict=True), key=lambda r: hashlib.md5(r[0]).digest())
     return fit_rows(np.frombuffer(b"".join(r[0] for r in rows), np.float32).reshape(-1, FEATURES), np.array([r[1] for r in rows], float))
 
