@@ -38,6 +38,7 @@ SLOT_BITS = 10
 TARGET_RECALL = 0.9999
 BLOCK = 512
 WORD_CACHE = 400_000
+PART_BYTES = 4 << 20  # text that a task holds at once
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -172,7 +173,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, trees: int, depth
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = WordHashes(), permutations(trees, depth)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, PART_BYTES):
                 rep, found = [], []
                 for t in part.column(2).to_pylist():
                     own = shingles(t or "", hashes, words)
@@ -374,7 +375,7 @@ def link(
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 found = [shingles(t or "", hashes, words) for t in part.column(3).to_pylist()]
                 same = [xxhash.xxh3_128_digest(s.tobytes()) == r for s, r in zip(found, part.column(0).to_pylist(), strict=True)]
                 column = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))

@@ -43,6 +43,7 @@ TRAIN_DOCS = 30_000  # bound of the sample the examples come from
 EXAMPLES_PER_DOC = 6  # bound of a document's examples of each sort
 PRECISION = 0.98
 WINDOW = 28
+PART_BYTES = 4 << 20  # text that a task holds at once
 
 Span = tuple[str, int, int]
 
@@ -330,7 +331,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", bound: int = T
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, PART_BYTES):
                 rows = [r for t in part.column(0).to_pylist() for r in examples(t)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([np.array(r[1], np.float32).tobytes() for r in rows], pa.binary())], names=["label", "row"]
@@ -397,7 +398,7 @@ def find(docs: DataFrame, detector: Detector | None, text: str = "text", keep: l
         return search
 
     fields = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
-    return with_text_columns(docs, make, fields, text, keep)
+    return with_text_columns(docs, make, fields, text, keep, PART_BYTES)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -425,7 +426,7 @@ def redact(docs: DataFrame, detector: Detector | None, text: str = "text", lengt
 
         return clean
 
-    out = with_text_columns(docs, make, "_clean string", text)
+    out = with_text_columns(docs, make, "_clean string", text, chunk_bytes=PART_BYTES)
     made = {text: f"IF(`{text}` IS NULL, NULL, _clean)"}
     if length in docs.columns:
         kind = docs.schema[length].dataType.simpleString()
